@@ -1,0 +1,159 @@
+"""Helper of the page job: the inside of one element as HTML or as markdown."""
+
+from __future__ import annotations
+
+import re
+
+from corpusbundle.functions.html_tree import BLOCKS, HEADINGS, RAW, VOID, Node
+
+# Characters the serialised form writes as references.
+_ESCAPES = str.maketrans(
+    {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;", "\r": "&#13;"}
+)
+
+
+def inner_html(root: Node) -> str:
+    out: list[str] = []
+    pending: list = list(reversed(root.kids))
+    raw = [root.tag in RAW]
+    while pending:
+        item = pending.pop()
+        if item is None:
+            raw.pop()
+        elif isinstance(item, tuple):
+            out.append(item[0])
+        elif isinstance(item, str):
+            out.append(item if raw[-1] else item.translate(_ESCAPES))
+        elif item.tag == "#comment":
+            out.append(f"<!--{item.attrs['']}-->")
+        else:
+            attrs = "".join(f' {k}="{v.translate(_ESCAPES)}"' for k, v in item.attrs.items())
+            if item.tag in VOID:
+                out.append(f"<{item.tag}{attrs}/>")
+                continue
+            out.append(f"<{item.tag}{attrs}>")
+            pending.append((f"</{item.tag}>",))
+            pending.append(None)
+            raw.append(item.tag in RAW)
+            pending.extend(reversed(item.kids))
+    return "".join(out)
+
+
+DROPPED = frozenset("script style noscript head title iframe template textarea #comment".split())
+_INLINE_MARK = {"strong": "**", "b": "**", "em": "_", "i": "_"}
+_MARKUP = re.compile(r"([\\*_`|])")
+_LINE_START = re.compile(r"(?m)^(#{1,6}(?=\s)|>|[-+](?=\s))|^(\d+)\.(?=\s)")
+
+
+def _plain(text: str) -> str:
+    text = re.sub(r"[ \t]*\n[ \t\n]*", "\n", text)
+    text = _MARKUP.sub(r"\\\1", re.sub(r"[ \t]+", " ", text))
+    return _LINE_START.sub(lambda m: f"{m[2]}\\." if m[2] else "\\" + m[1], text)
+
+
+def _mark(text: str, mark: str) -> str:
+    """Put delimiters around every line, white space outside of them."""
+    if not text.strip():
+        return text
+    lead, tail = text[: len(text) - len(text.lstrip())], text[len(text.rstrip()) :]
+    lines = (x.strip() for x in text.strip().split("\n"))
+    return lead + "\n".join(f"{mark}{x}{mark}" if x else "" for x in lines) + tail
+
+
+def _raw_text(node: Node) -> str:
+    out, pending = [], list(reversed(node.kids))
+    while pending:
+        item = pending.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif item.tag == "br":
+            out.append("\n")
+        else:
+            pending.extend(reversed(item.kids))
+    return "".join(out)
+
+
+def _fence(text: str, least: int) -> str:
+    return "`" * max([least, *(len(run) + 1 for run in re.findall("`+", text))])
+
+
+def _indent(text: str, first: str, rest: str) -> str:
+    return first + re.sub(r"\n(?=.)", "\n" + rest, text)
+
+
+def _render(node: Node, text: str, trim_lines: bool) -> str:
+    """Markdown of one element, given the markdown of its content."""
+    tag, attrs = node.tag, node.attrs
+    inline = re.sub(r"\s*\n\s*", " ", text)
+    if tag in HEADINGS:
+        return f"\n\n{'#' * int(tag[1])} {inline.strip()}\n\n" if inline.strip() else ""
+    if tag in _INLINE_MARK:
+        mark, up = _INLINE_MARK[tag], node.parent
+        nested = up is not None and _INLINE_MARK.get(up.tag) == mark
+        return text if nested else _mark(text, mark)
+    if tag == "a":
+        label, title = inline.strip(), attrs.get("title")
+        if not attrs.get("href") or not label:
+            return text
+        return f"[{label}]({attrs['href']}{f' \"{title}\"' if title else ''})"
+    if tag == "img":
+        title = attrs.get("title")
+        src = attrs.get("src", "").strip()
+        return f"![{attrs.get('alt', '')}]({src}{f' \"{title}\"' if title else ''})" if src else ""
+    if tag == "br":
+        return "\n"
+    if tag == "hr":
+        return "\n\n* * *\n\n"
+    if tag == "pre":
+        code = _raw_text(node)
+        if trim_lines:
+            code = "\n".join(x.strip() for x in code.split("\n"))
+        kinds = [n.attrs.get("class", "") for n in [node, *node.elements()]]
+        language = re.search(r"\b(?:language|lang)-([\w+#-]+)", " ".join(kinds))
+        fence = _fence(code, 3)
+        code = code.strip("\n")
+        return f"\n\n{fence}{language[1] if language else ''}\n{code}\n{fence}\n\n"
+    if tag in ("code", "tt", "kbd", "samp"):
+        code = re.sub(r"\s+", " ", _raw_text(node)).strip()
+        if not code:
+            return ""
+        tick = _fence(code, 1)
+        pad = " " if code.startswith("`") or code.endswith("`") else ""
+        return f"{tick}{pad}{code}{pad}{tick}"
+    if tag == "li":
+        up = node.parent
+        bullet = "- "
+        if up is not None and up.tag == "ol":
+            first = up.attrs.get("start", "1")
+            items = [k for k in up.kids if isinstance(k, Node) and k.tag == "li"]
+            place = next(i for i, k in enumerate(items) if k is node)
+            bullet = f"{(int(first) if first.isdigit() else 1) + place}. "
+        text = re.sub(r"\n{2,}(?=\s*(?:- |\d+\. ))", "\n", text.strip())
+        return "\n" + _indent(text, bullet, " " * len(bullet)) if text else ""
+    if tag == "blockquote":
+        quoted = re.sub(r"\n{3,}", "\n\n", text.strip())
+        return f"\n\n{re.sub('(?m)^(.)?', lambda m: '> ' + m[1] if m[1] else '>', quoted)}\n\n" if quoted else ""
+    if tag in ("td", "th"):
+        return f" {text.strip()} "
+    if tag in ("tr", "option"):
+        return f"\n{text.strip()}\n"
+    if tag in ("ul", "ol") and node.parent is not None and node.parent.tag == "li":
+        return f"\n{text.strip(chr(10))}\n"
+    if tag in BLOCKS:
+        inside = text.strip("\n")
+        return f"\n\n{inside}\n\n" if inside else "\n\n"
+    return text
+
+
+def markdown(root: Node, trim_lines: bool = False) -> str:
+    """Markdown of everything inside ``root``, worked out from the leaves up."""
+    done: dict[int, str] = {}
+    for node in reversed([root, *root.elements()]):
+        if node.tag in DROPPED:
+            done[id(node)] = ""
+            continue
+        parts = [_plain(k) if isinstance(k, str) else done.pop(id(k)) for k in node.kids]
+        text = "".join(parts)
+        done[id(node)] = _render(node, text, trim_lines) if node is not root else text
+    lines = (x.rstrip() for x in done[id(root)].split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()

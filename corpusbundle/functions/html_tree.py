@@ -1,0 +1,318 @@
+"""Helper of the page job: one HTML document to a tree, and a selection in it.
+
+Called from Arrow batches only (see ``operators.pages``). Built on the standard
+library's tolerant tokenizer; the tree follows the HTML standard where common
+pages depend on it: void elements, implied ends, implied table bodies, and
+formatting elements that stay open across blocks.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from functools import lru_cache
+from html.parser import HTMLParser
+
+# Element groups of the HTML standard.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+RAW = frozenset("script style iframe noembed noframes noscript plaintext xmp".split())
+HEAD_ONLY = frozenset("title meta link script style base noscript template".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+CLOSES_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure"
+    " footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt listing main menu nav ol p pre"
+    " search section summary table ul".split()
+)
+BLOCKS = CLOSES_P | frozenset("body tr td th tbody thead tfoot caption option".split())
+SPECIAL = BLOCKS | VOID | RAW | frozenset("html head button object select textarea title".split())
+SCOPE_END = frozenset("html table td th caption button object template".split())
+# An opening tag ends open elements of its own kind, up to the nearest container.
+IMPLIED_END = {
+    "li": ({"li"}, SCOPE_END | {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, SCOPE_END | {"dl"}),
+    "dd": ({"dt", "dd"}, SCOPE_END | {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot"}, {"table"})),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "kids", "parent", "is_open")
+
+    def __init__(self, tag: str, attrs: dict | None = None):
+        self.tag, self.attrs, self.kids = tag, attrs or {}, []
+        self.parent, self.is_open = None, False
+
+    def add(self, kid):
+        if isinstance(kid, str):
+            if self.kids and isinstance(self.kids[-1], str):
+                kid = self.kids.pop() + kid
+        else:
+            if kid.parent is not None:
+                kid.parent.kids.remove(kid)
+            kid.parent = self
+        self.kids.append(kid)
+
+    def elements(self):
+        """Descendant elements in document order."""
+        pending = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while pending:
+            node = pending.pop()
+            yield node
+            pending.extend(k for k in reversed(node.kids) if isinstance(k, Node))
+
+
+class TreeBuilder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.html, self.head, self.body = Node("html"), Node("head"), Node("body")
+        self.html.add(self.head)
+        self.html.add(self.body)
+        self.open = [self.html]  # body joins when the head is over
+        self.depth: Counter[str] = Counter()  # open elements per tag
+        self.formatting: list[Node] = []
+
+    def _start_body(self):
+        if len(self.open) == 1:
+            self._enter(self.body)
+
+    def _enter(self, node: Node):
+        self.open.append(node)
+        self.depth[node.tag] += 1
+        node.is_open = True
+
+    def _push(self, node: Node):
+        self.open[-1].add(node)
+        self._enter(node)
+
+    def _leave(self, start: int, end: int | None = None):
+        for node in self.open[start:end]:
+            self.depth[node.tag] -= 1
+            node.is_open = False
+        del self.open[start:end]
+
+    def _pop_to(self, node: Node):
+        self._leave(self.open.index(node))
+
+    def _find_open(self, tags, stop) -> Node | None:
+        if not any(self.depth[t] for t in tags):
+            return None
+        for node in reversed(self.open):
+            if node.tag in tags:
+                return node
+            if node.tag in stop:
+                return None
+        return None
+
+    def _reopen_formatting(self):
+        """Formatting elements that a block closed come back inside the next content."""
+        missing = len(self.formatting)
+        while missing and not self.formatting[missing - 1].is_open:
+            missing -= 1
+        for i in range(missing, len(self.formatting)):
+            old = self.formatting[i]
+            self.formatting[i] = Node(old.tag, dict(old.attrs))
+            self._push(self.formatting[i])
+
+    def handle_starttag(self, tag, attrs):
+        given = {}
+        for name, value in attrs:
+            given.setdefault(name, value or "")
+        if tag in ("html", "head", "body"):
+            target = getattr(self, tag)
+            target.attrs = {**given, **target.attrs}
+            if tag == "body":
+                self._start_body()
+            return
+        if len(self.open) == 1 and tag in HEAD_ONLY:
+            node = Node(tag, given)
+            self.head.add(node)
+            if tag not in VOID:
+                self._enter(node)
+            return
+        self._start_body()
+        kinds, stop = IMPLIED_END.get(tag, ((), ()))
+        if ended := self._find_open(kinds, stop):
+            self._pop_to(ended)
+        if tag in CLOSES_P and (p := self._find_open({"p"}, SCOPE_END)):
+            self._pop_to(p)
+        if tag in HEADINGS and self.open[-1].tag in HEADINGS:
+            self._leave(-1)
+        if tag in ("tr", "td", "th") and self.open[-1].tag == "table":
+            self._push(Node("tbody"))
+        if tag in ("td", "th") and self.open[-1].tag in ("tbody", "thead", "tfoot"):
+            self._push(Node("tr"))
+        if tag == "a" and any(n.tag == "a" for n in self.formatting):
+            self.handle_endtag("a")
+        if tag not in BLOCKS:
+            self._reopen_formatting()
+        node = Node(tag, given)
+        self._push(node)
+        if tag in VOID:
+            self._leave(-1)
+        elif tag in FORMATTING:
+            alike = [n for n in self.formatting if (n.tag, n.attrs) == (tag, given)]
+            if len(alike) >= 3:
+                self.formatting.remove(alike[0])
+            self.formatting.append(node)
+
+    def handle_endtag(self, tag):
+        if tag in ("html", "head", "body") or tag in VOID:
+            return
+        if tag in FORMATTING:
+            self._end_formatting(tag)
+            return
+        kinds = HEADINGS if tag in HEADINGS else {tag}
+        stop = SCOPE_END - kinds if tag in SPECIAL else SPECIAL
+        if node := self._find_open(kinds, stop):
+            self._pop_to(node)
+        elif tag == "p":
+            self._start_body()
+            self.open[-1].add(Node("p"))
+
+    def _end_formatting(self, tag):
+        """Close a formatting element; blocks opened inside it keep their later content outside."""
+        element = next((n for n in reversed(self.formatting) if n.tag == tag), None)
+        if element is None or not element.is_open:
+            if element is not None:
+                self.formatting.remove(element)
+            return
+        at = self.open.index(element)
+        block = next((n for n in self.open[at + 1 :] if n.tag in SPECIAL), None)
+        self.formatting.remove(element)
+        if block is None:
+            self._leave(at)
+            return
+        # The block moves up beside the element; what it held so far goes into a copy.
+        outer = self.open[at - 1]
+        outer.add(block)
+        copy = Node(element.tag, dict(element.attrs))
+        for kid in list(block.kids):
+            if not isinstance(kid, str):
+                kid.parent = copy
+        copy.kids, block.kids = block.kids, []
+        block.add(copy)
+        self._leave(at, self.open.index(block))
+
+    def handle_data(self, data):
+        if len(self.open) == 1:
+            data = data.lstrip("\t\n\f\r ")
+            if not data:
+                return
+            self._start_body()
+        if self.open[-1].tag not in RAW and not data.isspace():
+            self._reopen_formatting()
+        self.open[-1].add(data)
+
+    def handle_comment(self, data):
+        if len(self.open) > 1:
+            self.open[-1].add(Node("#comment", {"": data}))
+
+
+def parse(html: str) -> Node:
+    builder = TreeBuilder()
+    builder.feed(html)
+    builder.close()
+    return builder.html
+
+
+_NAME = r"-?[A-Za-z_\u0080-\U0010ffff][\w\-\u0080-\U0010ffff]*"
+_SIMPLE = re.compile(
+    rf"\*|(?P<tag>{_NAME})|\.(?P<cls>{_NAME})|\#(?P<id>[\w\-]+)"
+    rf"|\[\s*(?P<attr>{_NAME})\s*(?:(?P<op>[~|^$*]?=)\s*"
+    r"(?:\"(?P<q2>[^\"]*)\"|'(?P<q1>[^']*)'|(?P<bare>[\w\-.]+))\s*)?\]"
+)
+_COMBINATOR = re.compile(r"\s*([>,])\s*|\s+")
+_TESTS = {
+    "=": lambda have, want: have == want,
+    "~=": lambda have, want: want in have.split(),
+    "|=": lambda have, want: have == want or have.startswith(want + "-"),
+    "^=": lambda have, want: want != "" and have.startswith(want),
+    "$=": lambda have, want: want != "" and have.endswith(want),
+    "*=": lambda have, want: want != "" and want in have,
+}
+
+
+@lru_cache(maxsize=1024)
+def compile_selector(text: str) -> list | None:
+    """Alternatives, each a list of (combinator, simple tests); None when not understood."""
+    text = text.strip()
+    chain: list = [("", [])]
+    alternatives = [chain]
+    at = 0
+    while at < len(text):
+        if m := _SIMPLE.match(text, at):
+            found = m.groupdict()
+            if found["tag"] and chain[-1][1]:
+                return None
+            chain[-1][1].append(found)
+        elif (m := _COMBINATOR.match(text, at)) and chain[-1][1]:
+            if m.group(1) == ",":
+                chain = [("", [])]
+                alternatives.append(chain)
+            else:
+                chain.append((m.group(1) or " ", []))
+        else:
+            return None
+        at = m.end()
+    return alternatives if all(tests for c in alternatives for _, tests in c) else None
+
+
+def _meets(node: Node, tests: list[dict]) -> bool:
+    if node.tag.startswith("#"):
+        return False
+    for t in tests:
+        if t["tag"] and node.tag != t["tag"].lower():
+            return False
+        if t["cls"] and t["cls"] not in node.attrs.get("class", "").split():
+            return False
+        if t["id"] and node.attrs.get("id") != t["id"]:
+            return False
+        if t["attr"]:
+            have = node.attrs.get(t["attr"].lower())
+            if have is None:
+                return False
+            want = next((t[k] for k in ("q2", "q1", "bare") if t[k] is not None), "")
+            if t["op"] and not _TESTS[t["op"]](have, want):
+                return False
+    return True
+
+
+def _reaches(node: Node, chain: list, last: int) -> bool:
+    combinator, tests = chain[last]
+    if not _meets(node, tests):
+        return False
+    if last == 0:
+        return True
+    up = node.parent
+    while up is not None:
+        if _reaches(up, chain, last - 1):
+            return True
+        up = up.parent if combinator == " " else None
+    return False
+
+
+def select(root: Node, selector: str):
+    """Descendants of ``root`` that match, in document order; a broken selector matches nothing."""
+    alternatives = compile_selector(selector)
+    if alternatives is None:
+        return
+    for node in root.elements():
+        if any(_reaches(node, chain, len(chain) - 1) for chain in alternatives):
+            yield node
+
+
+def pick(root: Node, css: str, excludes) -> Node:
+    """First match of ``css``, else the body, with the excluded descendants taken out."""
+    body = root.kids[1]
+    chosen = next(select(root, css), body)
+    for selector in excludes:
+        for node in list(select(chosen, selector)):
+            if node.parent is not None:
+                node.parent.kids.remove(node)
+                node.parent = None
+    return chosen
