@@ -1,31 +1,40 @@
-"""Cutting lineage so that two readers of one intermediate see the same rows."""
+"""Cutting lineage so that every reader of an intermediate sees the same rows."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a local run may fall back to a new one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get(_CONF, None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="corpusbundle-checkpoint-")
-    context.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get(_CONF, None)
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="corpusbundle-checkpoint-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+    """Checkpoint narrow rows whose values depend on how they were partitioned.
 
-    Needed wherever a value depends on how rows were partitioned: after an
-    executor is lost, a recomputed range partitioning could number rows anew.
+    After an executor is lost, a recomputed range partitioning could otherwise
+    number rows anew.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def durable_table(df: DataFrame) -> DataFrame:
+    """Write wide, costly rows once as a columnar table; readers take only their columns."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusbundle.functions.html_text import inner_html, markdown
 from corpusbundle.functions.html_tree import parse, pick
@@ -19,6 +20,9 @@ from corpusbundle.functions.text import normalize_extract
 
 NO_CONTENT = "no content found in the document"
 
+_RESULT = T.StructType(
+    [T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]
+)
 _Batches = Iterator[tuple[pd.Series, pd.Series, pd.Series]]
 
 
@@ -41,7 +45,7 @@ def _per_page(batches: _Batches, work: Callable[[str, str, list], str]) -> Itera
         yield pd.DataFrame({"text": texts, "error": errors})
 
 
-@F.pandas_udf("text string, error string")
+@F.pandas_udf(_RESULT)
 def _extracted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     def work(page, css, excludes):
         return inner_html(pick(parse(page), css, excludes))
@@ -49,7 +53,7 @@ def _extracted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Ite
     yield from _per_page(batches, work)
 
 
-@F.pandas_udf("text string, error string")
+@F.pandas_udf(_RESULT)
 def _converted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     def work(page, css, excludes):
         tree = parse(page)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ class FilePolicy:
     types: Sequence[str] = DEFAULT_TYPES
     ignore: Sequence[str] = ()
     generated: Sequence[str] = ()
-    skip_bundles: bool = field(default=True)
+    skip_bundles: bool = True
 
     def ignored(self) -> list[str]:
         earlier = [f"**/*{BUNDLE_SUFFIX}"] if self.skip_bundles else []
@@ -97,19 +97,10 @@ def bundle_tree(
 
     Part numbers come from listed sizes, so only listing rows are shuffled; the
     task that owns a part reads its files. Offsets are then those of the listed
-    sizes and only order the parts; ``sinks`` work out exact positions.
+    sizes and only order the parts; ``sinks.exact`` works out exact positions.
     """
     listing = tree_listing(spark, root, policy)
     tagged = assign_parts(listing, [], ["tree_key"], "size", part_bytes=part_bytes)
     by_part = tagged.repartition("part_no")
     sections = read_sections(by_part, root).filter(F.col("read_error").isNull())
     return collect_parts(sections, [], "section")
-
-
-def corpus_sections(*tables: tuple[DataFrame, Iterable[str]]) -> DataFrame:
-    """Union of section tables from several sources as (kind columns..., section)."""
-    frames = [df.select(*columns) for df, columns in tables]
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out

@@ -12,8 +12,10 @@ from corpusbundle.functions.text import page_section
 from corpusbundle.functions.urls import matched_path, resolve_override, url_path
 from corpusbundle.operators.bundles import PART_BYTES, bundle_parts
 from corpusbundle.operators.dedupe import keep_last
+from corpusbundle.operators.durable import durable_table
 from corpusbundle.operators.lookups import lookup_join, pages_of_seeds, pages_of_sites
 from corpusbundle.operators.pages import page_markdown
+from corpusbundle.operators.rules import OUTPUT_TYPES
 from corpusbundle.sources.sites import seed_urls
 
 
@@ -84,22 +86,48 @@ def bundle_by_path(
     )
 
 
-def with_file_names(parts: DataFrame) -> DataFrame:
-    """Add ``file_name``; groups that would share a name get a hash of their site and path."""
-    group = ["base_url", "prefix", "matched_path"]
-    named = parts.withColumn("_name", group_file_name(F.col("prefix"), F.col("matched_path")))
-    identity = F.struct("base_url", "matched_path")
+def with_file_names(parts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Add ``file_name``; groups that would share a name get a hash of their site and path.
+
+    ``groups`` holds at least (base_url, prefix, matched_path) of every group;
+    name clashes are looked for there, not among the parts and their text.
+    """
+    name = group_file_name(F.col("prefix"), F.col("matched_path"))
+    identity = F.struct("base_url", "prefix", "matched_path")
     shared = (
-        named.groupBy("_name")
+        groups.groupBy(name.alias("_name"))
         .agg((F.min(identity) != F.max(identity)).alias("_shared"))
         .filter("_shared")
     )
-    tagged = lookup_join(named, shared, ["_name"], group, how="left")
-    digest = F.substring(F.sha2(F.concat_ws("\n", "base_url", "matched_path"), 256), 1, 12)
-    unique = F.regexp_replace("_name", r"\.md\z", "")
+    spread_by = ["base_url", "prefix", "matched_path", "part_no"]
+    tagged = lookup_join(parts.withColumn("_name", name), shared, ["_name"], spread_by, how="left")
+    digest = F.substring(F.sha2(F.to_json(identity), 256), 1, 12)
+    stem = F.regexp_replace("_name", r"\.md\z", "")
+    unique = F.concat(stem, F.lit("-"), digest, F.lit(".md"))
     return tagged.withColumn(
-        "file_name",
-        F.when(F.col("_shared"), F.concat(unique, F.lit("-"), digest, F.lit(".md"))).otherwise(
-            F.col("_name")
-        ),
+        "file_name", F.when(F.col("_shared"), unique).otherwise(F.col("_name"))
     ).drop("_name", "_shared")
+
+
+def bundle_pages(
+    pages: DataFrame,
+    sites: DataFrame,
+    arrival: Sequence[str],
+    mode: str = "separate",
+    hosted: bool = False,
+    strict: bool = False,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """Pages and rules to documents: select, convert once, then bundle.
+
+    The converted pages are written to the shared folder, because bundling reads
+    them more than once and the page job is the costly step.
+    """
+    if mode not in OUTPUT_TYPES:
+        raise ValueError(f"unsupported output type: {mode}")
+    chosen = (hosted_pages if hosted else seeded_pages)(pages, sites, arrival)
+    converted = durable_table(converted_pages(chosen))
+    if mode == "single":
+        return bundle_single(converted, "markdown", part_bytes)
+    parts = bundle_by_path(converted, "markdown", strict, part_bytes)
+    return with_file_names(parts, grouped_pages(converted, "markdown", strict))

@@ -1,0 +1,74 @@
+"""Bundles as exactly named files, byte for byte, on a folder all executors mount.
+
+Parts know their byte offset in the document, so many tasks write one file at
+once, each at its own place. A repeated task writes the same bytes to the same
+places. The folder gets its name only when all tasks are done.
+"""
+
+from __future__ import annotations
+
+import os
+import shutil
+import uuid
+from collections.abc import Iterator, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from corpusbundle.operators.bundles import assign_parts
+from corpusbundle.operators.durable import durable_table
+
+FORMAT = "exact_files"
+
+
+class ExactFilesWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+        self.pending = f"{self.path}.pending-{uuid.uuid4().hex}"
+        if os.path.exists(self.path):
+            raise FileExistsError(self.path)
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        os.makedirs(self.pending, exist_ok=True)
+        for row in iterator:
+            if "/" in row.file_name or row.file_name in ("", ".", ".."):
+                raise ValueError(f"not a file name: {row.file_name!r}")
+            target = os.path.join(self.pending, row.file_name)
+            with open(os.open(target, os.O_WRONLY | os.O_CREAT, 0o644), "wb") as f:
+                f.seek(row.byte_offset)
+                f.write(row.text.encode())
+        return WriterCommitMessage()
+
+    def commit(self, messages) -> None:
+        os.makedirs(self.pending, exist_ok=True)
+        os.rename(self.pending, self.path)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.pending, ignore_errors=True)
+
+
+class ExactFiles(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return ExactFilesWriter(self.options["path"])
+
+
+def place_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parts with offsets that follow from their texts, for plans that only estimated them."""
+    kept = durable_table(parts.drop("byte_offset"))
+    sizes = kept.select(*keys, "part_no", F.octet_length("text").cast("long").alias("_nbytes"))
+    placed = assign_parts(
+        sizes.withColumnRenamed("part_no", "_no"), keys, ["_no"], "_nbytes"
+    ).select(*keys, F.col("_no").alias("part_no"), "byte_offset")
+    return kept.join(placed, [*keys, "part_no"])
+
+
+def write_exact(spark: SparkSession, parts: DataFrame, path: str) -> None:
+    """Write rows (file_name, byte_offset, text) as ``path/<file_name>``; ``path`` must be new."""
+    spark.dataSource.register(ExactFiles)
+    rows = parts.select("file_name", "byte_offset", "text")
+    rows.write.format(FORMAT).mode("append").option("path", path).save()
