@@ -57,8 +57,7 @@ def pages_of_sites(pages: DataFrame, sites: DataFrame, **options) -> DataFrame:
     rules = sites.select(url_host(F.col("base_url")).alias("url_host"), F.struct("*").alias("site"))
     joined = lookup_join(located, rules, ["url_host"], ["url"], **options)
     allowed = path_allowed(
-        F.col("url_host"), F.col("url_path"), F.col("url_host"),
-        F.col("site.allowed_paths"), F.col("site.exclude_paths"),
+        F.col("url_path"), F.col("site.allowed_paths"), F.col("site.exclude_paths")
     )
     return joined.withColumn("allowed", allowed)
 

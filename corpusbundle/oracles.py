@@ -98,7 +98,13 @@ bold AS (
 
 
 def _decoded(text: str) -> str:
-    return f"replace(replace(replace(replace({text}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    """References as the pages use them; a title may be cut off before the semicolon."""
+    for code, char in (
+        ("quot;?", '"'), ("lt;?", "<"), ("gt;?", ">"), ("copy;?", "\u00a9"), ("middot;?", "\u00b7"),
+        ("amp;?", "&"),
+    ):
+        text = f"regexp_replace({text}, '&{code}', '{char}', 'g')"
+    return text
 
 
 def _encoded(text: str) -> str:
@@ -121,6 +127,62 @@ def _trimmed_lines(text: str) -> str:
     string_split({text}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), chr(10)), chr(10))"""
 
 
+_ARTICLE_MD = f"""{_ARTICLE},
+texts AS (
+  SELECT page_id, i, own OR prior > 0 AS strong, {_escaped("body")} AS t FROM bold
+),
+blocks AS (
+  SELECT page_id, string_agg(CASE WHEN strong
+    THEN '**' || replace(t, chr(10), '**' || chr(10) || '**') || '**' ELSE t END,
+    chr(10) || chr(10) ORDER BY i) AS md
+  FROM texts WHERE t <> '' GROUP BY page_id
+),
+article_md AS (
+  SELECT page_id, {_escaped("title")} AS plain_title,
+         '# ' || replace({_escaped("title")}, chr(10), ' ')
+         || coalesce(chr(10) || chr(10) || md, '') AS md
+  FROM article LEFT JOIN blocks USING (page_id)
+)"""
+
+_RULED = f"""
+ruled AS (
+  SELECT * EXCLUDE (css, md), css,
+         CASE css WHEN 'h1' THEN plain_title WHEN 'nav' THEN '' ELSE md END AS md
+  FROM (SELECT *, {_CSS} AS css FROM latest JOIN article_md USING (page_id))
+)"""
+
+
+def _by_path(sources: str, pages: str, content: str, names: str) -> str:
+    """Documents per site and matched path from rows (base_url, host, path, url, content)."""
+    keys = "base_url, prefix, matched_path"
+    return f"""
+WITH {sources},
+grouped AS (
+  SELECT *, CASE WHEN starts_with(path, '/en') THEN '/en' ELSE '/fr' END AS matched_path,
+         CASE WHEN host LIKE 'blog.%' THEN '' ELSE {_dashed("host")} END AS prefix
+  FROM {pages}
+),
+filled AS (
+  SELECT * FROM grouped
+  QUALIFY bool_or(regexp_matches({content}, '\\S')) OVER (PARTITION BY {keys})
+),
+{_offsets(keys, "url", f"strlen({content}) + 2", "filled", gap=2)},
+named AS (
+  SELECT {keys}, CASE WHEN prefix = '' THEN 'doc' ELSE prefix END || '-' || substr(matched_path, 2) AS stem
+  FROM (SELECT DISTINCT {keys} FROM grouped)
+),
+files AS (
+  SELECT *, stem || CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN '-' || substr(sha256(
+    '{{"base_url":"' || base_url || '","prefix":"' || prefix || '","matched_path":"' || matched_path || '"}}'),
+    1, 12) ELSE '' END || '.md' AS file_name
+  FROM named
+)
+SELECT {names}, part_no, count(*) AS n_sections, min(first_byte) AS byte_offset,
+       string_agg(CASE WHEN n > 0 THEN chr(10) || chr(10) ELSE '' END || {content}, '' ORDER BY url) AS text
+FROM parted JOIN files USING ({keys})
+GROUP BY {names}, part_no"""
+
+
 _REQUESTS = """
 requests AS (
   SELECT event_id, user_id, epoch_us(ts) AS arrival_us FROM events
@@ -279,33 +341,7 @@ WITH sections AS (
 SELECT part_no, count(*) AS n_sections, min(first_byte) AS byte_offset,
        string_agg(section, '' ORDER BY url) AS text
 FROM parted GROUP BY part_no""",
-    "bundle_by_path": f"""
-WITH {_LOCATED},
-grouped AS (
-  SELECT *, CASE WHEN starts_with(path, '/en') THEN '/en' ELSE '/fr' END AS matched_path,
-         CASE WHEN host LIKE 'blog.%' THEN '' ELSE {_dashed("host")} END AS prefix
-  FROM latest
-),
-filled AS (
-  SELECT * FROM grouped
-  QUALIFY bool_or(regexp_matches(html, '\\S')) OVER (PARTITION BY base_url, prefix, matched_path)
-),
-{_offsets("base_url, prefix, matched_path", "url", "strlen(html) + 2", "filled", gap=2)},
-named AS (
-  SELECT base_url, prefix, matched_path,
-         CASE WHEN prefix = '' THEN 'doc' ELSE prefix END || '-' || substr(matched_path, 2) AS stem
-  FROM (SELECT DISTINCT base_url, prefix, matched_path FROM grouped)
-),
-files AS (
-  SELECT *, stem || CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN '-' || substr(sha256(
-    '{{"base_url":"' || base_url || '","prefix":"' || prefix || '","matched_path":"' || matched_path || '"}}'),
-    1, 12) ELSE '' END || '.md' AS file_name
-  FROM named
-)
-SELECT file_name, base_url, matched_path, part_no, count(*) AS n_sections, min(first_byte) AS byte_offset,
-       string_agg(CASE WHEN n > 0 THEN chr(10) || chr(10) ELSE '' END || html, '' ORDER BY url) AS text
-FROM parted JOIN files USING (base_url, prefix, matched_path)
-GROUP BY file_name, base_url, matched_path, part_no""",
+    "bundle_by_path": _by_path(_LOCATED, "latest", "html", "file_name, base_url, matched_path"),
     "conversation_bundle": """
 SELECT conv_id, count(*) AS n_sections,
        string_agg('## ' || role || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS text
@@ -339,19 +375,29 @@ SELECT page_id, '<nav><ul>' || repeat('<li></li>',
          || regexp_extract(html, '<!-- ad \\d+ -->') AS extract
 FROM pages""",
     "page_markdown": f"""
-WITH {_ARTICLE},
-texts AS (
-  SELECT page_id, i, own OR prior > 0 AS strong, {_escaped("body")} AS t FROM bold
-),
-blocks AS (
-  SELECT page_id, string_agg(CASE WHEN strong
-    THEN '**' || replace(t, chr(10), '**' || chr(10) || '**') || '**' ELSE t END,
-    chr(10) || chr(10) ORDER BY i) AS md
-  FROM texts WHERE t <> '' GROUP BY page_id
+WITH {_ARTICLE_MD} SELECT page_id, md AS markdown, CAST(NULL AS VARCHAR) AS error FROM article_md""",
+    "page_markdown_rules": f"""
+WITH {_LOCATED}, {_ARTICLE_MD}, {_RULED} SELECT url, css, md AS markdown FROM ruled""",
+    "page_markdown_body": f"""
+WITH {_ARTICLE_MD},
+outer_parts AS (
+  SELECT page_id,
+         list_transform(
+           regexp_extract_all(html, '<li><a href="[^"]*">.*?</a></li>'),
+           lambda x: '- [' || {_escaped("regexp_extract(x, '>([^<]+)</a>', 1)")} || ']('
+             || {_decoded("regexp_extract(x, 'href=\"([^\"]*)\"', 1)")} || ')') AS links,
+         {_escaped("regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1, 's')")} AS ad,
+         {_escaped("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} AS foot,
+         contains(html, '<b>') AS strong
+  FROM pages
 )
-SELECT page_id, '# ' || replace({_escaped("title")}, chr(10), ' ')
-       || coalesce(chr(10) || chr(10) || md, '') AS markdown, CAST(NULL AS VARCHAR) AS error
-FROM article LEFT JOIN blocks USING (page_id)""",
+SELECT page_id, concat_ws(chr(10) || chr(10), array_to_string(links, chr(10)), nullif(ad, ''), md,
+         CASE WHEN strong THEN '**' || replace(foot, chr(10), '**' || chr(10) || '**') || '**'
+         ELSE foot END) AS markdown, CAST(NULL AS VARCHAR) AS error
+FROM outer_parts JOIN article_md USING (page_id)""",
+    "web_bundle": _by_path(
+        f"{_LOCATED}, {_ARTICLE_MD}, {_RULED}", "ruled", "md", "file_name"
+    ),
     "failed_pages": f"""
 WITH {_SEEDS}
 SELECT url, 'no content found in the document' AS error FROM asked ANTI JOIN pages USING (url)""",
