@@ -42,13 +42,25 @@ def inner_html(root: Node) -> str:
 DROPPED = frozenset("script style noscript head title iframe template textarea #comment".split())
 _INLINE_MARK = {"strong": "**", "b": "**", "em": "_", "i": "_"}
 _MARKUP = re.compile(r"([\\*_`|])")
-_LINE_START = re.compile(r"(?m)^(#{1,6}(?=\s)|>|[-+](?=\s))|^(\d+)\.(?=\s)")
+_LINE_START = re.compile(r"(#{1,6}(?=\s)|>|[-+](?=\s))|(\d+)\.(?=\s)")
 
 
 def _plain(text: str) -> str:
-    text = re.sub(r"[ \t]*\n[ \t\n]*", "\n", text)
-    text = _MARKUP.sub(r"\\\1", re.sub(r"[ \t]+", " ", text))
-    return _LINE_START.sub(lambda m: f"{m[2]}\\." if m[2] else "\\" + m[1], text)
+    """Tidy white space and escape what markdown would read as markup."""
+    if "\t" in text or "  " in text:
+        text = re.sub(r"[ \t]+", " ", text)
+    if "\n" in text:
+        lines = re.sub(r" ?\n[ \n]*", "\n", text).split("\n")
+        return "\n".join(map(_plain_line, lines))
+    return _plain_line(text)
+
+
+def _plain_line(text: str) -> str:
+    text = _MARKUP.sub(r"\\\1", text)
+    if m := _LINE_START.match(text):
+        at = m.end() - 1 if m[2] else 0
+        text = f"{text[:at]}\\{text[at:]}"
+    return text
 
 
 def _mark(text: str, mark: str) -> str:

@@ -1,21 +1,22 @@
 """Helper of the page job: one HTML document to a tree, and a selection in it.
 
-Called from Arrow batches only (see ``operators.pages``). Built on the standard
-library's tolerant tokenizer; the tree follows the HTML standard where common
-pages depend on it: void elements, implied ends, implied table bodies, and
-formatting elements that stay open across blocks.
+Called from Arrow batches only (see ``operators.pages``). Any text is accepted;
+the tree follows the HTML standard where common pages depend on it: void
+elements, implied ends, implied table bodies, and formatting elements that stay
+open across blocks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style iframe noembed noframes noscript plaintext xmp".split())
+RAW_UNTIL_END = RAW | {"title", "textarea"}
 HEAD_ONLY = frozenset("title meta link script style base noscript template".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 CLOSES_P = frozenset(
@@ -37,6 +38,9 @@ IMPLIED_END = {
     "th": ({"td", "th"}, {"tr", "table"}),
     **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot"}, {"table"})),
 }
+# Unclosed formatting elements multiply with the blocks after them; beyond this the
+# page is reported as failed instead of exhausting the worker.
+MOST_REOPENED = 2_000_000
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -66,15 +70,39 @@ class Node:
             pending.extend(k for k in reversed(node.kids) if isinstance(k, Node))
 
 
-class TreeBuilder(HTMLParser):
+# A comment, a tag, or a declaration. Every alternative runs to its end or to the
+# end of the text, so each character is looked at once; a tag that never ends is
+# dropped with all that follows it.
+_TOKEN = re.compile(
+    r"<(?:!--(?P<comment>(?:(?!-?>).*?)?)(?:--!?>|-?>|\Z)"
+    r"|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)"
+    r"(?P<attrs>(?:[\s/]++|=?[^\s/>=]++"
+    r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?|=)*+)(?P<close>>|\Z)"
+    r"|[!?/][^>]*+(?:>|\Z))",
+    re.S,
+)
+_ATTR = re.compile(
+    r"(=?[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))?)?"
+)
+
+
+def _attributes(text: str) -> dict:
+    given: dict[str, str] = {}
+    for name, *values in _ATTR.findall(text):
+        value = "".join(values)
+        given.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return given
+
+
+class TreeBuilder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.html, self.head, self.body = Node("html"), Node("head"), Node("body")
         self.html.add(self.head)
         self.html.add(self.body)
         self.open = [self.html]  # body joins when the head is over
-        self.depth: Counter[str] = Counter()  # open elements per tag
+        self.depth: dict[str, int] = defaultdict(int)  # open elements per tag
         self.formatting: list[Node] = []
+        self.reopened = 0
 
     def _start_body(self):
         if len(self.open) == 1:
@@ -99,7 +127,10 @@ class TreeBuilder(HTMLParser):
         self._leave(self.open.index(node))
 
     def _find_open(self, tags, stop) -> Node | None:
-        if not any(self.depth[t] for t in tags):
+        for tag in tags:
+            if self.depth[tag]:
+                break
+        else:
             return None
         for node in reversed(self.open):
             if node.tag in tags:
@@ -113,15 +144,15 @@ class TreeBuilder(HTMLParser):
         missing = len(self.formatting)
         while missing and not self.formatting[missing - 1].is_open:
             missing -= 1
+        self.reopened += len(self.formatting) - missing
+        if self.reopened > MOST_REOPENED:
+            raise ValueError("too many unclosed formatting elements")
         for i in range(missing, len(self.formatting)):
             old = self.formatting[i]
             self.formatting[i] = Node(old.tag, dict(old.attrs))
             self._push(self.formatting[i])
 
-    def handle_starttag(self, tag, attrs):
-        given = {}
-        for name, value in attrs:
-            given.setdefault(name, value or "")
+    def start(self, tag: str, given: dict):
         if tag in ("html", "head", "body"):
             target = getattr(self, tag)
             target.attrs = {**given, **target.attrs}
@@ -138,7 +169,7 @@ class TreeBuilder(HTMLParser):
         kinds, stop = IMPLIED_END.get(tag, ((), ()))
         if ended := self._find_open(kinds, stop):
             self._pop_to(ended)
-        if tag in CLOSES_P and (p := self._find_open({"p"}, SCOPE_END)):
+        if tag in CLOSES_P and self.depth["p"] and (p := self._find_open(("p",), SCOPE_END)):
             self._pop_to(p)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self._leave(-1)
@@ -147,7 +178,7 @@ class TreeBuilder(HTMLParser):
         if tag in ("td", "th") and self.open[-1].tag in ("tbody", "thead", "tfoot"):
             self._push(Node("tr"))
         if tag == "a" and any(n.tag == "a" for n in self.formatting):
-            self.handle_endtag("a")
+            self.end("a")
         if tag not in BLOCKS:
             self._reopen_formatting()
         node = Node(tag, given)
@@ -160,7 +191,7 @@ class TreeBuilder(HTMLParser):
                 self.formatting.remove(alike[0])
             self.formatting.append(node)
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str):
         if tag in ("html", "head", "body") or tag in VOID:
             return
         if tag in FORMATTING:
@@ -198,7 +229,7 @@ class TreeBuilder(HTMLParser):
         block.add(copy)
         self._leave(at, self.open.index(block))
 
-    def handle_data(self, data):
+    def text(self, data: str):
         if len(self.open) == 1:
             data = data.lstrip("\t\n\f\r ")
             if not data:
@@ -208,15 +239,41 @@ class TreeBuilder(HTMLParser):
             self._reopen_formatting()
         self.open[-1].add(data)
 
-    def handle_comment(self, data):
+    def comment(self, data: str):
         if len(self.open) > 1:
             self.open[-1].add(Node("#comment", {"": data}))
 
 
 def parse(html: str) -> Node:
+    """The document as ``html`` with the kids ``head`` and ``body``."""
+    if "\r" in html:
+        html = html.replace("\r\n", "\n").replace("\r", "\n")
     builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
+    at = 0
+    while token := _TOKEN.search(html, at):
+        if token.start() > at:
+            data = html[at : token.start()]
+            builder.text(unescape(data) if "&" in data else data)
+        at = token.end()
+        name = token["name"]
+        if name is None or not token["close"]:
+            if token["comment"] is not None:
+                builder.comment(token["comment"])
+            continue
+        name = name.lower()
+        if token["end"]:
+            builder.end(name)
+            continue
+        builder.start(name, _attributes(token["attrs"]) if token["attrs"] else {})
+        if name in RAW_UNTIL_END:
+            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+            stop = close.start() if close and name != "plaintext" else len(html)
+            if stop > at:
+                data = html[at:stop]
+                builder.text(data if name in RAW else unescape(data))
+            at = stop
+    if at < len(html):
+        builder.text(unescape(html[at:]))
     return builder.html
 
 

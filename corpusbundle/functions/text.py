@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode white space that trimming removes, as a Java regex class.
+# The Unicode white space that trimming removes.
 WHITE_SPACE = (
-    r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 GENERATED_NOTE = " (Code-generated, Read-only)"
@@ -16,19 +16,18 @@ GENERATED_NOTE = " (Code-generated, Read-only)"
 
 def strip(col: Column) -> Column:
     """Trim Unicode white space on both sides (``trim`` alone removes spaces only)."""
-    return F.regexp_replace(col, rf"\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def non_blank(col: Column) -> Column:
-    return col.rlike(rf"[^{WHITE_SPACE}]")
+    return col.rlike(f"[^{WHITE_SPACE}]")
 
 
 def normalize_extract(col: Column) -> Column:
     """Trim, turn CRLF and CR into LF, trim every line; blank inner lines stay."""
-    unix = F.regexp_replace(strip(col), r"\r\n?", "\n")
-    inner = WHITE_SPACE.replace(r"\n", "")
-    lines = F.regexp_replace(unix, rf"(?md)^[{inner}]+|[{inner}]+$", "")
-    return F.regexp_replace(lines, r"\A\n+|\n+\z", "")
+    unix = F.replace(F.replace(strip(col), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.transform(F.split(unix, "\n"), strip)
+    return F.btrim(F.array_join(lines, "\n"), F.lit("\n"))
 
 
 def generated_note(generated: Column) -> Column:

@@ -64,9 +64,22 @@ def _converted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Ite
     yield from _per_page(batches, work)
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Give every task slot a share of a small page table.
+
+    A table of fewer files than slots would keep most slots idle in the page job.
+    Larger tables are left as they are scanned, so no html is shuffled at scale.
+    """
+    slots = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.isStreaming or len(pages.inputFiles()) >= slots:
+        return pages
+    return pages.repartition(slots)
+
+
 def _apply(pages: DataFrame, job, css: Column, excludes: Column, into: str) -> DataFrame:
     kept = [c for c in pages.columns if c not in ("html", into, "error")]
-    done = pages.withColumn("_done", job(F.col("html"), css, excludes))
+    needed = spread(pages.withColumns({"_css": css, "_excludes": excludes}))
+    done = needed.withColumn("_done", job(F.col("html"), F.col("_css"), F.col("_excludes")))
     return done.select(*kept, F.col("_done.text").alias(into), F.col("_done.error").alias("error"))
 
 
