@@ -152,11 +152,24 @@ def _render(node: Node, text: str, trim_lines: bool) -> str:
     if tag in ("ul", "ol") and node.parent is not None and node.parent.tag == "li":
         return f"\n{text.strip(chr(10))}\n"
     if tag in BLOCKS:
-        inside = text.strip("\n")
+        inside = text.strip()
         return f"\n\n{inside}\n\n" if inside else "\n\n"
     return text
 
 
+def _joined(pieces) -> str:
+    """Neighbours put together with no more than one space between them."""
+    out: list[str] = []
+    spaced = False
+    for piece in pieces:
+        if spaced and piece.startswith(" "):
+            piece = piece.lstrip(" ")
+        if piece:
+            out.append(piece)
+            spaced = piece[-1] in " \n"
+    return "".join(out)
+
+
 def markdown(root: Node, trim_lines: bool = False) -> str:
     """Markdown of everything inside ``root``, worked out from the leaves up."""
     done: dict[int, str] = {}
@@ -164,8 +177,7 @@ def markdown(root: Node, trim_lines: bool = False) -> str:
         if node.tag in DROPPED:
             done[id(node)] = ""
             continue
-        parts = [_plain(k) if isinstance(k, str) else done.pop(id(k)) for k in node.kids]
-        text = "".join(parts)
+        text = _joined(_plain(k) if isinstance(k, str) else done.pop(id(k)) for k in node.kids)
         done[id(node)] = _render(node, text, trim_lines) if node is not root else text
     lines = (x.rstrip() for x in done[id(root)].split("\n"))
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()

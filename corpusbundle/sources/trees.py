@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusbundle.functions.globs import _any_of, _each, glob_regex
 from corpusbundle.operators.durable import durable
@@ -28,11 +29,11 @@ def _list_dirs(root: str):
             for entry in found:
                 info = entry.stat(follow_symlinks=False)
                 rel = f"{rel_dir}/{entry.name}" if rel_dir else entry.name
-                yield rel, info.st_size, info.st_mtime, stat.S_ISDIR(info.st_mode)
+                yield rel, info.st_size, info.st_mtime_ns // 1000, stat.S_ISDIR(info.st_mode)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["rel_path", "size", "mtime", "is_dir"])
-        out["mtime"] = pd.to_datetime(out["mtime"], unit="s", utc=True)
+        out["mtime"] = pd.to_datetime(out["mtime"], unit="us", utc=True)
         return out
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,12 +102,12 @@ def scan_binary_tree(spark: SparkSession, root: str) -> DataFrame:
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
-    rel = F.substring_index(F.col("path"), F.lit(base), -1)
+    rel = F.substr("path", F.locate(base, "path") + F.lit(len(base)))
     return found.select(
         rel.alias("rel_path"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.decode("content", "UTF-8").alias("content"),
     )
 
 
@@ -141,7 +142,8 @@ def read_content(listing: DataFrame, root: str) -> DataFrame:
     A file that cannot be read keeps its row with a null content. Row order
     within a partition is kept, and no content crosses a shuffle.
     """
-    schema = listing.schema.add("content", "string").add("read_error", "string")
+    added = [T.StructField(name, T.StringType()) for name in ("content", "read_error")]
+    schema = T.StructType([*listing.schema.fields, *added])
     return listing.mapInPandas(_read_files(os.path.abspath(root), listing.columns), schema)
 
 
