@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusbundle.functions.text import content_length, non_blank
+from corpusbundle.operators.durable import durable_table
 from corpusbundle.operators.ordering import with_positions
 
 PART_BYTES = 64 * 1024 * 1024
@@ -43,7 +44,11 @@ def assign_parts(
 
 
 def collect_parts(rows: DataFrame, keys: Sequence[str], text: str, sep: str = "") -> DataFrame:
-    """Concatenate the rows of every part in order; parts in order make the document."""
+    """Concatenate the rows of every part in order; parts in order make the document.
+
+    Rows should already be partitioned by (keys, part_no), so that no text is
+    buffered for a map-side aggregate that could not shrink it.
+    """
     piece = F.when(F.col("ordinal") > 0, F.concat(F.lit(sep), F.col(text))).otherwise(F.col(text))
     return (
         rows.withColumn("_piece", piece if sep else F.col(text))
@@ -67,16 +72,21 @@ def bundle_parts(
 ) -> DataFrame:
     """One document per key as rows (keys, part_no, n_sections, byte_offset, text).
 
-    A document no larger than ``part_bytes`` is one row. Order and part numbers
-    are worked out on narrow rows; the text is shuffled only to meet its part
-    number and to be joined with its neighbours. ``skip_blank`` leaves out
-    documents that hold nothing but white space.
+    ``order`` must tell the rows of a key apart (see ``keep_last``). A document no
+    larger than ``part_bytes`` is one row. ``skip_blank`` leaves out documents
+    that hold nothing but white space.
+
+    Order and part numbers are worked out on a narrow table, written once. The
+    text is read a second time and shuffled twice: to meet its part number in a
+    hash join that sorts nothing, and to meet its neighbours.
     """
-    narrow = sections.select(
-        *keys,
-        *order,
-        content_length(F.col(text)).alias("_nbytes"),
-        *([non_blank(F.col(text)).alias("_has_text")] if skip_blank else []),
+    narrow = durable_table(
+        sections.select(
+            *keys,
+            *order,
+            content_length(F.col(text)).alias("_nbytes"),
+            *([non_blank(F.col(text)).alias("_has_text")] if skip_blank else []),
+        )
     )
     placed = assign_parts(
         narrow, keys, order, "_nbytes", sep, part_bytes, "_has_text" if skip_blank else None
@@ -84,16 +94,16 @@ def bundle_parts(
     on = [*keys, *order]
     lookup = placed.select(
         *(F.col(c).alias(_AS + c) for c in on), "ordinal", "byte_offset", "part_no"
-    )
+    ).hint("shuffle_hash")
     same = reduce(lambda a, b: a & b, (sections[c].eqNullSafe(lookup[_AS + c]) for c in on))
-    placed_text = sections.join(lookup, same).select(
-        *(sections[c] for c in [*on, text]), "ordinal", "byte_offset", "part_no"
+    placed_text = (
+        sections.join(lookup, same)
+        .select(*(sections[c] for c in [*keys, text]), "ordinal", "byte_offset", "part_no")
+        .repartition(*keys, "part_no")
     )
     return collect_parts(placed_text, keys, text, sep)
 
 
-
-
 def union_sections(*parts: DataFrame) -> DataFrame:
     """All sections of several sources as one table; missing columns become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

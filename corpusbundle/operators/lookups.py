@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusbundle.functions.urls import path_allowed, url_host, url_path
+from corpusbundle.operators.durable import durable
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
@@ -30,18 +31,20 @@ def lookup_join(
 ) -> DataFrame:
     """Join every row of ``big`` with its rules.
 
-    Rules measured below ``broadcast_bytes`` are broadcast and ``big`` is not
-    shuffled. Larger rule tables are joined on (on, salt): the rows of one hot
-    key spread over ``salts`` tasks by a hash of ``spread_by``, and each (narrow)
-    rule row is repeated once per salt.
+    The rules are checkpointed, so that what is measured is what is joined. Rules
+    below ``broadcast_bytes`` are broadcast and ``big`` is not shuffled. Larger
+    rule tables are hash-joined on (on, salt): the rows of one hot key spread
+    over ``salts`` tasks by a hash of ``spread_by``, and each (narrow) rule row
+    is repeated once per salt.
     """
+    rules = durable(rules)
     if fits_broadcast(rules, broadcast_bytes):
         return big.join(F.broadcast(rules), list(on), how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         big.withColumn("_salt", salt)
-        .join(rules.withColumn("_salt", copies), [*on, "_salt"], how)
+        .join(rules.withColumn("_salt", copies).hint("shuffle_hash"), [*on, "_salt"], how)
         .drop("_salt")
     )
 
@@ -62,9 +65,11 @@ def pages_of_sites(pages: DataFrame, sites: DataFrame, **options) -> DataFrame:
     return joined.withColumn("allowed", allowed)
 
 
-def pages_of_seeds(pages: DataFrame, seeds: DataFrame, **options) -> DataFrame:
-    """Pages whose URL is a seed. ``pages`` must hold one row per URL (see ``keep_last``)."""
-    return lookup_join(pages, seeds, ["url"], ["url"], **options)
+def pages_of_seeds(
+    pages: DataFrame, seeds: DataFrame, arrival: Sequence[str], **options
+) -> DataFrame:
+    """Pages whose URL is a seed; copies of one URL are told apart by ``arrival``."""
+    return lookup_join(pages, seeds, ["url"], arrival, **options)
 
 
 def seeds_without_page(seeds: DataFrame, pages: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def spread(pages: DataFrame) -> DataFrame:
     Larger tables are left as they are scanned, so no html is shuffled at scale.
     """
     slots = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.isStreaming or len(pages.inputFiles()) >= slots:
+    if pages.isStreaming or len(pages._jdf.inputFiles()) >= slots:
         return pages
     return pages.repartition(slots)
 

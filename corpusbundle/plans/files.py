@@ -19,8 +19,12 @@ from corpusbundle.functions.globs import (
 from corpusbundle.functions.names import BUNDLE_SUFFIX
 from corpusbundle.functions.text import file_section, generated_note
 from corpusbundle.operators.bundles import PART_BYTES, assign_parts, bundle_parts, collect_parts
+from corpusbundle.operators.durable import durable
 from corpusbundle.sources.trees import read_content, scan_tree
 
+# Parallelism, not a limit on data: a task reads as many parts as it takes.
+MOST_READ_TASKS = 100_000
+
 # Extensions bundled when none are named.
 DEFAULT_TYPES = ("go", "md", "txt")
 
@@ -71,11 +75,18 @@ def file_sections(files: DataFrame, policy: FilePolicy) -> DataFrame:
 
 
 def bundle_table(
-    files: DataFrame, policy: FilePolicy, by: Sequence[str] = (), part_bytes: int = PART_BYTES
+    files: DataFrame,
+    policy: FilePolicy,
+    by: Sequence[str] = (),
+    tie: Sequence[str] = (),
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Bundle a table (by..., rel_path, content) into one document per group, in walk order."""
+    """Bundle a table (by..., rel_path, content) into one document per group, in walk order.
+
+    ``tie`` names columns that tell rows of one path apart, if paths can repeat.
+    """
     sections = file_sections(files, policy)
-    return bundle_parts(sections, list(by), ["tree_key"], "section", part_bytes=part_bytes)
+    return bundle_parts(sections, list(by), ["tree_key", *tie], "section", part_bytes=part_bytes)
 
 
 def tree_listing(spark: SparkSession, root: str, policy: FilePolicy) -> DataFrame:
@@ -90,17 +101,29 @@ def read_sections(listing: DataFrame, root: str) -> DataFrame:
     return read_content(listing, root).withColumn("section", section).drop("content")
 
 
+def part_listing(
+    spark: SparkSession, root: str, policy: FilePolicy, part_bytes: int = PART_BYTES
+) -> tuple[DataFrame, int]:
+    """The listing with part numbers by listed size, and how many tasks should read it.
+
+    Listing rows are tiny next to the files they stand for, so the number of
+    reading tasks must follow the bytes behind the rows, not the rows.
+    """
+    listing = tree_listing(spark, root, policy)
+    placed = durable(assign_parts(listing, [], ["tree_key"], "size", part_bytes=part_bytes))
+    parts = placed.agg(F.max("part_no")).first()[0]
+    return placed, min((parts or 0) + 1, MOST_READ_TASKS)
+
+
 def bundle_tree(
     spark: SparkSession, root: str, policy: FilePolicy, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """Bundle a file tree as rows (part_no, n_sections, byte_offset, text).
 
-    Part numbers come from listed sizes, so only listing rows are shuffled; the
-    task that owns a part reads its files. Offsets are then those of the listed
-    sizes and only order the parts; ``sinks.exact`` works out exact positions.
+    Only listing rows are shuffled; the task that owns a part reads its files.
+    Offsets are those of the listed sizes and only order the parts;
+    ``sinks.exact`` works out exact positions.
     """
-    listing = tree_listing(spark, root, policy)
-    tagged = assign_parts(listing, [], ["tree_key"], "size", part_bytes=part_bytes)
-    by_part = tagged.repartition("part_no")
-    sections = read_sections(by_part, root).filter(F.col("read_error").isNull())
-    return collect_parts(sections, [], "section")
+    placed, tasks = part_listing(spark, root, policy, part_bytes)
+    sections = read_sections(placed.repartition(tasks, "part_no"), root)
+    return collect_parts(sections.filter(F.col("read_error").isNull()), [], "section")

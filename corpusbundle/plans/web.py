@@ -20,19 +20,28 @@ from corpusbundle.sources.sites import seed_urls
 
 
 def seeded_pages(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """Latest page of every seed URL with its site (columns url, html, url_path, site)."""
-    latest = keep_last(pages.select("url", "html", *arrival), ["url"], arrival)
+    """Latest page of every seed URL with its site (columns url, html, url_path, site).
+
+    Pages are selected before copies are merged, so only asked-for pages are
+    shuffled. Among several sites that ask for a URL the last base URL has it.
+    """
     seeds = seed_urls(sites).groupBy("url").agg(
         F.max_by("site", F.struct("site.base_url", "path_no")).alias("site")
     )
-    joined = pages_of_seeds(latest, seeds)
-    return joined.withColumn("url_path", url_path(F.col("url"))).drop(*arrival)
+    found = pages_of_seeds(pages.select("url", "html", *arrival), seeds, arrival)
+    latest = keep_last(found, ["url"], arrival)
+    return latest.select("url", "html", url_path(F.col("url")).alias("url_path"), "site")
 
 
 def hosted_pages(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """Latest page of every URL that a site on its host allows (columns as ``seeded_pages``)."""
-    latest = keep_last(pages.select("url", "html", *arrival), ["url"], arrival)
-    return pages_of_sites(latest, sites).filter("allowed").drop("allowed", "url_host", *arrival)
+    """Latest page of every URL that a site on its host allows (columns as ``seeded_pages``).
+
+    Pages are selected before copies are merged, so only allowed pages are
+    shuffled. Among several sites that allow a URL the last base URL has it.
+    """
+    found = pages_of_sites(pages.select("url", "html", *arrival), sites).filter("allowed")
+    named = found.withColumn("_base", F.col("site.base_url")).drop("allowed", "url_host")
+    return keep_last(named, ["url"], [*arrival, "_base"]).drop("_base", *arrival)
 
 
 def with_rules(pages: DataFrame) -> DataFrame:
@@ -95,7 +104,9 @@ def with_file_names(parts: DataFrame, groups: DataFrame) -> DataFrame:
     name = group_file_name(F.col("prefix"), F.col("matched_path"))
     identity = F.struct("base_url", "prefix", "matched_path")
     shared = (
-        groups.groupBy(name.alias("_name"))
+        groups.select("base_url", "prefix", "matched_path")
+        .distinct()
+        .groupBy(name.alias("_name"))
         .agg((F.min(identity) != F.max(identity)).alias("_shared"))
         .filter("_shared")
     )

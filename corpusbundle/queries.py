@@ -36,6 +36,7 @@ from corpusbundle.functions.text import (
 from corpusbundle.functions.urls import resolve_override, url_host, url_path
 from corpusbundle.operators.bundles import bundle_parts, union_sections
 from corpusbundle.operators.dedupe import keep_last
+from corpusbundle.operators.durable import durable_table
 from corpusbundle.operators.lookups import pages_of_sites, seeds_without_page
 from corpusbundle.operators.ordering import with_positions
 from corpusbundle.operators.pages import css_extract, html_to_markdown, page_markdown
@@ -178,8 +179,9 @@ def q_generated_tag(spark, sf):
 
 
 def q_tree_order(spark, sf):
-    paths = document_files(spark, sf).select("rel_path", tree_key(F.col("rel_path")).alias("k"))
-    return with_positions(paths, [], ["k"]).select("rel_path", "ordinal")
+    path = F.col("rel_path")
+    paths = document_files(spark, sf).select("rel_path", "doc_id", tree_key(path).alias("k"))
+    return with_positions(paths, [], ["k", "doc_id"]).select("rel_path", "ordinal")
 
 
 def q_file_sections(spark, sf):
@@ -187,12 +189,14 @@ def q_file_sections(spark, sf):
 
 
 def q_files_bundle(spark, sf):
-    parts = bundle_table(document_files(spark, sf), POLICY, ["source"], PART_BYTES)
+    parts = bundle_table(
+        document_files(spark, sf), POLICY, ["source"], ["doc_id"], PART_BYTES
+    )
     return parts.select("source", "part_no", "n_sections", "byte_offset", "text")
 
 
 def q_files_bundle_all(spark, sf):
-    parts = bundle_table(document_files(spark, sf), POLICY, [], PART_BYTES)
+    parts = bundle_table(document_files(spark, sf), POLICY, [], ["doc_id"], PART_BYTES)
     return parts.select("part_no", "n_sections", "byte_offset", "text")
 
 
@@ -329,12 +333,15 @@ def q_page_run_summary(spark, sf):
 
 
 def q_bundle_single(spark, sf):
-    parts = bundle_single(table(spark, sf, "pages"), "html", PART_BYTES)
+    latest = durable_table(keep_last(table(spark, sf, "pages"), ["url"], ["page_id"]))
+    parts = bundle_single(latest, "html", PART_BYTES)
     return parts.select("part_no", "n_sections", "byte_offset", "text")
 
 
 def q_bundle_by_path(spark, sf):
-    found = hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"])
+    found = durable_table(
+        hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"])
+    )
     parts = bundle_by_path(found, "html", part_bytes=PART_BYTES)
     return with_file_names(parts, grouped_pages(found, "html")).select(
         "file_name", "base_url", "matched_path", "part_no", "n_sections", "byte_offset", "text"

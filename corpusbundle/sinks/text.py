@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusbundle.functions.names import group_file_name
 from corpusbundle.functions.text import page_section
-from corpusbundle.plans.files import FilePolicy, read_sections, tree_listing
+from corpusbundle.operators.bundles import PART_BYTES
+from corpusbundle.plans.files import FilePolicy, part_listing, read_sections
 
 
 def write_ordered(
@@ -37,12 +38,20 @@ def write_ordered(
     )
 
 
-def write_tree_bundle(spark, root: str, path: str, policy: FilePolicy, parts: int | None = None) -> None:
-    """Bundle a file tree: listing rows are ordered first, then each task reads and writes its run."""
-    listing = tree_listing(spark, root, policy)
-    ordered = listing.repartitionByRange(
-        *([parts] if parts else []), "tree_key"
-    ).sortWithinPartitions("tree_key")
+def write_tree_bundle(
+    spark: SparkSession,
+    root: str,
+    path: str,
+    policy: FilePolicy,
+    part_bytes: int = PART_BYTES,
+) -> None:
+    """Bundle a file tree: listing rows are put in order, then each task reads and writes its run.
+
+    Runs are cut by file sizes. No content crosses a shuffle.
+    """
+    placed, tasks = part_listing(spark, root, policy, part_bytes)
+    order = ["part_no", "ordinal"]
+    ordered = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     sections = read_sections(ordered, root).filter(F.col("read_error").isNull())
     sections.select(F.regexp_replace("section", r"\n\z", "").alias("value")).write.text(path)
 

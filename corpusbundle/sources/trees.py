@@ -17,6 +17,8 @@ from corpusbundle.schemas import LISTING_SCHEMA
 
 LISTING_BATCH = 10_000
 READ_BATCH_BYTES = 32 * 1024 * 1024
+# A string holds 2 GiB, and a byte that is not UTF-8 takes three; larger files become error rows.
+LARGEST_FILE = 640 * 1024 * 1024
 
 _WALK_SCHEMA = "rel_path string, size bigint, mtime timestamp, is_dir boolean"
 
@@ -115,6 +117,8 @@ def _read_files(root: str, columns: list[str]):
     def read(rel_path: str) -> tuple[str | None, str | None]:
         try:
             with open(os.path.join(root, rel_path), "rb") as f:
+                if os.fstat(f.fileno()).st_size > LARGEST_FILE:
+                    return None, f"larger than {LARGEST_FILE} bytes"
                 return f.read().decode("utf-8", "replace"), None
         except OSError as e:
             return None, f"{type(e).__name__}: {e.strerror}"

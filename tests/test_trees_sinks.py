@@ -61,7 +61,7 @@ def test_bundle_of_a_tree(spark, tmp_path):
     root = plant(tmp_path / "proj", FILES)
     for part_bytes in (1, 10**9):
         assert whole(bundle_tree(spark, root, POLICY, part_bytes)) == EXPECTED
-    write_tree_bundle(spark, root, str(tmp_path / "out"), POLICY, parts=3)
+    write_tree_bundle(spark, root, str(tmp_path / "out"), POLICY, 40)
     assert joined_files(tmp_path / "out") == EXPECTED
 
 
