@@ -93,18 +93,22 @@ def _indent(text: str, first: str, rest: str) -> str:
     return first + re.sub(r"\n(?=.)", "\n" + rest, text)
 
 
-def _render(node: Node, text: str, trim_lines: bool) -> str:
-    """Markdown of one element, given the markdown of its content."""
+def _one_line(text: str) -> str:
+    return re.sub(r"\s*\n\s*", " ", text.strip())
+
+
+def _render(node: Node, text: str, number: int | None, trim_lines: bool) -> str:
+    """Markdown of one element, given the markdown of its content and its number in a list."""
     tag, attrs = node.tag, node.attrs
-    inline = re.sub(r"\s*\n\s*", " ", text)
     if tag in HEADINGS:
-        return f"\n\n{'#' * int(tag[1])} {inline.strip()}\n\n" if inline.strip() else ""
+        title = _one_line(text)
+        return f"\n\n{'#' * int(tag[1])} {title}\n\n" if title else ""
     if tag in _INLINE_MARK:
         mark, up = _INLINE_MARK[tag], node.parent
         nested = up is not None and _INLINE_MARK.get(up.tag) == mark
         return text if nested else _mark(text, mark)
     if tag == "a":
-        label, title = inline.strip(), attrs.get("title")
+        label, title = _one_line(text), attrs.get("title")
         if not attrs.get("href") or not label:
             return text
         return f"[{label}]({attrs['href']}{f' \"{title}\"' if title else ''})"
@@ -133,13 +137,7 @@ def _render(node: Node, text: str, trim_lines: bool) -> str:
         pad = " " if code.startswith("`") or code.endswith("`") else ""
         return f"{tick}{pad}{code}{pad}{tick}"
     if tag == "li":
-        up = node.parent
-        bullet = "- "
-        if up is not None and up.tag == "ol":
-            first = up.attrs.get("start", "1")
-            items = [k for k in up.kids if isinstance(k, Node) and k.tag == "li"]
-            place = next(i for i, k in enumerate(items) if k is node)
-            bullet = f"{(int(first) if first.isdigit() else 1) + place}. "
+        bullet = "- " if number is None else f"{number}. "
         text = re.sub(r"\n{2,}(?=\s*(?:- |\d+\. ))", "\n", text.strip())
         return "\n" + _indent(text, bullet, " " * len(bullet)) if text else ""
     if tag == "blockquote":
@@ -172,12 +170,21 @@ def _joined(pieces) -> str:
 
 def markdown(root: Node, trim_lines: bool = False) -> str:
     """Markdown of everything inside ``root``, worked out from the leaves up."""
+    nodes = [root, *root.elements()]
+    numbers: dict[int, int] = {}
+    for node in nodes:
+        if node.tag == "ol":
+            start = node.attrs.get("start", "1")
+            items = (k for k in node.kids if isinstance(k, Node) and k.tag == "li")
+            numbers.update((id(k), i) for i, k in enumerate(items, int(start) if start.isdigit() else 1))
     done: dict[int, str] = {}
-    for node in reversed([root, *root.elements()]):
+    for node in reversed(nodes):
         if node.tag in DROPPED:
             done[id(node)] = ""
             continue
         text = _joined(_plain(k) if isinstance(k, str) else done.pop(id(k)) for k in node.kids)
-        done[id(node)] = _render(node, text, trim_lines) if node is not root else text
+        if node is not root:
+            text = _render(node, text, numbers.get(id(node)), trim_lines)
+        done[id(node)] = text
     lines = (x.rstrip() for x in done[id(root)].split("\n"))
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()

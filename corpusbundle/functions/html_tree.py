@@ -12,6 +12,7 @@ import re
 from collections import defaultdict
 from functools import lru_cache
 from html import unescape
+from html.entities import html5
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -86,11 +87,20 @@ _ATTR = re.compile(
 )
 
 
+_REFERENCE = re.compile(r"&(#?\w+)(;?)(=?)")
+
+
+def _reference(m: re.Match) -> str:
+    """In an attribute a reference without semicolon counts only if nothing joins on to it."""
+    whole = m[2] or (not m[3] and (m[1].startswith("#") or m[1] in html5))
+    return unescape(m[0]) if whole else m[0]
+
+
 def _attributes(text: str) -> dict:
     given: dict[str, str] = {}
     for name, *values in _ATTR.findall(text):
         value = "".join(values)
-        given.setdefault(name.lower(), unescape(value) if "&" in value else value)
+        given.setdefault(name.lower(), _REFERENCE.sub(_reference, value))
     return given
 
 
@@ -368,8 +378,8 @@ def pick(root: Node, css: str, excludes) -> Node:
     body = root.kids[1]
     chosen = next(select(root, css), body)
     for selector in excludes:
-        for node in list(select(chosen, selector)):
-            if node.parent is not None:
-                node.parent.kids.remove(node)
-                node.parent = None
+        found = list(select(chosen, selector))
+        gone = set(map(id, found))
+        for parent in {id(n.parent): n.parent for n in found}.values():
+            parent.kids = [k for k in parent.kids if id(k) not in gone]
     return chosen

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusbundle.functions.text import strip
 from corpusbundle.functions.urls import url_host, url_path
 
-BUNDLE_SUFFIX = ".rollup.md"
+BUNDLE_SUFFIX = ".bundle.md"
 
 
 def _trim_char(col: Column, ch: str) -> Column:

@@ -78,6 +78,8 @@ def spread(pages: DataFrame) -> DataFrame:
 
 def _apply(pages: DataFrame, job, css: Column, excludes: Column, into: str) -> DataFrame:
     kept = [c for c in pages.columns if c not in ("html", into, "error")]
+    # Not deterministic for the optimizer: a filter on the result must not run the job again.
+    job = job.asNondeterministic()
     needed = spread(pages.withColumns({"_css": css, "_excludes": excludes}))
     done = needed.withColumn("_done", job(F.col("html"), F.col("_css"), F.col("_excludes")))
     return done.select(*kept, F.col("_done.text").alias(into), F.col("_done.error").alias("error"))

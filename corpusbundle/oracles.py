@@ -269,7 +269,7 @@ SELECT doc_id, size, CASE
   ELSE printf('%.1f TB', size / 1099511627776.0::DOUBLE) END AS label
 FROM sized""",
     "bundle_names": """
-SELECT event_id, event_type || '-' || strftime(ts, '%Y%m%d-%H%M%S') || '.rollup.md' AS name FROM events""",
+SELECT event_id, event_type || '-' || strftime(ts, '%Y%m%d-%H%M%S') || '.bundle.md' AS name FROM events""",
     "normalize_extract": f"""
 WITH messy AS (
   SELECT doc_id, replace('  ' || chr(13) || chr(10)
@@ -303,11 +303,11 @@ WITH {_LOCATED}
 SELECT url, CASE WHEN starts_with(path, '/en') THEN '/en' ELSE '/fr' END AS matched_path FROM latest""",
     "page_filename": f"""
 SELECT page_id, {_underscored("trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's'))")}
-       || '.rollup.md' AS file_name, CAST(NULL AS VARCHAR) AS error
+       || '.bundle.md' AS file_name, CAST(NULL AS VARCHAR) AS error
 FROM pages""",
     "page_filename_from_url": f"""
 SELECT page_id, CASE WHEN starts_with(url, 'https') THEN
-         {_underscored(f"{_HOST} || rtrim({_PATH}, '/')")} || '.rollup.md' END AS file_name,
+         {_underscored(f"{_HOST} || rtrim({_PATH}, '/')")} || '.bundle.md' END AS file_name,
        CASE WHEN NOT starts_with(url, 'https') THEN 'invalid URL: missing host' END AS error
 FROM pages""",
     "page_filename_dash": f"""

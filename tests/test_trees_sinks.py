@@ -73,7 +73,7 @@ def test_bundle_of_a_table_equals_the_tree(spark):
 ODD = {
     ".env.md": "a", "_under.md": "b", "_posts/p.md": "c", ".hid/x.md": "d", "a/x.go": "e", "a-b.go": "f",
     "no_newline.md": "g", "fence.md": "```\nx\n```\n", "deep/1/2/3/4/f.txt": "h", "bad.txt": b"\xff\xfe ok",
-    "old-20240101-000000.rollup.md": "earlier bundle", "empty.md": "", "Makefile": "m",
+    "old-20240101-000000.bundle.md": "earlier bundle", "empty.md": "", "Makefile": "m",
 }
 
 
@@ -181,9 +181,9 @@ def test_exact_files(spark, tmp_path):
 def test_exact_file_of_a_tree(spark, tmp_path):
     root = plant(tmp_path / "proj", FILES)
     parts = bundle_tree(spark, root, POLICY, part_bytes=20)
-    named = place_parts(parts, []).withColumn("file_name", F.lit("proj.rollup.md"))
+    named = place_parts(parts, []).withColumn("file_name", F.lit("proj.bundle.md"))
     write_exact(spark, named, str(tmp_path / "out"))
-    assert (tmp_path / "out" / "proj.rollup.md").read_text() == EXPECTED
+    assert (tmp_path / "out" / "proj.bundle.md").read_text() == EXPECTED
 
 
 def test_generated_profile(spark, tmp_path):
