@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import lru_cache
 from html import unescape
 from html.entities import html5
 
@@ -304,7 +303,6 @@ _TESTS = {
 }
 
 
-@lru_cache(maxsize=1024)
 def compile_selector(text: str) -> list | None:
     """Alternatives, each a list of (combinator, simple tests); None when not understood."""
     text = text.strip()
@@ -363,9 +361,16 @@ def _reaches(node: Node, chain: list, last: int) -> bool:
     return False
 
 
+_COMPILED: dict[str, list | None] = {}
+
+
 def select(root: Node, selector: str):
     """Descendants of ``root`` that match, in document order; a broken selector matches nothing."""
-    alternatives = compile_selector(selector)
+    if selector not in _COMPILED:
+        if len(_COMPILED) >= 1024:
+            _COMPILED.clear()
+        _COMPILED[selector] = compile_selector(selector)
+    alternatives = _COMPILED[selector]
     if alternatives is None:
         return
     for node in root.elements():
