@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusbundle.functions.names import group_file_name
-from corpusbundle.functions.text import page_section
+from corpusbundle.functions.text import non_blank, page_section
 from corpusbundle.functions.urls import matched_path, resolve_override, url_path
 from corpusbundle.operators.bundles import PART_BYTES, bundle_parts
 from corpusbundle.operators.dedupe import keep_last
@@ -19,6 +19,12 @@ from corpusbundle.operators.rules import OUTPUT_TYPES
 from corpusbundle.sources.sites import seed_urls
 
 
+# Fixed value: the document of all pages.
+COMBINED_NAME = "combined.md"
+
+GROUP = ("base_url", "prefix", "matched_path")
+
+
 def seeded_pages(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """Latest page of every seed URL with its site (columns url, html, url_path, site).
 
@@ -76,6 +82,13 @@ def grouped_pages(converted: DataFrame, content: str, strict: bool = False) -> D
     ).filter(F.col("matched_path").isNotNull())
 
 
+def filled_groups(grouped: DataFrame) -> DataFrame:
+    """Rows of the groups that hold more than white space."""
+    has_text = F.max(non_blank(F.col("content")).cast("int")).alias("_filled")
+    filled = grouped.groupBy(*GROUP).agg(has_text).filter("_filled = 1").drop("_filled")
+    return lookup_join(grouped, filled, GROUP, ["url"])
+
+
 def bundle_single(converted: DataFrame, content: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """All pages in one document, ordered by URL; blank pages are kept."""
     sections = converted.filter(F.col(content).isNotNull()).select(
@@ -90,28 +103,31 @@ def bundle_by_path(
     """One document per site and matched path, pages in URL order; blank documents are left out."""
     rows = grouped_pages(converted, content, strict).filter(F.col("content").isNotNull())
     return bundle_parts(
-        rows, ["base_url", "prefix", "matched_path"], ["url"], "content",
+        rows, GROUP, ["url"], "content",
         sep="\n\n", part_bytes=part_bytes, skip_blank=True,
     )
 
 
-def with_file_names(parts: DataFrame, groups: DataFrame) -> DataFrame:
+def with_file_names(
+    rows: DataFrame, groups: DataFrame, spread_by: Sequence[str] = ("part_no",)
+) -> DataFrame:
     """Add ``file_name``; groups that would share a name get a hash of their site and path.
 
     ``groups`` holds at least (base_url, prefix, matched_path) of every group;
-    name clashes are looked for there, not among the parts and their text.
+    name clashes are looked for there, not among the rows and their text.
+    ``spread_by`` tells the rows of one group apart.
     """
     name = group_file_name(F.col("prefix"), F.col("matched_path"))
-    identity = F.struct("base_url", "prefix", "matched_path")
+    identity = F.struct(*GROUP)
     shared = (
-        groups.select("base_url", "prefix", "matched_path")
+        groups.select(*GROUP)
         .distinct()
         .groupBy(name.alias("_name"))
         .agg((F.min(identity) != F.max(identity)).alias("_shared"))
         .filter("_shared")
     )
-    spread_by = ["base_url", "prefix", "matched_path", "part_no"]
-    tagged = lookup_join(parts.withColumn("_name", name), shared, ["_name"], spread_by, how="left")
+    spread = ["base_url", "matched_path", *spread_by]
+    tagged = lookup_join(rows.withColumn("_name", name), shared, ["_name"], spread, how="left")
     digest = F.substring(F.sha2(F.to_json(identity), 256), 1, 12)
     stem = F.regexp_replace("_name", r"\.md\z", "")
     unique = F.concat(stem, F.lit("-"), digest, F.lit(".md"))
@@ -139,6 +155,7 @@ def bundle_pages(
     chosen = (hosted_pages if hosted else seeded_pages)(pages, sites, arrival)
     converted = durable_table(converted_pages(chosen))
     if mode == "single":
-        return bundle_single(converted, "markdown", part_bytes)
+        parts = bundle_single(converted, "markdown", part_bytes)
+        return parts.withColumn("file_name", F.lit(COMBINED_NAME))
     parts = bundle_by_path(converted, "markdown", strict, part_bytes)
     return with_file_names(parts, grouped_pages(converted, "markdown", strict))

@@ -11,13 +11,16 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from corpusbundle.operators.bundles import assign_parts
+from corpusbundle.functions.names import bundle_name
+from corpusbundle.operators.bundles import PART_BYTES, assign_parts
 from corpusbundle.operators.durable import durable_table
+from corpusbundle.plans.files import FilePolicy, bundle_tree
 
 FORMAT = "exact_files"
 
@@ -72,3 +75,18 @@ def write_exact(spark: SparkSession, parts: DataFrame, path: str) -> None:
     spark.dataSource.register(ExactFiles)
     rows = parts.select("file_name", "byte_offset", "text")
     rows.write.format(FORMAT).mode("append").option("path", path).save()
+
+
+def write_tree_file(
+    spark: SparkSession,
+    root: str,
+    path: str,
+    policy: FilePolicy,
+    at: datetime,
+    part_bytes: int = PART_BYTES,
+) -> None:
+    """Bundle a file tree as the one file ``path/<project>-<time>.bundle.md``."""
+    project = os.path.basename(os.path.abspath(root))
+    parts = place_parts(bundle_tree(spark, root, policy, part_bytes), [])
+    name = bundle_name(F.lit(project), F.lit(at))
+    write_exact(spark, parts.withColumn("file_name", name), path)

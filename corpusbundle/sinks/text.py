@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbundle.functions.names import group_file_name
 from corpusbundle.functions.text import page_section
 from corpusbundle.operators.bundles import PART_BYTES
 from corpusbundle.plans.files import FilePolicy, part_listing, read_sections
+from corpusbundle.plans.web import filled_groups, with_file_names
 
 
 def write_ordered(
@@ -68,16 +68,11 @@ def write_grouped_pages(grouped: DataFrame, path: str) -> None:
     """One directory per group of ``plans.web.grouped_pages``, named like its file.
 
     Contents are parted by an empty line; unlike ``sinks.exact`` the document ends
-    with one too. Blank groups are not filtered here.
+    with one too.
     """
-    named = grouped.select(
-        group_file_name(F.col("prefix"), F.col("matched_path")).alias("file_name"),
-        "base_url",
-        "matched_path",
-        "url",
-        F.concat("content", F.lit("\n\n")).alias("section"),
-    )
-    write_ordered(named, path, ["base_url", "matched_path", "url"], "section", by=["file_name"])
+    named = with_file_names(filled_groups(grouped), grouped, ["url"])
+    sections = named.withColumn("section", F.concat("content", F.lit("\n\n")))
+    write_ordered(sections, path, ["url"], "section", by=["file_name"])
 
 
 def write_profile(policy: DataFrame, path: str) -> None:

@@ -1,13 +1,14 @@
 import os
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusbundle.plans.files import FilePolicy, bundle_table, bundle_tree
 from corpusbundle.plans.profile import generated_policy
-from corpusbundle.plans.web import grouped_pages
-from corpusbundle.sinks.exact import place_parts, write_exact
+from corpusbundle.plans.web import bundle_pages, grouped_pages
+from corpusbundle.sinks.exact import place_parts, write_exact, write_tree_file
 from corpusbundle.sinks.text import (
     write_combined_pages,
     write_grouped_pages,
@@ -15,6 +16,7 @@ from corpusbundle.sinks.text import (
     write_profile,
     write_tree_bundle,
 )
+from corpusbundle.sources.sites import sites_table
 from corpusbundle.sources.trees import read_content, scan_binary_tree, scan_tree
 
 FILES = {
@@ -144,11 +146,12 @@ def test_ordered_text_is_byte_exact(spark, tmp_path):
 def converted(spark):
     rows = [("https://a.org", "a", ["/x", "/y"], u, c) for u, c in [
         ("https://a.org/x/2", "two"), ("https://a.org/x/1", "one"), ("https://a.org/y", "why")]]
+    rows += [("https://b.org", "a", ["/x"], "https://b.org/x", "b"), ("https://b.org", "e", ["/"], "https://b.org/", " ")]
     df = spark.createDataFrame(rows, "b string, p string, allowed array<string>, url string, markdown string")
     site = F.struct(
         F.col("b").alias("base_url"), F.col("p").alias("file_name_prefix"), F.col("allowed").alias("allowed_paths")
     )
-    path = F.regexp_replace("url", "https://a.org", "")
+    path = F.regexp_replace("url", "https://[ab].org", "")
     return df.select("url", path.alias("url_path"), site.alias("site"), "markdown")
 
 
@@ -157,9 +160,13 @@ def test_page_sinks(spark, tmp_path):
     write_combined_pages(pages, "markdown", str(tmp_path / "single"))
     assert joined_files(tmp_path / "single") == (
         "## https://a.org/x/1\n\none\n\n## https://a.org/x/2\n\ntwo\n\n## https://a.org/y\n\nwhy\n\n"
+        "## https://b.org/\n\n \n\n## https://b.org/x\n\nb\n\n"
     )
     write_grouped_pages(grouped_pages(pages, "markdown"), str(tmp_path / "groups"))
-    assert joined_files(tmp_path / "groups" / "file_name=a-x.md") == "one\n\ntwo\n\n"
+    found = {joined_files(tmp_path / "groups" / d): d for d in os.listdir(tmp_path / "groups") if "=" in d}
+    # Both sites have a group a-x.md; the blank group of b.org is left out.
+    assert set(found) == {"one\n\ntwo\n\n", "why\n\n", "b\n\n"}
+    assert found["why\n\n"] == "file_name=a-y.md" and found["b\n\n"].startswith("file_name=a-x-")
 
 
 def test_exact_files(spark, tmp_path):
@@ -180,10 +187,22 @@ def test_exact_files(spark, tmp_path):
 
 def test_exact_file_of_a_tree(spark, tmp_path):
     root = plant(tmp_path / "proj", FILES)
-    parts = bundle_tree(spark, root, POLICY, part_bytes=20)
-    named = place_parts(parts, []).withColumn("file_name", F.lit("proj.bundle.md"))
-    write_exact(spark, named, str(tmp_path / "out"))
-    assert (tmp_path / "out" / "proj.bundle.md").read_text() == EXPECTED
+    write_tree_file(spark, root, str(tmp_path / "out"), POLICY, datetime(2024, 3, 5, 6, 7, 8), part_bytes=20)
+    assert os.listdir(tmp_path / "out") == ["proj-20240305-060708.bundle.md"]
+    assert (tmp_path / "out" / "proj-20240305-060708.bundle.md").read_text() == EXPECTED
+
+
+def test_exact_page_files(spark, tmp_path):
+    site = {"base_url": "https://a.org", "css_locator": "i", "exclude_selectors": [], "allowed_paths": ["/x", "/y"]}
+    rows = [(1, "https://a.org/x", "<i>x1"), (2, "https://a.org/x", "<i>x2"), (3, "https://a.org/y", "<i>é")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    for mode, expected in (
+        ("separate", {"doc-x.md": "x2", "doc-y.md": "é"}),
+        ("single", {"combined.md": "## https://a.org/x\n\nx2\n\n## https://a.org/y\n\né\n\n"}),
+    ):
+        out = tmp_path / mode
+        write_exact(spark, bundle_pages(pages, sites_table(spark, [site]), ["page_id"], mode), str(out))
+        assert {n: (out / n).read_text() for n in os.listdir(out)} == expected
 
 
 def test_generated_profile(spark, tmp_path):
