@@ -52,13 +52,14 @@ def lookup_join(
 def pages_of_sites(pages: DataFrame, sites: DataFrame, **options) -> DataFrame:
     """Every page with every site on its host; keeps all page columns and the site row.
 
-    Adds ``url_host``, ``url_path``, ``site`` (struct) and ``allowed``.
+    Columns besides ``html`` should tell copies of a page apart. Adds ``url_host``, ``url_path``, ``site`` (struct) and ``allowed``.
     """
     located = pages.withColumns(
         {"url_host": url_host(F.col("url")), "url_path": url_path(F.col("url"))}
     )
     rules = sites.select(url_host(F.col("base_url")).alias("url_host"), F.struct("*").alias("site"))
-    joined = lookup_join(located, rules, ["url_host"], ["url"], **options)
+    spread_by = [c for c in pages.columns if c != "html"]
+    joined = lookup_join(located, rules, ["url_host"], spread_by, **options)
     allowed = path_allowed(
         F.col("url_path"), F.col("site.allowed_paths"), F.col("site.exclude_paths")
     )

@@ -26,7 +26,7 @@ def slice_by_order(
 ) -> DataFrame:
     """Add ``_slice``: within a key, every row of a slice sorts before the next slice.
 
-    ``order`` must tell rows of a key apart; equal (keys, order) values share a slice.
+    Rows with equal (keys, order) share a slice, so ``order`` should tell them apart.
     Pass narrow rows only. The result is checkpointed, because slice numbers depend
     on sampled boundaries.
     """
@@ -68,6 +68,7 @@ def with_positions(
 ) -> DataFrame:
     """Add ``ordinal`` (from 0) and, given a size column, ``byte_offset`` within each key.
 
+    ``order`` must tell the rows of a key apart; the job fails if two are equal.
     ``keep_key_if`` names a boolean column: keys for which it never holds are left out.
     """
     sliced = slice_by_order(df, keys, order, slices)
@@ -81,7 +82,10 @@ def with_positions(
 
     measures = [F.count(F.lit(1)).alias("_n")]
     starts = [*keys, SLICE, sums(F.col("_n"), earlier).alias("_n0")]
-    added = {"_at": (F.row_number().over(within) - 1).cast("long")}
+    place = F.struct(*order)
+    clash = F.raise_error(F.concat(F.lit("rows of one document share their place: "), F.to_json(place)))
+    at = (F.row_number().over(within) - 1).cast("long")
+    added = {"_at": F.when(F.lag(place).over(within) == place, clash.cast("long")).otherwise(at)}
     result = {"ordinal": F.col("_n0") + F.col("_at")}
     if nbytes is not None:
         measures.append(F.sum(nbytes).alias("_b"))

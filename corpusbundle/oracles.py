@@ -402,6 +402,17 @@ FROM outer_parts JOIN article_md USING (page_id)""",
     "failed_pages": f"""
 WITH {_SEEDS}
 SELECT url, 'no content found in the document' AS error FROM asked ANTI JOIN pages USING (url)""",
+    "seed_summary": f"""
+WITH {_SEEDS}, {_ARTICLE_MD},
+answered AS (
+  SELECT a.url, {_HOST.replace("(url", "(a.url")} AS host, plain_title AS md
+  FROM asked a LEFT JOIN (
+    SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1
+  ) p USING (url) LEFT JOIN article_md USING (page_id)
+)
+SELECT host, count(*) AS n_urls, count(md) AS n_with_content,
+       CAST(sum(strlen(md)) AS BIGINT) AS content_bytes
+FROM answered GROUP BY host""",
     "throttle_schedule": _bucket("user_id", 172_800_000_000, 2),
     "throttle_shared": _bucket("1", 300_000_000, 3),
     "rule_violations": """

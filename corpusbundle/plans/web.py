@@ -25,20 +25,33 @@ COMBINED_NAME = "combined.md"
 GROUP = ("base_url", "prefix", "matched_path")
 
 
+def distinct_seeds(sites: DataFrame) -> DataFrame:
+    """Every seed URL once; among several sites that ask for it the last base URL has it."""
+    last = F.max_by("site", F.struct("site.base_url", "path_no")).alias("site")
+    return seed_urls(sites).groupBy("url").agg(last)
+
+
 def seeded_pages(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """Latest page of every seed URL with its site (columns url, html, url_path, site).
 
     Pages are selected before copies are merged, so only asked-for pages are
-    shuffled. Among several sites that ask for a URL the last base URL has it.
+    shuffled.
     """
-    seeds = seed_urls(sites).groupBy("url").agg(
-        F.max_by("site", F.struct("site.base_url", "path_no")).alias("site")
-    )
-    found = pages_of_seeds(pages.select("url", "html", *arrival), seeds, arrival)
+    found = pages_of_seeds(pages.select("url", "html", *arrival), distinct_seeds(sites), arrival)
     latest = keep_last(found, ["url"], arrival)
     return latest.select("url", "html", url_path(F.col("url")).alias("url_path"), "site")
 
 
+def seed_results(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """Every seed URL once, with its latest page or a null ``html`` (columns as ``seeded_pages``)."""
+    answered = seeded_pages(pages, sites, arrival).select("url", "html")
+    return (
+        distinct_seeds(sites)
+        .join(answered, "url", "left")
+        .select("url", "html", url_path(F.col("url")).alias("url_path"), "site")
+    )
+
+
 def hosted_pages(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """Latest page of every URL that a site on its host allows (columns as ``seeded_pages``).
 

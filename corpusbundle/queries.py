@@ -33,7 +33,7 @@ from corpusbundle.functions.text import (
     normalize_extract,
     page_section,
 )
-from corpusbundle.functions.urls import resolve_override, url_host, url_path
+from corpusbundle.functions.urls import url_host, url_path
 from corpusbundle.operators.bundles import bundle_parts, union_sections
 from corpusbundle.operators.dedupe import keep_last
 from corpusbundle.operators.durable import durable_table
@@ -49,8 +49,10 @@ from corpusbundle.plans.web import (
     bundle_by_path,
     bundle_pages,
     bundle_single,
+    converted_pages,
     grouped_pages,
     hosted_pages,
+    seed_results,
     seeded_pages,
     site_path,
     with_file_names,
@@ -397,14 +399,21 @@ def q_page_markdown_body(spark, sf):
     return html_to_markdown(table(spark, sf, "pages")).select("page_id", "markdown", "error")
 
 
+def seed_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = page_seeds(spark, sf_dir).select("site.*")
+    return converted_pages(seed_results(table(spark, sf_dir, "pages"), sites, ["page_id"]))
+
+
 def q_failed_pages(spark, sf):
-    asked = page_seeds(spark, sf).select("url", "site")
-    stored = table(spark, sf, "pages").select("url", "html")
-    css, excludes = resolve_override(
-        url_path(F.col("url")), F.col("site.css_locator"),
-        F.col("site.exclude_selectors"), F.col("site.path_overrides"),
+    return failed(seed_outcome(spark, sf)).select("url", "error")
+
+
+def q_seed_summary(spark, sf):
+    """Asked and answered seeds per host, with the bytes of their markdown."""
+    outcome = seed_outcome(spark, sf).select(
+        url_host(F.col("url")).alias("host"), "url", F.col("markdown").alias("content")
     )
-    return failed(page_markdown(asked.join(stored, "url", "left"), css, excludes)).select("url", "error")
+    return run_summary(outcome, "host")
 
 
 def q_web_bundle(spark, sf):

@@ -41,6 +41,12 @@ def test_positions_without_a_key(spark):
     assert sorted((r.o, r.ordinal) for r in placed) == [(i, i) for i in range(1000)]
 
 
+def test_rows_that_share_a_place_fail_the_job(spark):
+    df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 2, "c")], "k string, o int, t string")
+    with pytest.raises(Exception, match="share their place"):
+        bundle_parts(df, ["k"], ["o"], "t").collect()
+
+
 @pytest.mark.parametrize("sep", ["", "\n\n"])
 @pytest.mark.parametrize("part_bytes", [1, 50, 10**9])
 def test_parts_make_the_document(spark, sep, part_bytes):

@@ -1,4 +1,7 @@
+import os
+
 from corpusbundle.operators.dedupe import keep_last
+from corpusbundle.operators.durable import durable_table, release, shared_dir
 from corpusbundle.sources.sites import sites_table
 from corpusbundle.streaming.pages import write_converted
 
@@ -20,3 +23,11 @@ def test_pages_arriving_in_two_batches(spark, tmp_path):
     assert {(r.page_id, r.markdown) for r in found.collect()} == {(1, "old"), (3, "new"), (4, None)}
     latest = keep_last(found.drop("site"), ["url"], ["page_id"]).filter("error IS NULL")
     assert [(r.url, r.markdown, r.base_url) for r in latest.collect()] == [("https://a.org/x", "new", "https://a.org")]
+
+
+def test_tables_can_be_released(spark):
+    kept = durable_table(spark.range(3))
+    folder = shared_dir(spark).removeprefix("file:") + "/tables"
+    assert kept.count() == 3 and os.listdir(folder)
+    release(spark)
+    assert not os.path.exists(folder)
