@@ -170,10 +170,6 @@ def is_text_ext(ext: Column) -> Column:
     return ext.isin(list(TEXT_EXTENSIONS))
 
 
-def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"[^/]*\z", 0)
-
-
 def tree_key(path: Column) -> Column:
     """Sort key for walk order: names sorted within each directory, contents in place.
 

@@ -52,7 +52,8 @@ def lookup_join(
 def pages_of_sites(pages: DataFrame, sites: DataFrame, **options) -> DataFrame:
     """Every page with every site on its host; keeps all page columns and the site row.
 
-    Columns besides ``html`` should tell copies of a page apart. Adds ``url_host``, ``url_path``, ``site`` (struct) and ``allowed``.
+    Columns besides ``html`` should tell copies of a page apart. Adds
+    ``url_host``, ``url_path``, ``site`` (struct) and ``allowed``.
     """
     located = pages.withColumns(
         {"url_host": url_host(F.col("url")), "url_path": url_path(F.col("url"))}

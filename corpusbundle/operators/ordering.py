@@ -82,10 +82,13 @@ def with_positions(
 
     measures = [F.count(F.lit(1)).alias("_n")]
     starts = [*keys, SLICE, sums(F.col("_n"), earlier).alias("_n0")]
-    place = F.struct(*order)
-    clash = F.raise_error(F.concat(F.lit("rows of one document share their place: "), F.to_json(place)))
-    at = (F.row_number().over(within) - 1).cast("long")
-    added = {"_at": F.when(F.lag(place).over(within) == place, clash.cast("long")).otherwise(at)}
+    place = F.row_number().over(within)
+    clash = F.raise_error(
+        F.concat(F.lit("rows of one document share their place: "), F.to_json(F.struct(*order)))
+    )
+    # A row ranks below its number only if it ties with the row before it.
+    shared = F.rank().over(within) < place
+    added = {"_at": F.when(shared, clash.cast("long")).otherwise((place - 1).cast("long"))}
     result = {"ordinal": F.col("_n0") + F.col("_at")}
     if nbytes is not None:
         measures.append(F.sum(nbytes).alias("_b"))
