@@ -74,10 +74,10 @@ class Node:
 # end of the text, so each character is looked at once; a tag that never ends is
 # dropped with all that follows it.
 _TOKEN = re.compile(
-    r"<(?:!--(?P<comment>(?:(?!-?>).*?)?)(?:--!?>|-?>|\Z)"
-    r"|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)"
-    r"(?P<attrs>(?:[\s/]++|=?[^\s/>=]++"
-    r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?|=)*+)(?P<close>>|\Z)"
+    r"<(?:!--((?:(?!-?>).*?)?)(?:--!?>|-?>|\Z)"
+    r"|(/?)([A-Za-z][^\s/>]*+)"
+    r"((?:[\s/]++|=?[^\s/>=]++"
+    r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?|=)*+)(>|\Z)"
     r"|[!?/][^>]*+(?:>|\Z))",
     re.S,
 )
@@ -264,19 +264,19 @@ def parse(html: str) -> Node:
             data = html[at : token.start()]
             builder.text(unescape(data) if "&" in data else data)
         at = token.end()
-        name = token["name"]
-        if name is None or not token["close"]:
-            if token["comment"] is not None:
-                builder.comment(token["comment"])
+        comment, end, name, attrs, close = token.groups()
+        if not close:
+            if comment is not None:
+                builder.comment(comment)
             continue
         name = name.lower()
-        if token["end"]:
+        if end:
             builder.end(name)
             continue
-        builder.start(name, _attributes(token["attrs"]) if token["attrs"] else {})
+        builder.start(name, _attributes(attrs) if attrs else {})
         if name in RAW_UNTIL_END:
-            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
-            stop = close.start() if close and name != "plaintext" else len(html)
+            ending = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+            stop = ending.start() if ending and name != "plaintext" else len(html)
             if stop > at:
                 data = html[at:stop]
                 builder.text(data if name in RAW else unescape(data))
@@ -288,12 +288,13 @@ def parse(html: str) -> Node:
 
 _NAME = r"-?[A-Za-z_\u0080-\U0010ffff][\w\-\u0080-\U0010ffff]*"
 _SIMPLE = re.compile(
-    rf"\*|(?P<tag>{_NAME})|\.(?P<cls>{_NAME})|\#(?P<id>[\w\-]+)"
-    rf"|\[\s*(?P<attr>{_NAME})\s*(?:(?P<op>[~|^$*]?=)\s*"
-    r"(?:\"(?P<q2>[^\"]*)\"|'(?P<q1>[^']*)'|(?P<bare>[\w\-.]+))\s*)?\]"
+    rf"\*|({_NAME})|\.({_NAME})|\#([\w\-]+)"
+    rf"|\[\s*({_NAME})\s*(?:([~|^$*]?=)\s*"
+    r"(?:\"([^\"]*)\"|'([^']*)'|([\w\-.]+))\s*)?\]"
 )
 _COMBINATOR = re.compile(r"\s*([>,])\s*|\s+")
 _TESTS = {
+    "": lambda have, want: True,
     "=": lambda have, want: have == want,
     "~=": lambda have, want: want in have.split(),
     "|=": lambda have, want: have == want or have.startswith(want + "-"),
@@ -303,53 +304,68 @@ _TESTS = {
 }
 
 
+class Compound:
+    """What one element must be: ``*`` or a tag, with an id, classes and attributes."""
+
+    __slots__ = ("tag", "idents", "classes", "attrs", "empty")
+
+    def __init__(self):
+        self.tag, self.idents, self.classes, self.attrs, self.empty = None, [], set(), [], True
+
+    def take(self, m: re.Match) -> bool:
+        """Add one simple selector; a tag may only come first."""
+        tag, cls, ident, attr, op, quoted, single, bare = m.groups()
+        if tag and not self.empty:
+            return False
+        self.empty = False
+        self.tag = tag.lower() if tag else self.tag
+        if cls:
+            self.classes.add(cls)
+        elif ident:
+            self.idents.append(ident)
+        elif attr:
+            want = next((v for v in (quoted, single, bare) if v is not None), "")
+            self.attrs.append((attr.lower(), _TESTS[op or ""], want))
+        return True
+
+    def fits(self, node: Node) -> bool:
+        if self.tag is not None and node.tag != self.tag:
+            return False
+        have = node.attrs
+        return (
+            node.tag[0] != "#"
+            and all(have.get("id") == i for i in self.idents)
+            and (not self.classes or self.classes.issubset(have.get("class", "").split()))
+            and all(name in have and test(have[name], want) for name, test, want in self.attrs)
+        )
+
+
 def compile_selector(text: str) -> list | None:
-    """Alternatives, each a list of (combinator, simple tests); None when not understood."""
+    """Alternatives, each a list of (combinator, compound); None when not understood."""
     text = text.strip()
-    chain: list = [("", [])]
+    chain: list = [("", Compound())]
     alternatives = [chain]
     at = 0
     while at < len(text):
+        last = chain[-1][1]
         if m := _SIMPLE.match(text, at):
-            found = m.groupdict()
-            if found["tag"] and chain[-1][1]:
+            if not last.take(m):
                 return None
-            chain[-1][1].append(found)
-        elif (m := _COMBINATOR.match(text, at)) and chain[-1][1]:
+        elif (m := _COMBINATOR.match(text, at)) and not last.empty:
             if m.group(1) == ",":
-                chain = [("", [])]
+                chain = [("", Compound())]
                 alternatives.append(chain)
             else:
-                chain.append((m.group(1) or " ", []))
+                chain.append((m.group(1) or " ", Compound()))
         else:
             return None
         at = m.end()
-    return alternatives if all(tests for c in alternatives for _, tests in c) else None
-
-
-def _meets(node: Node, tests: list[dict]) -> bool:
-    if node.tag.startswith("#"):
-        return False
-    for t in tests:
-        if t["tag"] and node.tag != t["tag"].lower():
-            return False
-        if t["cls"] and t["cls"] not in node.attrs.get("class", "").split():
-            return False
-        if t["id"] and node.attrs.get("id") != t["id"]:
-            return False
-        if t["attr"]:
-            have = node.attrs.get(t["attr"].lower())
-            if have is None:
-                return False
-            want = next((t[k] for k in ("q2", "q1", "bare") if t[k] is not None), "")
-            if t["op"] and not _TESTS[t["op"]](have, want):
-                return False
-    return True
+    return None if any(c.empty for chain in alternatives for _, c in chain) else alternatives
 
 
 def _reaches(node: Node, chain: list, last: int) -> bool:
-    combinator, tests = chain[last]
-    if not _meets(node, tests):
+    combinator, compound = chain[last]
+    if not compound.fits(node):
         return False
     if last == 0:
         return True
