@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusbundle.functions.urls import path_allowed, url_host, url_path
+from corpusbundle.operators.dedupe import keep_last
 from corpusbundle.operators.durable import durable
 
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -68,10 +69,21 @@ def pages_of_sites(pages: DataFrame, sites: DataFrame, **options) -> DataFrame:
 
 
 def pages_of_seeds(
-    pages: DataFrame, seeds: DataFrame, arrival: Sequence[str], **options
+    pages: DataFrame,
+    seeds: DataFrame,
+    arrival: Sequence[str],
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Pages whose URL is a seed; copies of one URL are told apart by ``arrival``."""
-    return lookup_join(pages, seeds, ["url"], arrival, **options)
+    """The latest page of every seed that has one; ``seeds`` holds each URL once.
+
+    Few seeds are broadcast, so that only their pages are shuffled to settle
+    copies. With many, copies are settled first, which leaves one row per URL on
+    both sides and the pages already partitioned for the join.
+    """
+    seeds = durable(seeds)
+    if fits_broadcast(seeds, broadcast_bytes):
+        return keep_last(pages.join(F.broadcast(seeds), "url"), ["url"], arrival)
+    return keep_last(pages, ["url"], arrival).join(seeds.hint("shuffle_hash"), "url")
 
 
 def seeds_without_page(seeds: DataFrame, pages: DataFrame) -> DataFrame:

@@ -32,14 +32,9 @@ def distinct_seeds(sites: DataFrame) -> DataFrame:
 
 
 def seeded_pages(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """Latest page of every seed URL with its site (columns url, html, url_path, site).
-
-    Pages are selected before copies are merged, so only asked-for pages are
-    shuffled.
-    """
+    """Latest page of every seed URL with its site (columns url, html, url_path, site)."""
     found = pages_of_seeds(pages.select("url", "html", *arrival), distinct_seeds(sites), arrival)
-    latest = keep_last(found, ["url"], arrival)
-    return latest.select("url", "html", url_path(F.col("url")).alias("url_path"), "site")
+    return found.select("url", "html", url_path(F.col("url")).alias("url_path"), "site")
 
 
 def seed_results(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusbundle.operators.bundles import bundle_parts
 from corpusbundle.operators.dedupe import keep_last
-from corpusbundle.operators.lookups import lookup_join, pages_of_sites, seeds_without_page
+from corpusbundle.operators.lookups import lookup_join, pages_of_seeds, pages_of_sites, seeds_without_page
 from corpusbundle.operators.ordering import with_positions
 from corpusbundle.operators.profiles import ext_profile, run_summary
 from corpusbundle.operators.rules import rule_violations, selector_violations
@@ -133,6 +133,17 @@ def test_salted_lookup_equals_broadcast(spark, how):
     assert "_salt" in salted._jdf.queryExecution().toString()
 
 
+def test_latest_pages_of_few_and_many_seeds(spark):
+    rows = [("hot", i, f"h{i}") for i in range(200)] + [("a", 1, "x"), ("b", 1, "no seed")]
+    pages = spark.createDataFrame(rows, "url string, at int, html string")
+    seeds = spark.createDataFrame([("hot", "s"), ("a", "t"), ("none", "u")], "url string, site string")
+    for limit in (10**9, 0):
+        found = pages_of_seeds(pages, seeds, ["at"], limit)
+        assert {(r.url, r.at, r.html, r.site) for r in found.collect()} == {
+            ("hot", 199, "h199", "s"), ("a", 1, "x", "t")
+        }
+
+
 SITES = [
     {
         "base_url": "https://example.com", "css_locator": "main", "exclude_selectors": [".ads"],
