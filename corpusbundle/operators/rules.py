@@ -58,7 +58,7 @@ def rule_violations(policies: DataFrame, *ids: str) -> DataFrame:
 
 
 def selector_violations(sites: DataFrame) -> DataFrame:
-    """Site and override selectors that the page job cannot evaluate (pseudo-classes)."""
+    """Site and override selectors that the page job cannot evaluate (pseudo-classes, siblings)."""
     none = F.array().cast("array<string>")
     overrides = F.col("path_overrides")
     used = F.flatten(
@@ -70,5 +70,5 @@ def selector_violations(sites: DataFrame) -> DataFrame:
         )
     )
     return sites.select("base_url", F.explode(F.array_distinct(used)).alias("selector")).filter(
-        F.col("selector").rlike(r"^[^\[\"']*:")
+        F.regexp_replace("selector", r"\[[^\]]*\]", "").rlike("[:+~]")
     )

@@ -218,13 +218,13 @@ def test_rule_violations(spark):
 def test_selector_violations(spark):
     rules = [
         {
-            "base_url": "u", "css_locator": "p:nth-child(2)", "exclude_selectors": [".a", "a[href='x:y']"],
+            "base_url": "u", "css_locator": "p:nth-child(2)", "exclude_selectors": [".a", "a[href='x:y']", "a[b~=c] + d"],
             "path_overrides": [{"path": "/", "css_locator": "b:not(.x)", "exclude_selectors": ["i:hover", "i"]}],
         },
         {"base_url": "v"},
     ]
     found = {(r.base_url, r.selector) for r in selector_violations(sites_table(spark, rules)).collect()}
-    assert found == {("u", "p:nth-child(2)"), ("u", "b:not(.x)"), ("u", "i:hover")}
+    assert found == {("u", "p:nth-child(2)"), ("u", "b:not(.x)"), ("u", "i:hover"), ("u", "a[b~=c] + d")}
 
 
 def test_profiles(spark):
