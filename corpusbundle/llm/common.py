@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusbundle.operators.durable import durable_table
 
-__all__ = ["durable_table", "flagged", "met_again", "slots", "spread_join", "table", "text_of"]
+__all__ = ["durable_table", "flagged", "slot_bitmap", "slots", "spread_join", "table", "text_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +40,16 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, weight: str) -> Da
     return rows.join(hot, key).unionByName(apart.join(groups.filter(~heavy), key))
 
 
-def met_again(keys: Column, rows: DataFrame, bits: int = 24) -> DataFrame:
-    """A bitmap (word, mask) of the slots that two or more rows fall into.
+def slot_bitmap(keys: Column, rows: DataFrame, least: int = 1, bits: int = 24) -> DataFrame:
+    """A bitmap (word, mask) of the slots that ``least`` or more rows fall into.
 
     It has 2**bits slots at every input size, so it may be broadcast. Two keys can
     share a slot: it tells which rows can be left out, not which are equal.
     """
     slot = F.pmod(keys, F.lit(1 << bits)).alias("_slot")
-    shared = rows.select(slot).groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    met = rows.select(slot).groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).filter(f"_n >= {least}")
     bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
-    return shared.groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+    return met.groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit).alias("_mask"))
 
 
 def flagged(rows: DataFrame, keys: Column, bitmap: DataFrame, name: str, bits: int = 24) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusbundle.llm.common import durable_table, flagged, met_again, spread_join, text_of
+from corpusbundle.llm.common import durable_table, flagged, slot_bitmap, spread_join, text_of
 
 PREFIX = 256
 
@@ -34,11 +34,11 @@ def exact_duplicates(
         F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), F.struct(F.lit(0).alias("_none"), *carry).alias("_with")
     )
     size = F.xxhash64(F.octet_length("_text"))
-    lengths = durable_table(met_again(size, source))
+    lengths = durable_table(slot_bitmap(size, source, least=2))
 
     prefix = F.xxhash64(F.octet_length("_text"), F.substring("_text", 1, PREFIX))
     of_length = flagged(source.select("_text"), size, lengths, "_again")
-    prefixes = durable_table(met_again(prefix, of_length.filter("_again")))
+    prefixes = durable_table(slot_bitmap(prefix, of_length.filter("_again"), least=2))
 
     by_length = flagged(source, size, lengths, "_again")
     open_key = F.when(F.col("_again"), prefix)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusbundle.llm.chat import rotate_perspectives
 from corpusbundle.llm.common import table, text_of
 from corpusbundle.llm.exact import exact_duplicates
+from corpusbundle.llm.packing import pack
 from corpusbundle.llm.reputation import judge_urls
+from corpusbundle.llm.token_counts import count_tokens
+from corpusbundle.operators.durable import shared_dir
 
 #: Fixed values of the query: (verdict, host, path).
 URL_RULES = [
@@ -26,6 +32,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(docs, carry=[F.sha2(text_of("text"), 256).alias("text_sha256")])
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the tables carry one id space, so a page's outcome is the label of its id."""
     pages = table(spark, sf_dir, "pages")
@@ -36,9 +50,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, outcomes, URL_RULES)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache each time, so that the query does its whole work."""
+    cache = f"{shared_dir(spark)}/token-counts/{uuid.uuid4().hex}"
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    counted = count_tokens(table(spark, sf_dir, "documents"), tokenizer, cache)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_chat_format": op4_chat_format,
+    "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
