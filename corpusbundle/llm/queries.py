@@ -14,6 +14,7 @@ from corpusbundle.llm.common import table, text_of
 from corpusbundle.llm.exact import exact_duplicates
 from corpusbundle.llm.packing import pack
 from corpusbundle.llm.reputation import judge_urls
+from corpusbundle.llm.simhash import near_duplicates
 from corpusbundle.llm.token_counts import count_tokens
 from corpusbundle.operators.durable import shared_dir
 
@@ -32,6 +33,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(docs, carry=[F.sha2(text_of("text"), 256).alias("text_sha256")])
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -60,6 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
