@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusbundle.llm.chat import rotate_perspectives
 from corpusbundle.llm.common import table, text_of
+from corpusbundle.llm.decontamination import contaminated
 from corpusbundle.llm.exact import exact_duplicates
 from corpusbundle.llm.packing import pack
 from corpusbundle.llm.reputation import judge_urls
@@ -55,6 +56,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, outcomes, URL_RULES)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache each time, so that the query does its whole work."""
     cache = f"{shared_dir(spark)}/token-counts/{uuid.uuid4().hex}"
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
