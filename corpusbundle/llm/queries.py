@@ -14,6 +14,7 @@ from corpusbundle.llm.common import table, text_of
 from corpusbundle.llm.decontamination import contaminated
 from corpusbundle.llm.exact import exact_duplicates
 from corpusbundle.llm.packing import pack
+from corpusbundle.llm.quality import in_fold, train, with_scores
 from corpusbundle.llm.reputation import judge_urls
 from corpusbundle.llm.simhash import near_duplicates
 from corpusbundle.llm.token_counts import count_tokens
@@ -56,6 +57,22 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, outcomes, URL_RULES)
 
 
+#: Fixed value of the query.
+QUALITY_THRESHOLD = 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = train(docs, labels.filter(~in_fold("doc_id", 5, 0)))
+    return with_scores(docs, model).select(
+        "doc_id",
+        in_fold("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
