@@ -13,6 +13,7 @@ from corpusbundle.llm.chat import rotate_perspectives
 from corpusbundle.llm.common import table, text_of
 from corpusbundle.llm.decontamination import contaminated
 from corpusbundle.llm.exact import exact_duplicates
+from corpusbundle.llm.language_model import score_texts
 from corpusbundle.llm.packing import pack
 from corpusbundle.llm.quality import in_fold, train, with_scores
 from corpusbundle.llm.reputation import judge_urls
@@ -57,6 +58,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, outcomes, URL_RULES)
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), ~in_fold("doc_id", 7, 2))
+    return scored.select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score", "n_bytes",
+    )
+
+
 #: Fixed value of the query.
 QUALITY_THRESHOLD = 0.3
 
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_lm_scores": op7_lm_scores,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
