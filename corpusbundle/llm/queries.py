@@ -18,6 +18,7 @@ from corpusbundle.llm.packing import pack
 from corpusbundle.llm.quality import in_fold, train, with_scores
 from corpusbundle.llm.reputation import judge_urls
 from corpusbundle.llm.simhash import near_duplicates
+from corpusbundle.llm.substring import drop_repeated_windows
 from corpusbundle.llm.token_counts import count_tokens
 from corpusbundle.operators.durable import shared_dir
 
@@ -36,6 +37,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(docs, carry=[F.sha2(text_of("text"), 256).alias("text_sha256")])
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_windows(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -96,6 +102,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
