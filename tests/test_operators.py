@@ -146,33 +146,40 @@ def test_latest_pages_of_few_and_many_seeds(spark):
 
 SITES = [
     {
-        "base_url": "https://example.com", "css_locator": "main", "exclude_selectors": [".ads"],
-        "allowed_paths": ["/blog", ""], "exclude_paths": ["/admin"], "file_name_prefix": "example",
-        "path_overrides": [{"path": "/special", "css_locator": ".s", "exclude_selectors": [".side"]}],
-        "max_depth": 2,
+        "base_url": "http://museum.test:81", "css_locator": "#hall", "exclude_selectors": ["nav", ".map"],
+        "allowed_paths": ["/rooms", "", "/art"], "exclude_paths": ["/rooms/closed"], "file_name_prefix": "m",
+        "path_overrides": [
+            {"path": "/rooms/1", "css_locator": "", "exclude_selectors": [".price"]},
+            {"path": "/art", "css_locator": "figure", "exclude_selectors": []},
+        ],
+        "pages_each_day": 7,
     },
-    {"base_url": "http://other.org:81", "allowed_paths": ["/x"]},
-]
+    {"base_url": "https://lab.test", "allowed_paths": ["/runs"]},
+]
 
 
 def test_sites_and_seeds(spark):
     sites = sites_table(spark, SITES)
     first = sites.first()
-    assert first.path_overrides[0].exclude_selectors == [".side"] and "max_depth" not in sites.columns
+    assert first.path_overrides[0].exclude_selectors == [".price"] and "pages_each_day" not in sites.columns
     seeds = seed_urls(sites).select("url", "path_no").collect()
     assert {tuple(s) for s in seeds} == {
-        ("https://example.com/blog", 0), ("https://example.com", 1), ("http://other.org:81/x", 0)
-    }
-    pages = spark.createDataFrame([("https://example.com",)] * 3, "url string")
+        ("http://museum.test:81/rooms", 0), ("http://museum.test:81", 1), ("http://museum.test:81/art", 2),
+        ("https://lab.test/runs", 0),
+    }
+    pages = spark.createDataFrame([("http://museum.test:81",)] * 3, "url string")
     left = {r.url for r in seeds_without_page(seed_urls(sites), pages).collect()}
-    assert left == {"https://example.com/blog", "http://other.org:81/x"}
+    assert left == {"http://museum.test:81/rooms", "http://museum.test:81/art", "https://lab.test/runs"}
     plain = sites_from_urls(pages.distinct(), "h1", [".ad"])
     assert plain.schema.fieldNames() == sites.schema.fieldNames()
-    assert [s.url for s in seed_urls(plain).collect()] == ["https://example.com"]
+    assert [s.url for s in seed_urls(plain).collect()] == ["http://museum.test:81"]
 
 
 def test_pages_of_sites(spark):
-    urls = ["https://example.com/blog/1", "https://example.com/admin", "http://other.org/x", "http://other.org:81/x"]
+    urls = [
+        "http://museum.test:81/rooms/2", "http://museum.test:81/rooms/closed",
+        "https://lab.test:9/runs", "https://lab.test/runs/a",
+    ]
     pages = spark.createDataFrame([(u,) for u in urls], "url string")
     for limit in (10**9, 0):
         found = pages_of_sites(pages, sites_table(spark, SITES), broadcast_bytes=limit)
@@ -182,18 +189,17 @@ def test_pages_of_sites(spark):
 
 
 def test_rule_violations(spark):
-    site, bare = [{"base_url": "https://example.com"}], [{}]
+    named, unnamed = [{"base_url": "ftp://lab.test"}], [{"base_url": "x"}, {"base_url": ""}]
     cases = [
-        ({"file_extensions": ["go"], "sites": site}, []),
-        ({"file_extensions": ["go"], "output_type": "single"}, []),
-        ({"file_extensions": ["go"], "output_type": "separate"}, []),
-        ({"sites": site}, []),
-        ({}, [1]),
-        ({"file_extensions": ["go"], "requests_per_second": -1.0}, [3]),
-        ({"file_extensions": ["go"], "burst_limit": -1}, [4]),
-        ({"file_extensions": ["go"], "sites": bare}, [5]),
-        ({"file_extensions": ["go"], "output_type": "invalid"}, [2]),
-        ({"output_type": "x", "requests_per_second": 0.0, "burst_limit": 0}, [1, 2, 3, 4]),
+        ({"file_extensions": ["rs", "c"], "requests_per_second": 0.5, "burst_limit": 9}, []),
+        ({"sites": named, "output_type": "separate", "burst_limit": 1}, []),
+        ({"sites": named, "file_extensions": [], "output_type": ""}, []),
+        ({"file_extensions": [], "sites": []}, [1]),
+        ({"sites": named, "output_type": "Single"}, [2]),
+        ({"sites": named, "requests_per_second": 0.0, "burst_limit": 2}, [3]),
+        ({"file_extensions": ["c"], "burst_limit": 0}, [4]),
+        ({"sites": unnamed, "requests_per_second": -0.1}, [3, 5]),
+        ({"output_type": "x", "requests_per_second": -3.0, "burst_limit": -2}, [1, 2, 3, 4]),
     ]
     names = POLICY_SCHEMA.fieldNames()
 

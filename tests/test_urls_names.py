@@ -25,8 +25,8 @@ def texts(*items):
 
 
 def test_sanitize_name(spark):
-    inputs = ["Hello, World!", "file/with/path", "file.with.dots", "___leading_underscores___", "", "!@#$%^&*()"]
-    expected = ["Hello_World", "file_with_path", "file_with_dots", "leading_underscores", "untitled", "untitled"]
+    inputs = ["Q3: sales (draft)", "a\\b/c", "v1.2.3-rc", "_x_", "  ", "", "§±~", "keep-dash_and_9"]
+    expected = ["Q3_sales_draft", "a_b_c", "v1_2_3-rc", "x", "untitled", "untitled", "untitled", "keep-dash_and_9"]
     assert values(spark, inputs, sanitize_name) == expected
     assert values(spark, ["--a b--", "", "é"], sanitize_dashed) == ["a-b", "", ""]
     assert values(spark, ["/docs/a_b/", "/", "//x--y//"], normalize_url_path) == ["docs-a-b", "", "x-y"]
@@ -34,16 +34,15 @@ def test_sanitize_name(spark):
 
 def test_page_filename(spark):
     cases = [
-        ("<title>Test Page</title>", "http://example.com", "Test_Page.bundle.md", None),
-        ("No title here", "http://example.com/page", "example_com_page.bundle.md", None),
-        ("<title>  Trim  Me  </title>", "http://example.com", "Trim_Me.bundle.md", None),
-        ("<title></title>", "http://example.com", "example_com.bundle.md", None),
-        ("<title>   </title>", "http://example.com", "example_com.bundle.md", None),
-        ("<title> 　</title>", "http://example.com/", "example_com.bundle.md", None),
-        ("Invalid URL", "not a valid url", None, "invalid URL: missing host"),
-        ("No host", "http://", None, "invalid URL: missing host"),
-        ("Bad", "http://h/%zz", None, "invalid URL"),
-        ("</title><title>x", "http://example.com/a/", "example_com_a.bundle.md", None),
+        ("<head><title>Annual report, 2023</title>", "https://acme.test/r", "Annual_report_2023.bundle.md", None),
+        ("plain words", "https://acme.test/docs/faq?x=1", "acme_test_docs_faq.bundle.md", None),
+        ("<title>\n Two\tparts </title>", "https://acme.test", "Two_parts.bundle.md", None),
+        ("<title></title>", "https://acme.test#top", "acme_test.bundle.md", None),
+        ("<title> 　</title>", "https://acme.test/", "acme_test.bundle.md", None),
+        ("words", "just/a/path", None, "invalid URL: missing host"),
+        ("words", "https://", None, "invalid URL: missing host"),
+        ("words", "http://h/%zz", None, "invalid URL"),
+        ("</title><title>x", "https://acme.test/a/", "acme_test_a.bundle.md", None),
         ("<TITLE>x</TITLE>", "http://h:80/a", "h_80_a.bundle.md", None),
     ]
     rows = spark.createDataFrame(
@@ -53,7 +52,7 @@ def test_page_filename(spark):
     found = rows.select("i", page_filename(html, url), page_filename_error(html, url)).orderBy("i")
     assert [tuple(r)[1:] for r in found.collect()] == [(n, e) for _, _, n, e in cases]
     dashed = rows.select("i", page_filename_dashed(html, url)).orderBy("i").limit(4).collect()
-    assert [r[1] for r in dashed] == ["Test-Page.md", "http-example-com-page.md", "Trim-Me.md", ".md"]
+    assert [r[1] for r in dashed] == ["Annual-report-2023.md", "https-acme-test-docs-faq-x-1.md", "Two-parts.md", ".md"]
 
 
 def test_group_and_bundle_names(spark):
@@ -75,7 +74,7 @@ def test_human_size(spark):
 
 def test_url_parts(spark):
     cases = {
-        "https://example.com/blog/post1": ("example.com", "/blog/post1"),
+        "https://acme.test/news/2024": ("acme.test", "/news/2024"),
         "http://u:p@h.com:80/a%20b?x#y": ("h.com:80", "/a b"),
         "http://h.com": ("h.com", ""),
         "http://h.com?q=/a": ("h.com", ""),
@@ -99,43 +98,45 @@ def test_url_parts(spark):
 
 def test_url_allowed(spark):
     urls = {
-        "https://example.com/blog/post1": True,
-        "https://example.com/blogging": True,
-        "https://example.com/products/item1": True,
-        "https://example.com/admin/dashboard": False,
-        "https://example.com/private/data": False,
-        "https://example.com/other/page": False,
-        "https://othersite.com/blog/post1": False,
-        "https://example.com:81/blog": False,
-        "https://example.com/%zz": False,
+        "https://shop.test/lamps/9": True,
+        "https://shop.test/lampshades": True,
+        "https://shop.test/chairs": True,
+        "https://shop.test/lamps-old/1": False,
+        "https://shop.test/chairs/used": False,
+        "https://shop.test/": False,
+        "https://www.shop.test/lamps/9": False,
+        "https://shop.test:8443/lamps": False,
+        "https://shop.test/%zz": False,
     }
-    base = F.lit("https://example.com")
-    allowed = lambda c: url_allowed(c, base, texts("/blog", "/products"), texts("/admin", "/private"))
+    base = F.lit("https://shop.test")
+    kept, dropped = texts("/lamps", "/chairs"), texts("/lamps-old", "/chairs/used")
+    allowed = lambda c: url_allowed(c, base, kept, dropped)
     assert values(spark, list(urls), allowed) == list(urls.values())
     none = F.lit(None).cast("array<string>")
     assert values(spark, list(urls), lambda c: url_allowed(c, base, none, none)) == [False] * len(urls)
-    assert values(spark, ["https://example.com/blog"], lambda c: url_allowed(c, base, texts("/"), none)) == [True]
+    assert values(spark, ["https://shop.test/lamps"], lambda c: url_allowed(c, base, texts("/"), none)) == [True]
 
 
 def test_resolve_override(spark):
     kind = "array<struct<path:string,css_locator:string,exclude_selectors:array<string>>>"
     overrides = F.array(
-        F.struct(F.lit("/special"), F.lit(".special-content"), texts(".sidebar")),
+        F.struct(F.lit("/wiki"), F.lit("#text"), texts(".toc", "nav")),
         F.struct(F.lit("/keep"), F.lit(""), texts(".x")),
         F.struct(F.lit("/bare"), F.lit("b"), texts()),
-        F.struct(F.lit("/special/page"), F.lit("late"), texts(".late")),
+        F.struct(F.lit("/wiki/long"), F.lit("late"), texts(".late")),
     ).cast(kind)
-    rules = lambda c: F.struct(*resolve_override(url_path(c), F.lit("main"), texts(".ads"), overrides))
-    urls = ["normal", "special", "special/page", "keep/1", "bare", "%zz"]
-    found = values(spark, [f"https://example.com/{u}" for u in urls], rules)
-    assert [tuple(r) for r in found] == [
-        ("main", [".ads"]),
-        (".special-content", [".sidebar"]),
-        (".special-content", [".sidebar"]),
-        ("main", [".x"]),
-        ("b", []),
-        ("main", [".ads"]),
-    ]
+    rules = lambda c: F.struct(*resolve_override(url_path(c), F.lit("div"), texts(".promo"), overrides))
+    expected = {
+        "about": ("div", [".promo"]),
+        "wiki": ("#text", [".toc", "nav"]),
+        "wiki/long/1": ("#text", [".toc", "nav"]),
+        "wikis": ("#text", [".toc", "nav"]),
+        "keep/1": ("div", [".x"]),
+        "bare": ("b", []),
+        "%zz": ("div", [".promo"]),
+    }
+    found = values(spark, [f"https://shop.test/{u}" for u in expected], rules)
+    assert [tuple(r) for r in found] == list(expected.values())
     none = F.lit(None).cast(kind)
     bare = lambda c: F.struct(*resolve_override(url_path(c), F.lit("m"), texts(".a"), none))
     assert tuple(values(spark, ["http://h/x"], bare)[0]) == ("m", [".a"])
