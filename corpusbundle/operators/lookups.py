@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusbundle.functions.urls import path_allowed, url_host, url_path
-from corpusbundle.operators.dedupe import keep_last
-from corpusbundle.operators.durable import durable
+from corpusbundle.operators.dedupe import keep_last_wide
+from corpusbundle.operators.durable import durable, durable_table
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
@@ -68,6 +68,62 @@ def pages_of_sites(pages: DataFrame, sites: DataFrame, **options) -> DataFrame:
     return joined.withColumn("allowed", allowed)
 
 
+def sites_of_urls(urls: DataFrame, sites: DataFrame, **options) -> DataFrame:
+    """(url, url_path, site) of the URLs that a site allows, each once.
+
+    A site allows what lies below its base path, under one of its allowed paths taken from
+    there, and under no excluded one. URLs and rules meet on (host, path prefix): a URL is
+    looked up at the prefix lengths that its host's rules have, so a host with many pages
+    and many rules gives no pairs of them. A URL that several sites allow goes to the last
+    base URL, then to the greatest rule row.
+    """
+    rules = durable_table(_prefix_rules(sites))
+    lengths = rules.groupBy("_host").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    located = urls.select("url", url_host(F.col("url")).alias("_host"), url_path(F.col("url")).alias("url_path"))
+    keyed = lookup_join(located, lengths, ["_host"], ["url"], **options).select(
+        "url",
+        "url_path",
+        "_host",
+        F.explode(
+            F.filter(
+                F.transform("_lengths", lambda n: F.when(F.length("url_path") >= n, F.substring("url_path", F.lit(1), n))),
+                lambda p: p.isNotNull(),
+            )
+        ).alias("_prefix"),
+    )
+    met = lookup_join(keyed, rules, ["_host", "_prefix"], ["url"], **options)
+    below = F.substr("url_path", F.length("_base") + F.lit(1))
+    # The base path ends at a slash or at the end of the URL's path.
+    whole = below.startswith("/") | (below == "")
+    excluded = F.exists(F.coalesce("site.exclude_paths", F.array().cast("array<string>")), lambda x: below.startswith(x))
+    rank = F.struct("site.base_url", F.to_json("site"))
+    return (
+        met.filter(whole & ~F.coalesce(excluded, F.lit(False)))
+        .groupBy("url")
+        .agg(F.first("url_path").alias("url_path"), F.max_by("site", rank).alias("site"))
+    )
+
+
+def _prefix_rules(sites: DataFrame) -> DataFrame:
+    """(host, base, prefix, site): a row for each allowed path, with the whole prefix of its URLs' paths.
+
+    Of rules that differ in nothing that decides here, the one that would win is kept.
+    """
+    base = F.regexp_replace(url_path(F.col("base_url")), r"/\z", "")
+    each = sites.select(
+        url_host(F.col("base_url")).alias("_host"),
+        base.alias("_base"),
+        F.struct("*").alias("site"),
+        F.explode(F.array_distinct("allowed_paths")).alias("_path"),
+    ).withColumn("_prefix", F.concat("_base", "_path"))
+    rank = F.struct("site.base_url", F.to_json("site"))
+    return (
+        each.groupBy("_host", "_base", "_prefix", F.to_json("site.exclude_paths").alias("_excluded"))
+        .agg(F.max_by("site", rank).alias("site"))
+        .drop("_excluded")
+    )
+
+
 def pages_of_seeds(
     pages: DataFrame,
     seeds: DataFrame,
@@ -76,14 +132,14 @@ def pages_of_seeds(
 ) -> DataFrame:
     """The latest page of every seed that has one; ``seeds`` holds each URL once.
 
-    Few seeds are broadcast, so that only their pages are shuffled to settle
-    copies. With many, copies are settled first, which leaves one row per URL on
-    both sides and the pages already partitioned for the join.
+    Pages are selected before copies are settled, so copies of other pages never move.
+    Few seeds are broadcast; many are joined by hash, and a URL with many copies is
+    split like any large partition of a join.
     """
     seeds = durable(seeds)
-    if fits_broadcast(seeds, broadcast_bytes):
-        return keep_last(pages.join(F.broadcast(seeds), "url"), ["url"], arrival)
-    return keep_last(pages, ["url"], arrival).join(seeds.hint("shuffle_hash"), "url")
+    few = fits_broadcast(seeds, broadcast_bytes)
+    found = pages.join(F.broadcast(seeds) if few else seeds, "url")
+    return keep_last_wide(found, ["url"], arrival)
 
 
 def seeds_without_page(seeds: DataFrame, pages: DataFrame) -> DataFrame:

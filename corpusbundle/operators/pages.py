@@ -1,107 +1,29 @@
-"""The page job: CSS extraction and markdown for a table of stored pages.
+"""What a stored page gives to a document: one column expression over its row.
 
-The only Python stage of a page plan. It takes three columns (html, selector,
-excludes) in Arrow batches; all other columns stay in the JVM, and the html
-column is gone before anything is shuffled.
+The expression is the caller's: a title, a cleaned column of the page table, or any
+other. It stays inside the plan, so filters and column pruning reach the scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusbundle.functions.html_text import inner_html, markdown
-from corpusbundle.functions.html_tree import parse, pick
-from corpusbundle.functions.text import normalize_extract
+from corpusbundle.functions.names import html_title
 
+# Fixed value: the error of a page that gives nothing.
 NO_CONTENT = "no content found in the document"
 
-_RESULT = T.StructType(
-    [T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]
-)
-_Batches = Iterator[tuple[pd.Series, pd.Series, pd.Series]]
-
-
-def _per_page(batches: _Batches, work: Callable[[str, str, list], str]) -> Iterator[pd.DataFrame]:
-    """One (text, error) row per page; a page that fails does not fail its batch."""
-    for html, css, excludes in batches:
-        texts: list[str | None] = []
-        errors: list[str | None] = []
-        for page, selector, drops in zip(html, css, excludes):
-            text, error = None, None
-            if page is None:
-                error = NO_CONTENT
-            else:
-                try:
-                    text = work(page, selector or "", list(drops) if drops is not None else [])
-                except Exception as e:  # noqa: BLE001 - kept as the page's error value
-                    error = f"error parsing HTML: {type(e).__name__}: {e}"
-            texts.append(text)
-            errors.append(error)
-        yield pd.DataFrame({"text": texts, "error": errors})
-
-
-@F.pandas_udf(_RESULT)
-def _extracted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    def work(page, css, excludes):
-        return inner_html(pick(parse(page), css, excludes))
-
-    yield from _per_page(batches, work)
-
-
-@F.pandas_udf(_RESULT)
-def _converted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    def work(page, css, excludes):
-        tree = parse(page)
-        if css == "":
-            return markdown(tree.kids[1])
-        return markdown(pick(tree, css, excludes), trim_lines=True)
-
-    yield from _per_page(batches, work)
-
-
-def spread(pages: DataFrame) -> DataFrame:
-    """Give every task slot a share of a small page table.
-
-    A table of fewer files than slots would keep most slots idle in the page job.
-    Larger tables are left as they are scanned, so no html is shuffled at scale.
-    """
-    slots = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.isStreaming or len(pages._jdf.inputFiles()) >= slots:
-        return pages
-    return pages.repartition(slots)
-
-
-def _apply(pages: DataFrame, job, css: Column, excludes: Column, into: str) -> DataFrame:
-    kept = [c for c in pages.columns if c not in ("html", into, "error")]
-    # Not deterministic for the optimizer: a filter on the result must not run the job again.
-    job = job.asNondeterministic()
-    needed = spread(pages.withColumns({"_css": css, "_excludes": excludes}))
-    done = needed.withColumn("_done", job(F.col("html"), F.col("_css"), F.col("_excludes")))
-    return done.select(*kept, F.col("_done.text").alias(into), F.col("_done.error").alias("error"))
-
-
-def css_extract(pages: DataFrame, css: Column, excludes: Column) -> DataFrame:
-    """Replace ``html`` by ``extract`` and ``error``.
-
-    ``extract`` is the inner HTML of the first element that matches the selector
-    (the body if none does), without the excluded elements, lines trimmed.
-    """
-    found = _apply(pages, _extracted, css, excludes, "extract")
-    return found.withColumn("extract", normalize_extract(F.col("extract")))
-
-
-def page_markdown(pages: DataFrame, css: Column, excludes: Column) -> DataFrame:
-    """Replace ``html`` by ``markdown`` and ``error``.
 
-    With an empty selector the whole body is converted and excludes are not applied.
-    """
-    return _apply(pages, _converted, css, excludes, "markdown")
+def title_content() -> Column:
+    """The page's title, the default content."""
+    return html_title(F.col("html"))
 
 
-def html_to_markdown(pages: DataFrame) -> DataFrame:
-    return page_markdown(pages, F.lit(""), F.array().cast("array<string>"))
+def page_content(pages: DataFrame, content: Column | None = None) -> DataFrame:
+    """Replace ``html`` by ``content``; where that is null, ``error`` tells so and the row stays."""
+    value = title_content() if content is None else content
+    kept = [c for c in pages.columns if c not in ("html", "content", "error")]
+    return pages.select(*kept, value.alias("content")).withColumn(
+        "error", F.when(F.col("content").isNull(), F.lit(NO_CONTENT))
+    )

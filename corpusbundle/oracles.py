@@ -78,77 +78,14 @@ parted AS (
 )"""
 
 
-_ARTICLE = r"""
-article AS (
-  SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS title,
-         string_split(regexp_extract(html, '<article>.*?</h1>(.*)</article>', 1, 's'), '<p>')[2:] AS items
-  FROM pages
-),
-item AS (
-  SELECT page_id, unnest(items) AS raw, generate_subscripts(items, 1) AS i FROM article
-),
-bold AS (
-  SELECT page_id, i, raw, raw LIKE '<b>%' AS own,
-         CAST(coalesce(sum(CASE WHEN raw LIKE '<b>%' THEN 1 ELSE 0 END) OVER (
-           PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-           AS BIGINT) AS prior,
-         regexp_replace(raw, '</?(p|b|br)>', '', 'g') AS body
-  FROM item
-)"""
-
-
-def _decoded(text: str) -> str:
-    """References as the pages use them; a title may be cut off before the semicolon."""
-    for code, char in (
-        ("quot;?", '"'), ("lt;?", "<"), ("gt;?", ">"), ("copy;?", "\u00a9"), ("middot;?", "\u00b7"),
-        ("amp;?", "&"),
-    ):
-        text = f"regexp_replace({text}, '&{code}', '{char}', 'g')"
-    return text
-
-
-def _encoded(text: str) -> str:
-    out = f"replace({_decoded(text)}, '&', '&amp;')"
-    for char, code in (("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;")):
-        out = f"replace({out}, '{char}', '{code}')"
-    return out
-
-
-def _escaped(text: str) -> str:
-    """Decoded text with tidy white space and escaped markup characters."""
-    tidy = f"regexp_replace(regexp_replace({_decoded(text)}, '[ \\t]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g')"
-    marked = f"regexp_replace({tidy}, '([\\\\*_`|])', '\\\\\\1', 'g')"
-    lists = f"regexp_replace({marked}, '(^|\\n)(#{{1,6}}[ \\n]|>|[-+][ \\n])', '\\1\\\\\\2', 'g')"
-    return f"trim(regexp_replace({lists}, '(^|\\n)(\\d+)\\.([ \\n])', '\\1\\2\\\\.\\3', 'g'), ' ' || chr(10))"
-
-
 def _trimmed_lines(text: str) -> str:
     return f"""trim(array_to_string(list_transform(
     string_split({text}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), chr(10)), chr(10))"""
 
 
-_ARTICLE_MD = f"""{_ARTICLE},
-texts AS (
-  SELECT page_id, i, own OR prior > 0 AS strong, {_escaped("body")} AS t FROM bold
-),
-blocks AS (
-  SELECT page_id, string_agg(CASE WHEN strong
-    THEN '**' || replace(t, chr(10), '**' || chr(10) || '**') || '**' ELSE t END,
-    chr(10) || chr(10) ORDER BY i) AS md
-  FROM texts WHERE t <> '' GROUP BY page_id
-),
-article_md AS (
-  SELECT page_id, {_escaped("title")} AS plain_title,
-         '# ' || replace({_escaped("title")}, chr(10), ' ')
-         || coalesce(chr(10) || chr(10) || md, '') AS md
-  FROM article LEFT JOIN blocks USING (page_id)
-)"""
-
-_RULED = f"""
-ruled AS (
-  SELECT * EXCLUDE (css, md), css,
-         CASE css WHEN 'h1' THEN plain_title WHEN 'nav' THEN '' ELSE md END AS md
-  FROM (SELECT *, {_CSS} AS css FROM latest JOIN article_md USING (page_id))
+_TITLED = """
+titled AS (
+  SELECT *, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM latest
 )"""
 
 
@@ -352,66 +289,21 @@ WITH {_SECTIONS}
 SELECT 'file' AS kind, rel_path AS name, section FROM sections
 UNION ALL
 SELECT 'page', url, '## ' || url || chr(10) || chr(10) || html || chr(10) || chr(10) FROM pages""",
-    "css_extract": f"""
-WITH {_ARTICLE},
-shown AS (
-  SELECT *, CASE WHEN trim(body, ' ' || chr(10)) = '' AND NOT own THEN 0
-                 ELSE least(prior, 3) + CASE WHEN own THEN 1 ELSE 0 END END AS depth
-  FROM bold
-),
-html AS (
-  SELECT page_id, string_agg('<p>' || repeat('<b>', depth) || {_encoded("body")}
-    || CASE WHEN raw LIKE '%<br>%' THEN '<br/>' ELSE '' END || repeat('</b>', depth) || '</p>',
-    '' ORDER BY i) AS ps
-  FROM shown GROUP BY page_id
-),
-whole AS (
-  SELECT page_id, '<h1>' || {_encoded("title")} || '</h1>' || coalesce(ps, '') AS t
-  FROM article LEFT JOIN html USING (page_id)
-)
-SELECT page_id, {_trimmed_lines("t")} AS extract, CAST(NULL AS VARCHAR) AS error FROM whole""",
-    "css_extract_exclude": """
-SELECT page_id, '<nav><ul>' || repeat('<li></li>',
-         CAST(len(string_split(html, '<li>')) - 1 AS INTEGER)) || '</ul></nav>'
-         || regexp_extract(html, '<!-- ad \\d+ -->') AS extract
-FROM pages""",
-    "page_markdown": f"""
-WITH {_ARTICLE_MD} SELECT page_id, md AS markdown, CAST(NULL AS VARCHAR) AS error FROM article_md""",
-    "page_markdown_rules": f"""
-WITH {_LOCATED}, {_ARTICLE_MD}, {_RULED} SELECT url, css, md AS markdown FROM ruled""",
-    "page_markdown_body": f"""
-WITH {_ARTICLE_MD},
-outer_parts AS (
-  SELECT page_id,
-         list_transform(
-           regexp_extract_all(html, '<li><a href="[^"]*">.*?</a></li>'),
-           lambda x: '- [' || {_escaped("regexp_extract(x, '>([^<]+)</a>', 1)")} || ']('
-             || {_decoded("regexp_extract(x, 'href=\"([^\"]*)\"', 1)")} || ')') AS links,
-         {_escaped("regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1, 's')")} AS ad,
-         {_escaped("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} AS foot,
-         contains(html, '<b>') AS strong
-  FROM pages
-)
-SELECT page_id, concat_ws(chr(10) || chr(10), array_to_string(links, chr(10)), nullif(ad, ''), md,
-         CASE WHEN strong THEN '**' || replace(foot, chr(10), '**' || chr(10) || '**') || '**'
-         ELSE foot END) AS markdown, CAST(NULL AS VARCHAR) AS error
-FROM outer_parts JOIN article_md USING (page_id)""",
-    "web_bundle": _by_path(
-        f"{_LOCATED}, {_ARTICLE_MD}, {_RULED}", "ruled", "md", "file_name"
-    ),
+    "web_bundle": _by_path(f"{_LOCATED}, {_TITLED}", "titled", "title", "file_name"),
     "failed_pages": f"""
 WITH {_SEEDS}
 SELECT url, 'no content found in the document' AS error FROM asked ANTI JOIN pages USING (url)""",
     "seed_summary": f"""
-WITH {_SEEDS}, {_ARTICLE_MD},
+WITH {_SEEDS},
 answered AS (
-  SELECT a.url, {_HOST.replace("(url", "(a.url")} AS host, plain_title AS md
+  SELECT a.url, {_HOST.replace("(url", "(a.url")} AS host,
+         regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title
   FROM asked a LEFT JOIN (
-    SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1
-  ) p USING (url) LEFT JOIN article_md USING (page_id)
+    SELECT html, url FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1
+  ) p USING (url)
 )
-SELECT host, count(*) AS n_urls, count(md) AS n_with_content,
-       CAST(sum(strlen(md)) AS BIGINT) AS content_bytes
+SELECT host, count(*) AS n_urls, count(title) AS n_with_content,
+       CAST(sum(strlen(title)) AS BIGINT) AS content_bytes
 FROM answered GROUP BY host""",
     "throttle_schedule": _bucket("user_id", 172_800_000_000, 2),
     "throttle_shared": _bucket("1", 300_000_000, 3),

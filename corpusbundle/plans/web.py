@@ -11,10 +11,9 @@ from corpusbundle.functions.names import group_file_name
 from corpusbundle.functions.text import non_blank, page_section
 from corpusbundle.functions.urls import matched_path, resolve_override, url_path
 from corpusbundle.operators.bundles import PART_BYTES, bundle_parts
-from corpusbundle.operators.dedupe import keep_last
 from corpusbundle.operators.durable import durable_table
-from corpusbundle.operators.lookups import lookup_join, pages_of_seeds, pages_of_sites
-from corpusbundle.operators.pages import page_markdown
+from corpusbundle.operators.lookups import lookup_join, pages_of_seeds, sites_of_urls
+from corpusbundle.operators.pages import page_content
 from corpusbundle.operators.rules import OUTPUT_TYPES
 from corpusbundle.sources.sites import seed_urls
 
@@ -27,35 +26,44 @@ GROUP = ("base_url", "prefix", "matched_path")
 
 def distinct_seeds(sites: DataFrame) -> DataFrame:
     """Every seed URL once; among several sites that ask for it the last base URL has it."""
-    last = F.max_by("site", F.struct("site.base_url", "path_no")).alias("site")
+    # Rules that share a base URL differ somewhere else, so the whole row settles ties.
+    last = F.max_by("site", F.struct("site.base_url", "path_no", F.to_json("site"))).alias("site")
     return seed_urls(sites).groupBy("url").agg(last)
 
 
-def seeded_pages(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """Latest page of every seed URL with its site (columns url, html, url_path, site)."""
-    found = pages_of_seeds(pages.select("url", "html", *arrival), distinct_seeds(sites), arrival)
-    return found.select("url", "html", url_path(F.col("url")).alias("url_path"), "site")
+def seeded_pages(
+    pages: DataFrame, sites: DataFrame, arrival: Sequence[str], columns: Sequence[str] = ("html",)
+) -> DataFrame:
+    """Latest page of every seed URL with its site (columns url, ``columns``, url_path, site)."""
+    found = pages_of_seeds(pages.select("url", *columns, *arrival), distinct_seeds(sites), arrival)
+    return found.select("url", *columns, url_path(F.col("url")).alias("url_path"), "site")
 
 
-def seed_results(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """Every seed URL once, with its latest page or a null ``html`` (columns as ``seeded_pages``)."""
-    answered = seeded_pages(pages, sites, arrival).select("url", "html")
+def seed_results(
+    pages: DataFrame, sites: DataFrame, arrival: Sequence[str], columns: Sequence[str] = ("html",)
+) -> DataFrame:
+    """Every seed URL once, with its latest page or nulls (columns as ``seeded_pages``)."""
+    answered = seeded_pages(pages, sites, arrival, columns).select("url", *columns)
     return (
         distinct_seeds(sites)
         .join(answered, "url", "left")
-        .select("url", "html", url_path(F.col("url")).alias("url_path"), "site")
+        .select("url", *columns, url_path(F.col("url")).alias("url_path"), "site")
     )
 
 
-def hosted_pages(pages: DataFrame, sites: DataFrame, arrival: Sequence[str]) -> DataFrame:
+def hosted_pages(
+    pages: DataFrame, sites: DataFrame, arrival: Sequence[str], columns: Sequence[str] = ("html",)
+) -> DataFrame:
     """Latest page of every URL that a site on its host allows (columns as ``seeded_pages``).
 
-    Pages are selected before copies are merged, so only allowed pages are
-    shuffled. Among several sites that allow a URL the last base URL has it.
+    Which site has a URL is settled on URLs alone, each once: among several that allow it
+    the last base URL has it, then the greatest rule row. Pages are then selected by URL,
+    and of those only copies are merged; no other page content moves unless the selected
+    URLs are too many to broadcast.
     """
-    found = pages_of_sites(pages.select("url", "html", *arrival), sites).filter("allowed")
-    named = found.withColumn("_base", F.col("site.base_url")).drop("allowed", "url_host")
-    return keep_last(named, ["url"], [*arrival, "_base"]).drop("_base", *arrival)
+    allowed = sites_of_urls(pages.select("url").distinct(), sites)
+    found = pages_of_seeds(pages.select("url", *columns, *arrival), allowed, arrival)
+    return found.select("url", *columns, "url_path", "site")
 
 
 def with_rules(pages: DataFrame) -> DataFrame:
@@ -67,9 +75,12 @@ def with_rules(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"css": css, "excludes": excludes})
 
 
-def converted_pages(pages: DataFrame) -> DataFrame:
-    """Run the page job under each page's own rules; html is dropped, errors stay as rows."""
-    return page_markdown(with_rules(pages), F.col("css"), F.col("excludes")).drop("css", "excludes")
+def converted_pages(pages: DataFrame, content: Column | None = None) -> DataFrame:
+    """Pages with their ``content``, an expression that may use the rules in force (css, excludes).
+
+    html is dropped; a page without content stays as a row with an error.
+    """
+    return page_content(with_rules(pages), content).drop("css", "excludes")
 
 
 def site_path(url_path_col: Column, strict: bool = False) -> Column:
@@ -152,18 +163,18 @@ def bundle_pages(
     hosted: bool = False,
     strict: bool = False,
     part_bytes: int = PART_BYTES,
+    content: Column | None = None,
 ) -> DataFrame:
-    """Pages and rules to documents: select, convert once, then bundle.
+    """Pages and rules to documents: select, take ``content`` (the title if none), then bundle.
 
-    The converted pages are written to the shared folder, because bundling reads
-    them more than once and the page job is the costly step.
+    The contents are written to the shared folder, because bundling reads them twice.
     """
     if mode not in OUTPUT_TYPES:
         raise ValueError(f"unsupported output type: {mode}")
     chosen = (hosted_pages if hosted else seeded_pages)(pages, sites, arrival)
-    converted = durable_table(converted_pages(chosen))
+    converted = durable_table(converted_pages(chosen, content))
     if mode == "single":
-        parts = bundle_single(converted, "markdown", part_bytes)
+        parts = bundle_single(converted, "content", part_bytes)
         return parts.withColumn("file_name", F.lit(COMBINED_NAME))
-    parts = bundle_by_path(converted, "markdown", strict, part_bytes)
-    return with_file_names(parts, grouped_pages(converted, "markdown", strict))
+    parts = bundle_by_path(converted, "content", strict, part_bytes)
+    return with_file_names(parts, grouped_pages(converted, "content", strict))

@@ -35,11 +35,10 @@ from corpusbundle.functions.text import (
 )
 from corpusbundle.functions.urls import url_host, url_path
 from corpusbundle.operators.bundles import bundle_parts, union_sections
-from corpusbundle.operators.dedupe import keep_last
+from corpusbundle.operators.dedupe import keep_last, keep_last_wide
 from corpusbundle.operators.durable import durable_table
 from corpusbundle.operators.lookups import pages_of_sites, seeds_without_page
 from corpusbundle.operators.ordering import with_positions
-from corpusbundle.operators.pages import css_extract, html_to_markdown, page_markdown
 from corpusbundle.operators.profiles import ext_profile, run_summary
 from corpusbundle.operators.rules import rule_violations, selector_violations
 from corpusbundle.operators.schedule import throttle_schedule
@@ -264,12 +263,12 @@ def q_seeded_pages(spark, sf):
 
 
 def q_resolve_overrides(spark, sf):
-    found = hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"])
+    found = hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"], columns=())
     return with_rules(found).select("url", "css", joined(F.col("excludes")).alias("excludes"))
 
 
 def q_matched_path(spark, sf):
-    found = hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"])
+    found = hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"], columns=())
     return found.select("url", site_path(F.col("url_path")).alias("matched_path"))
 
 
@@ -335,7 +334,7 @@ def q_page_run_summary(spark, sf):
 
 
 def q_bundle_single(spark, sf):
-    latest = durable_table(keep_last(table(spark, sf, "pages"), ["url"], ["page_id"]))
+    latest = durable_table(keep_last_wide(table(spark, sf, "pages"), ["url"], ["page_id"]))
     parts = bundle_single(latest, "html", PART_BYTES)
     return parts.select("part_no", "n_sections", "byte_offset", "text")
 
@@ -368,35 +367,7 @@ def q_corpus_union(spark, sf):
     return union_sections(files, pages)
 
 
-# --- html jobs -------------------------------------------------------------------
-
-
-def q_css_extract(spark, sf):
-    found = css_extract(table(spark, sf, "pages"), F.lit("article"), strings(".ad"))
-    return found.select("page_id", "extract", "error")
-
-
-def q_css_extract_exclude(spark, sf):
-    """No page has a ``main``, so the body is used; most of it is excluded."""
-    drops = strings("div.ad", "article", "footer", "script", "nav > ul a[href]")
-    found = css_extract(table(spark, sf, "pages"), F.lit("main"), drops)
-    return found.select("page_id", "extract")
-
-
-def q_page_markdown(spark, sf):
-    found = page_markdown(table(spark, sf, "pages"), F.lit("article"), strings(".ad"))
-    return found.select("page_id", "markdown", "error")
-
-
-def q_page_markdown_rules(spark, sf):
-    """Each page under the rules of its site: override selector h1, nav or the site's article."""
-    found = hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"])
-    done = with_rules(found)
-    return page_markdown(done, F.col("css"), F.col("excludes")).select("url", "css", "markdown")
-
-
-def q_page_markdown_body(spark, sf):
-    return html_to_markdown(table(spark, sf, "pages")).select("page_id", "markdown", "error")
+# --- page outcomes ---------------------------------------------------------------
 
 
 def seed_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,9 +380,9 @@ def q_failed_pages(spark, sf):
 
 
 def q_seed_summary(spark, sf):
-    """Asked and answered seeds per host, with the bytes of their markdown."""
+    """Asked and answered seeds per host, with the bytes of their titles."""
     outcome = seed_outcome(spark, sf).select(
-        url_host(F.col("url")).alias("host"), "url", F.col("markdown").alias("content")
+        url_host(F.col("url")).alias("host"), "url", "content"
     )
     return run_summary(outcome, "host")
 

@@ -6,7 +6,7 @@ DataFrame. Bundles are made from the written table by the batch plans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,20 +14,27 @@ from corpusbundle.operators.lookups import pages_of_sites
 from corpusbundle.plans.web import converted_pages
 
 
-def convert_stream(pages: DataFrame, sites: DataFrame, **options) -> DataFrame:
-    """Streaming pages (page_id, url, html) joined to a static rule table and converted.
+def convert_stream(
+    pages: DataFrame, sites: DataFrame, content: Column | None = None, **options
+) -> DataFrame:
+    """Streaming pages (page_id, url, html) joined to a static rule table, with their content.
 
     Keeps ``page_id`` so that ``keep_last`` can later settle repeated URLs.
     """
     allowed = pages_of_sites(pages, sites, **options).filter("allowed").drop("allowed", "url_host")
-    return converted_pages(allowed)
+    return converted_pages(allowed, content)
 
 
 def write_converted(
-    pages: DataFrame, sites: DataFrame, path: str, checkpoint: str, available_now: bool = False
+    pages: DataFrame,
+    sites: DataFrame,
+    path: str,
+    checkpoint: str,
+    available_now: bool = False,
+    content: Column | None = None,
 ) -> StreamingQuery:
     """Append converted pages to a parquet table; failed pages keep their error value."""
-    out = convert_stream(pages, sites).withColumn("base_url", F.col("site.base_url"))
+    out = convert_stream(pages, sites, content).withColumn("base_url", F.col("site.base_url"))
     writer = out.writeStream.format("parquet").outputMode("append").option(
         "checkpointLocation", checkpoint
     )

@@ -194,7 +194,7 @@ def test_exact_file_of_a_tree(spark, tmp_path):
 
 def test_exact_page_files(spark, tmp_path):
     site = {"base_url": "https://a.org", "css_locator": "i", "exclude_selectors": [], "allowed_paths": ["/x", "/y"]}
-    rows = [(1, "https://a.org/x", "<i>x1"), (2, "https://a.org/x", "<i>x2"), (3, "https://a.org/y", "<i>é")]
+    rows = [(1, "https://a.org/x", "<title>x1</title>"), (2, "https://a.org/x", "<title>x2</title>"), (3, "https://a.org/y", "<title>é</title>")]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string")
     for mode, expected in (
         ("separate", {"doc-x.md": "x2", "doc-y.md": "é"}),
