@@ -126,11 +126,16 @@ requests AS (
 )"""
 
 
-def _bucket(key: str, interval: int, burst: int) -> str:
-    """Token bucket stepped one request at a time; ``tokens`` is kept in microseconds of refill."""
+def _bucket(key: str, interval: int, burst: int, requests: str = _REQUESTS, units: int = 1) -> str:
+    """Token bucket stepped one request at a time; ``tokens`` is kept in microseconds of refill.
+
+    With ``units`` all times are multiples of so small a part of a microsecond.
+    """
     full = interval * burst
+    admit = "admit_us" if units == 1 else f"CAST((admit_us + {units - 1}) // {units} AS BIGINT)"
+    arrival = "arrival_us" if units == 1 else f"arrival_us // {units}"
     return f"""
-WITH RECURSIVE {_REQUESTS},
+WITH RECURSIVE {requests},
 numbered AS (
   SELECT *, {key} AS bucket,
          row_number() OVER (PARTITION BY {key} ORDER BY arrival_us, event_id) AS k
@@ -151,7 +156,8 @@ steps AS (
     FROM steps s JOIN numbered n ON n.bucket = s.bucket AND n.k = s.k + 1
   )
 )
-SELECT event_id, user_id, arrival_us, admit_us, admit_us - arrival_us AS wait_us FROM steps"""
+SELECT event_id, user_id, {arrival} AS arrival_us, {admit} AS admit_us,
+       {admit} - {arrival} AS wait_us FROM steps"""
 
 
 _SEEDS = """
@@ -307,6 +313,12 @@ SELECT host, count(*) AS n_urls, count(title) AS n_with_content,
 FROM answered GROUP BY host""",
     "throttle_schedule": _bucket("user_id", 172_800_000_000, 2),
     "throttle_shared": _bucket("1", 300_000_000, 3),
+    "throttle_thirds": _bucket(
+        "1", 1_000_000, 2, """
+requests AS (
+  SELECT event_id, user_id, epoch_us(ts) // 1000000 * 3 AS arrival_us FROM events
+)""", 3
+    ),
     "rule_violations": """
 WITH checks AS (
   SELECT c_custkey, [

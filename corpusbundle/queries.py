@@ -417,6 +417,12 @@ def q_throttle_shared(spark, sf):
     return throttle_schedule(request_table(spark, sf), None, "arrival_us", "event_id", 1 / 300, 3)
 
 
+def q_throttle_thirds(spark, sf):
+    """Three requests per second: an interval that is no whole number of microseconds."""
+    dense = request_table(spark, sf).withColumn("arrival_us", F.expr("arrival_us div 1000000"))
+    return throttle_schedule(dense, None, "arrival_us", "event_id", 3, 2)
+
+
 def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``customer`` as a table of policies, many of them broken."""
     key = F.col("c_custkey")
