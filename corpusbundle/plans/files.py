@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,9 @@ from corpusbundle.functions.globs import (
 )
 from corpusbundle.functions.names import BUNDLE_SUFFIX
 from corpusbundle.functions.text import file_section, generated_note
-from corpusbundle.operators.bundles import PART_BYTES, assign_parts, bundle_parts, collect_parts
+from corpusbundle.operators.bundles import PART_BYTES, assign_parts, bundle_parts
 from corpusbundle.operators.durable import durable
-from corpusbundle.sources.trees import read_content, scan_tree
-
-# Parallelism, not a limit on data: a task reads as many parts as it takes.
-MOST_READ_TASKS = 100_000
+from corpusbundle.sources.trees import CHUNK_BYTES, read_content, scan_tree, unreadable
 
 # Extensions bundled when none are named.
 DEFAULT_TYPES = ("go", "md", "txt")
@@ -31,12 +30,15 @@ DEFAULT_TYPES = ("go", "md", "txt")
 
 @dataclass(frozen=True)
 class FilePolicy:
-    """Which files to bundle: extensions without dot, and two lists of globs."""
+    """Which files to bundle: extensions without dot, and two lists of globs.
+
+    ``skip_bundles`` leaves out files that are named like earlier bundles.
+    """
 
     types: Sequence[str] = DEFAULT_TYPES
     ignore: Sequence[str] = ()
     generated: Sequence[str] = ()
-    skip_bundles: bool = True
+    skip_bundles: bool = False
 
     def ignored(self) -> list[str]:
         earlier = [f"**/*{BUNDLE_SUFFIX}"] if self.skip_bundles else []
@@ -64,7 +66,7 @@ def tag_files(files: DataFrame, policy: FilePolicy) -> DataFrame:
 
 
 def file_sections(files: DataFrame, policy: FilePolicy) -> DataFrame:
-    """Selected files with content as rendered ``section`` rows; unreadable files are left out."""
+    """Selected files with content as rendered ``section`` rows; rows without content are left out."""
     section = file_section(F.col("rel_path"), F.col("note"), F.col("ext"), F.col("content"))
     return (
         tag_files(select_files(files, policy), policy)
@@ -95,35 +97,89 @@ def tree_listing(spark: SparkSession, root: str, policy: FilePolicy) -> DataFram
     return tag_files(select_files(found, policy), policy)
 
 
-def read_sections(listing: DataFrame, root: str) -> DataFrame:
-    """Read the listed files where their rows are and render them; failures keep an error."""
-    section = file_section(F.col("rel_path"), F.col("note"), F.col("ext"), F.col("content"))
-    return read_content(listing, root).withColumn("section", section).drop("content")
+def read_sections(
+    listing: DataFrame, root: str, chunk_bytes: int = CHUNK_BYTES, whole_lines: bool = False
+) -> DataFrame:
+    """Read the listed files where their rows are and render them, large ones in several rows."""
+    empty = F.lit("")
+    whole = file_section(F.col("rel_path"), F.col("note"), F.col("ext"), F.lit("\0"))
+    head, tail = F.substring_index(whole, "\0", 1), F.substring_index(whole, "\0", -1)
+    section = F.concat(
+        F.when(F.col("chunk_no") == 0, head).otherwise(empty),
+        "content",
+        F.when(F.col("is_last"), tail).otherwise(empty),
+    )
+    read = read_content(listing, root, chunk_bytes, whole_lines)
+    return read.withColumn("section", section).drop("content")
 
 
 def part_listing(
     spark: SparkSession, root: str, policy: FilePolicy, part_bytes: int = PART_BYTES
-) -> tuple[DataFrame, int]:
-    """The listing with part numbers by listed size, and how many tasks should read it.
+) -> DataFrame:
+    """The listing, each part's files in one partition and in order.
 
-    Listing rows are tiny next to the files they stand for, so the number of
-    reading tasks must follow the bytes behind the rows, not the rows.
+    Listing rows are tiny next to the files they stand for, so partitions follow the
+    bytes behind the rows: partition p holds the files that start in part p.
     """
     listing = tree_listing(spark, root, policy)
     placed = durable(assign_parts(listing, [], ["tree_key"], "size", part_bytes=part_bytes))
     parts = placed.agg(F.max("part_no")).first()[0]
-    return placed, min((parts or 0) + 1, MOST_READ_TASKS)
+    by_part = placed.repartitionById((parts or 0) + 1, F.col("part_no").cast("int"))
+    return by_part.sortWithinPartitions("ordinal")
+
+
+class TreeBundle(NamedTuple):
+    """The parts of a bundle, and the files that are missing from it with the reason."""
+
+    parts: DataFrame
+    errors: DataFrame
+
+
+def _assembled(part_bytes: int):
+    """Join the sections of a part as they are read; no more than one piece is held."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, piece, offset, n, size = None, 0, 0, 0, 0
+        texts: list[str] = []
+
+        def out() -> pd.DataFrame:
+            row = (part, piece, n, offset, "".join(texts))
+            return pd.DataFrame([row], columns=["part_no", "piece_no", "n_sections", "byte_offset", "text"])
+
+        for batch in batches:
+            columns = (batch[c] for c in ("part_no", "byte_offset", "chunk_no", "section"))
+            for number, at, chunk, section in zip(*columns):
+                if section is None:
+                    continue
+                if texts and (number != part or size >= part_bytes * 2):
+                    yield out()
+                    piece = piece + 1 if number == part else 0
+                    texts, n, size, offset = [], 0, 0, at
+                elif not texts:
+                    offset = at
+                part = number
+                texts.append(section)
+                size += len(section)
+                n += int(chunk == 0)
+        if texts:
+            yield out()
+
+    return run
 
 
 def bundle_tree(
     spark: SparkSession, root: str, policy: FilePolicy, part_bytes: int = PART_BYTES
-) -> DataFrame:
-    """Bundle a file tree as rows (part_no, n_sections, byte_offset, text).
+) -> TreeBundle:
+    """Bundle a file tree as rows (part_no, piece_no, n_sections, byte_offset, text), with its errors.
 
-    Only listing rows are shuffled; the task that owns a part reads its files.
-    Offsets are those of the listed sizes and only order the parts;
-    ``sinks.exact`` works out exact positions.
+    Only listing rows are shuffled; the task that owns a part reads its files. A part
+    is one piece unless it holds a file much larger than ``part_bytes``. Offsets are those
+    of the listed sizes and only order the parts.
     """
-    placed, tasks = part_listing(spark, root, policy, part_bytes)
-    sections = read_sections(placed.repartition(tasks, "part_no"), root)
-    return collect_parts(sections.filter(F.col("read_error").isNull()), [], "section")
+    listing = part_listing(spark, root, policy, part_bytes)
+    sections = read_sections(listing, root, min(part_bytes, CHUNK_BYTES))
+    parts = sections.select("part_no", "byte_offset", "chunk_no", "section").mapInPandas(
+        _assembled(part_bytes),
+        "part_no long, piece_no long, n_sections long, byte_offset long, text string",
+    )
+    return TreeBundle(parts, unreadable(listing, root))

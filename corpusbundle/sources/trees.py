@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import stat
 from collections.abc import Iterable, Iterator
@@ -16,9 +17,8 @@ from corpusbundle.operators.durable import durable
 from corpusbundle.schemas import LISTING_SCHEMA
 
 LISTING_BATCH = 10_000
-READ_BATCH_BYTES = 32 * 1024 * 1024
-# A string holds 2 GiB, and a byte that is not UTF-8 takes three; larger files become error rows.
-LARGEST_FILE = 640 * 1024 * 1024
+# Larger files are read as several rows.
+CHUNK_BYTES = 32 * 1024 * 1024
 
 _WALK_SCHEMA = "rel_path string, size bigint, mtime timestamp, is_dir boolean"
 
@@ -99,55 +99,118 @@ def scan_tree(
 def scan_binary_tree(spark: SparkSession, root: str) -> DataFrame:
     """Listing through Spark's ``binaryFile`` source, for any file system Spark reads.
 
-    Faster, but names that start with a dot or an underscore are left out by Spark.
-    ``content`` is read only if a later step selects it.
+    Faster, but names that start with a dot or an underscore are left out by Spark, and
+    a file must fit into one value. ``content`` is read only if a later step selects it;
+    bytes that are not UTF-8 are replaced, as by ``read_content``.
     """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(conf).makeQualified(path).toUri().getPath().rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.substr("path", F.locate(base, "path") + F.lit(len(base)))
+    # Scheme and authority are written in more than one way, the path below them is not.
+    own = F.regexp_replace(F.col("path"), r"\A[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "")
+    outside = F.raise_error(F.concat(F.lit("not below the root: "), "path"))
+    rel = F.when(own.startswith(base), F.substring(own, len(base) + 1, 1 << 30)).otherwise(outside)
     return found.select(
         rel.alias("rel_path"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
-        F.decode("content", "UTF-8").alias("content"),
+        _replaced_utf8(F.col("content")).alias("content"),
     )
 
 
-def _read_files(root: str, columns: list[str]):
-    def read(rel_path: str) -> tuple[str | None, str | None]:
-        try:
-            with open(os.path.join(root, rel_path), "rb") as f:
-                if os.fstat(f.fileno()).st_size > LARGEST_FILE:
-                    return None, f"larger than {LARGEST_FILE} bytes"
-                return f.read().decode("utf-8", "replace"), None
-        except OSError as e:
-            return None, f"{type(e).__name__}: {e.strerror}"
+@F.pandas_udf(T.StringType())
+def _replaced_utf8(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: bytes(b).decode("utf-8", "replace"), na_action="ignore")
+
+
+def _chunks(path: str, chunk_bytes: int, whole_lines: bool) -> Iterator[tuple]:
+    """(chunk_no, is_last, text, error); a character cut in two goes to the later chunk."""
+
+    def read(f) -> bytes:
+        data = f.read(chunk_bytes)
+        return data + f.readline() if whole_lines and data else data
+
+    try:
+        f = open(path, "rb")
+    except OSError as e:
+        yield 0, True, None, _reason(e)
+        return
+    with f:
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        number, data = 0, read(f)
+        while True:
+            following = read(f)
+            yield number, not following, decoder.decode(data, final=not following), None
+            if not following:
+                return
+            number, data = number + 1, following
+
+
+def _reason(e: OSError) -> str:
+    return f"{type(e).__name__}: {e.strerror}"
+
+
+def _read_files(root: str, columns: list[str], chunk_bytes: int, whole_lines: bool):
+    names = ["chunk_no", "is_last", "content", "read_error"]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            start, held = 0, 0
-            texts: list[tuple[str | None, str | None]] = []
+            rows: list[int] = []
+            found: list[tuple] = []
+            held = 0
+
+            def out() -> pd.DataFrame:
+                frame = batch.iloc[rows].reset_index(drop=True)[columns]
+                return pd.concat([frame, pd.DataFrame(found, columns=names)], axis=1)
+
             for i, rel_path in enumerate(batch["rel_path"]):
-                texts.append(read(rel_path))
-                held += len(texts[-1][0] or "")
-                if held >= READ_BATCH_BYTES or i + 1 == len(batch):
-                    out = batch.iloc[start : i + 1].copy()
-                    out["content"] = [t[0] for t in texts]
-                    out["read_error"] = [t[1] for t in texts]
-                    yield out[[*columns, "content", "read_error"]]
-                    start, held, texts = i + 1, 0, []
+                for chunk in _chunks(os.path.join(root, rel_path), chunk_bytes, whole_lines):
+                    rows.append(i)
+                    found.append(chunk)
+                    held += len(chunk[2] or "")
+                    if held >= chunk_bytes:
+                        yield out()
+                        rows, found, held = [], [], 0
+            if rows:
+                yield out()
 
     return run
 
 
-def read_content(listing: DataFrame, root: str) -> DataFrame:
-    """Add ``content`` and ``read_error`` to an already filtered listing.
+def read_content(
+    listing: DataFrame, root: str, chunk_bytes: int = CHUNK_BYTES, whole_lines: bool = False
+) -> DataFrame:
+    """Add ``chunk_no``, ``is_last``, ``content`` and ``read_error`` to an already filtered listing.
 
-    A file that cannot be read keeps its row with a null content. Row order
-    within a partition is kept, and no content crosses a shuffle.
+    A file of up to ``chunk_bytes`` is one row, a larger one as many rows as it takes, one
+    after the other; with ``whole_lines`` a chunk goes on to the end of its line. A file
+    that cannot be opened keeps one row with a null content. Row order within a partition
+    is kept, and no content crosses a shuffle.
     """
-    added = [T.StructField(name, T.StringType()) for name in ("content", "read_error")]
+    added = [
+        T.StructField("chunk_no", T.IntegerType()),
+        T.StructField("is_last", T.BooleanType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("read_error", T.StringType()),
+    ]
     schema = T.StructType([*listing.schema.fields, *added])
-    return listing.mapInPandas(_read_files(os.path.abspath(root), listing.columns), schema)
+    job = _read_files(os.path.abspath(root), listing.columns, chunk_bytes, whole_lines)
+    return listing.mapInPandas(job, schema)
 
 
+def unreadable(listing: DataFrame, root: str) -> DataFrame:
+    """(rel_path, read_error) of the listed files that cannot be opened."""
+    base = os.path.abspath(root)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for rel_path in batch["rel_path"]:
+                try:
+                    open(os.path.join(base, rel_path), "rb").close()
+                except OSError as e:
+                    found.append((rel_path, _reason(e)))
+            yield pd.DataFrame(found, columns=["rel_path", "read_error"], dtype=object)
+
+    return listing.select("rel_path").mapInPandas(run, "rel_path string, read_error string")

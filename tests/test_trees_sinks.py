@@ -1,14 +1,12 @@
 import os
 import random
-from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusbundle.plans.files import FilePolicy, bundle_table, bundle_tree
+from corpusbundle.plans.files import FilePolicy, bundle_table, bundle_tree, part_listing
 from corpusbundle.plans.profile import generated_policy
-from corpusbundle.plans.web import bundle_pages, grouped_pages
-from corpusbundle.sinks.exact import place_parts, write_exact, write_tree_file
+from corpusbundle.plans.web import grouped_pages
 from corpusbundle.sinks.text import (
     write_combined_pages,
     write_grouped_pages,
@@ -16,7 +14,6 @@ from corpusbundle.sinks.text import (
     write_profile,
     write_tree_bundle,
 )
-from corpusbundle.sources.sites import sites_table
 from corpusbundle.sources.trees import read_content, scan_binary_tree, scan_tree
 
 FILES = {
@@ -50,8 +47,11 @@ EXPECTED = "".join(
 )
 
 
-def whole(parts):
-    return "".join(r.text for r in sorted(parts.collect(), key=lambda r: r.part_no))
+def whole(bundle):
+    """The document of a tree bundle, or of the parts of a table."""
+    parts = getattr(bundle, "parts", bundle)
+    place = lambda r: (r.part_no, getattr(r, "piece_no", 0))
+    return "".join(r.text for r in sorted(parts.collect(), key=place))
 
 
 def joined_files(path):
@@ -103,13 +103,42 @@ def test_links_are_listed_but_not_followed(spark, tmp_path):
     assert {r.rel_path for r in scan_tree(spark, root).collect()} == {"d/a.md", "loop"}
 
 
-def test_unreadable_files_are_left_out(spark, tmp_path):
+def test_unreadable_files_are_reported(spark, tmp_path):
     root = plant(tmp_path / "t", {"a.md": "x\n", "b.md": "y\n"})
     os.symlink(tmp_path / "nowhere", tmp_path / "t" / "c.md")
     listing = scan_tree(spark, root)
     read = {r.rel_path: (r.content, r.read_error) for r in read_content(listing, root).collect()}
     assert read["a.md"] == ("x\n", None) and read["c.md"][0] is None and "NotFound" in read["c.md"][1]
-    assert whole(bundle_tree(spark, root, FilePolicy())) == section("a.md", "x\n") + section("b.md", "y\n")
+    bundle = bundle_tree(spark, root, FilePolicy())
+    assert whole(bundle) == section("a.md", "x\n") + section("b.md", "y\n")
+    errors = write_tree_bundle(spark, root, str(tmp_path / "out"), FilePolicy())
+    for found in (bundle.errors, errors):
+        assert [(r.rel_path, "NotFound" in r.read_error) for r in found.collect()] == [("c.md", True)]
+
+
+@pytest.mark.parametrize("part_bytes", [1, 3, 7, 64])
+def test_files_larger_than_a_part_are_read_in_chunks(spark, tmp_path, part_bytes):
+    files = {"a.md": "é漢🙂\n" * 9, "b.md": "no end 🙂", "c.md": "", "d.md": b"\xe6\xbc ok \xff\n" * 5, "e.md": "\n\n"}
+    root = plant(tmp_path / "t", files)
+    text = lambda v: v.decode("utf-8", "replace") if isinstance(v, bytes) else v
+    expected = "".join(section(p, text(v)) for p, v in files.items())
+    bundle = bundle_tree(spark, root, FilePolicy(), part_bytes)
+    assert whole(bundle) == expected
+    rows = bundle.parts.collect()
+    assert sum(r.n_sections for r in rows) == len(files)
+    if part_bytes < 64:
+        assert max(len(r.text) for r in rows) < len(section("a.md", files["a.md"]))
+    write_tree_bundle(spark, root, str(tmp_path / "out"), FilePolicy(), part_bytes)
+    assert joined_files(tmp_path / "out") == expected
+
+
+def test_tasks_of_a_tree_are_cut_by_bytes(spark, tmp_path):
+    files = {f"s{i:03}.md": "x" for i in range(300)} | {f"t{i}.md": "y" * 4000 for i in range(8)}
+    root = plant(tmp_path / "t", files)
+    write_tree_bundle(spark, root, str(tmp_path / "out"), FilePolicy(), 4000)
+    sizes = {r.n for r in part_listing(spark, root, FilePolicy(), 4000).groupBy(F.spark_partition_id()).agg(F.sum("size").alias("n")).collect()}
+    assert max(sizes) <= 2 * 4000 + 1 and len(sizes) > 1
+    assert joined_files(tmp_path / "out") == "".join(section(p, v) for p, v in sorted(files.items()))
 
 
 def test_odd_tree_bundle(spark, tmp_path):
@@ -121,13 +150,16 @@ def test_odd_tree_bundle(spark, tmp_path):
     order.sort(key=lambda p: p.split("/"))
     text = lambda p: ODD[p].decode("utf-8", "replace") if isinstance(ODD[p], bytes) else ODD[p]
     expected = "".join(section(p, text(p)) for p in order)
-    assert whole(bundle_tree(spark, root, FilePolicy(["go", "md", "txt", "md"]), 30)) == expected
+    assert whole(bundle_tree(spark, root, FilePolicy(["go", "md", "txt", "md"], skip_bundles=True), 30)) == expected
 
 
 def test_binary_scan_reads_only_what_is_asked(spark, tmp_path):
     root = plant(tmp_path / "t", {"d/a.md": "é\n", "_b.md": "x"})
-    found = scan_binary_tree(spark, root)
-    assert [(r.rel_path, r.size, r.content) for r in found.collect()] == [("d/a.md", 3, "é\n")]
+    plant(tmp_path / "t", {"d/bad.md": b"\xff ok"})
+    for name in (root, f"file://{root}", f"{root}/"):
+        found = scan_binary_tree(spark, name)
+        rows = {(r.rel_path, r.size, r.content) for r in found.collect()}
+        assert rows == {("d/a.md", 3, "é\n"), ("d/bad.md", 4, "\ufffd ok")}
     plan = found.select("rel_path", "size")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
 
@@ -169,42 +201,6 @@ def test_page_sinks(spark, tmp_path):
     assert found["why\n\n"] == "file_name=a-y.md" and found["b\n\n"].startswith("file_name=a-x-")
 
 
-def test_exact_files(spark, tmp_path):
-    texts = {"a.md": ["é1\n", "two", "", "three"], "b.md": ["x"]}
-    rows = [(n, i, t) for n, parts in texts.items() for i, t in enumerate(parts)]
-    df = spark.createDataFrame(rows, "file_name string, part_no long, text string").repartition(5)
-    placed = place_parts(df.withColumn("byte_offset", F.lit(0)), ["file_name"])
-    out = tmp_path / "exact"
-    write_exact(spark, placed, str(out))
-    assert {n: (out / n).read_text() for n in os.listdir(out)} == {n: "".join(p) for n, p in texts.items()}
-    with pytest.raises(Exception):
-        write_exact(spark, placed, str(out))
-    bad = placed.withColumn("file_name", F.lit("../x"))
-    with pytest.raises(Exception):
-        write_exact(spark, bad, str(tmp_path / "bad"))
-    assert sorted(os.listdir(tmp_path)) == ["exact"]
-
-
-def test_exact_file_of_a_tree(spark, tmp_path):
-    root = plant(tmp_path / "proj", FILES)
-    write_tree_file(spark, root, str(tmp_path / "out"), POLICY, datetime(2024, 3, 5, 6, 7, 8), part_bytes=20)
-    assert os.listdir(tmp_path / "out") == ["proj-20240305-060708.bundle.md"]
-    assert (tmp_path / "out" / "proj-20240305-060708.bundle.md").read_text() == EXPECTED
-
-
-def test_exact_page_files(spark, tmp_path):
-    site = {"base_url": "https://a.org", "css_locator": "i", "exclude_selectors": [], "allowed_paths": ["/x", "/y"]}
-    rows = [(1, "https://a.org/x", "<title>x1</title>"), (2, "https://a.org/x", "<title>x2</title>"), (3, "https://a.org/y", "<title>é</title>")]
-    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
-    for mode, expected in (
-        ("separate", {"doc-x.md": "x2", "doc-y.md": "é"}),
-        ("single", {"combined.md": "## https://a.org/x\n\nx2\n\n## https://a.org/y\n\né\n\n"}),
-    ):
-        out = tmp_path / mode
-        write_exact(spark, bundle_pages(pages, sites_table(spark, [site]), ["page_id"], mode), str(out))
-        assert {n: (out / n).read_text() for n in os.listdir(out)} == expected
-
-
 def test_generated_profile(spark, tmp_path):
     root = plant(tmp_path / "t", {**FILES, ".hidden/x.py": "p"})
     policy = generated_policy(scan_tree(spark, root, prune_hidden=False))
