@@ -163,7 +163,57 @@ SELECT event_id, user_id, {arrival} AS arrival_us, {admit} AS admit_us,
 _SEEDS = """
 asked AS (SELECT DISTINCT regexp_replace(url, '^http:', 'https:') AS url FROM pages)"""
 
+_HOST_LIST = "'m.ththth.example.net', 'thther.example.org', 'blog.tionsh.example.com', 'ththan.example.com'"
+
+# Grouped documents as files: the same names as in the bundles, and the lines of their pages.
+_GROUPED_LINES = _by_path(f"{_LOCATED}, {_TITLED}", "titled", "title", "file_name").split(
+    "SELECT file_name, part_no"
+)[0] + """
+SELECT file_name, line, count(*) AS n
+FROM (
+  SELECT file_name, unnest(string_split(title || chr(10), chr(10))) AS line FROM parted JOIN files
+  USING (base_url, prefix, matched_path)
+) GROUP BY ALL"""
+
 ORACLES: dict[str, str] = {
+    "scan_pages": "SELECT page_id, url, md5(html) AS html_md5 FROM pages",
+    "hosted_base_path": f"""
+SELECT DISTINCT url, 'https://' || {_HOST} || '/en' AS base_url FROM pages
+WHERE {_HOST} IN ({_HOST_LIST}) AND regexp_matches({_PATH}, '^/en/[123]')
+  AND NOT starts_with({_PATH}, '/en/33')""",
+    "section_sink": f"""
+WITH {_SECTIONS},
+lines AS (
+  SELECT source, unnest(string_split(regexp_replace(section, '\\n$', ''), chr(10))) AS line FROM sections
+)
+SELECT source, line, count(*) AS n FROM lines GROUP BY ALL""",
+    "combined_sink": """
+WITH latest AS (
+  SELECT url, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1
+),
+lines AS (
+  SELECT unnest(string_split('## ' || url || chr(10) || chr(10) || title || chr(10), chr(10))) AS line FROM latest
+)
+SELECT line, count(*) AS n FROM lines GROUP BY ALL""",
+    "grouped_sink": _GROUPED_LINES,
+    "profile_sink": f"""
+WITH {_FILES}
+SELECT string_agg(DISTINCT ext, '|' ORDER BY ext) AS file_extensions,
+       'node_modules/**|vendor/**|.git/**' AS ignore_paths
+FROM parts WHERE ext IN ('md', 'txt', 'go', 'json')""",
+    "binary_tree": f"""
+WITH {_SECTIONS}
+SELECT 'source=' || source AS folder, CAST(sum(strlen(section)) AS BIGINT) AS n_bytes
+FROM sections GROUP BY source""",
+    "single_bundle": f"""
+WITH {_LOCATED}, {_TITLED},
+sections AS (
+  SELECT url, '## ' || url || chr(10) || chr(10) || title || chr(10) || chr(10) AS section FROM titled
+), {_offsets("", "url", "strlen(section)", "sections")}
+SELECT 'combined.md' AS file_name, part_no, count(*) AS n_sections, min(first_byte) AS byte_offset,
+       string_agg(section, '' ORDER BY url) AS text
+FROM parted GROUP BY part_no""",
     "ext_profile": f"""
 WITH {_FILES}
 SELECT ext, count(*) AS n_files, CAST(sum(strlen(content)) AS BIGINT) AS total_bytes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,10 @@ from corpusbundle.functions.text import (
 from corpusbundle.functions.urls import url_host, url_path
 from corpusbundle.operators.bundles import bundle_parts, union_sections
 from corpusbundle.operators.dedupe import keep_last, keep_last_wide
-from corpusbundle.operators.durable import durable_table
+from corpusbundle.operators.durable import durable_table, shared_dir
 from corpusbundle.operators.lookups import pages_of_sites, seeds_without_page
 from corpusbundle.operators.ordering import with_positions
+from corpusbundle.operators.pages import page_content
 from corpusbundle.operators.profiles import ext_profile, run_summary
 from corpusbundle.operators.rules import rule_violations, selector_violations
 from corpusbundle.operators.schedule import throttle_schedule
@@ -58,8 +61,15 @@ from corpusbundle.plans.web import (
     with_rules,
 )
 from corpusbundle.schemas import OVERRIDE
-from corpusbundle.sources.pages import failed
-from corpusbundle.sources.sites import seed_urls, sites_from_urls
+from corpusbundle.sinks.text import (
+    write_combined_pages,
+    write_grouped_pages,
+    write_ordered,
+    write_profile,
+)
+from corpusbundle.sources.pages import failed, scan_pages
+from corpusbundle.sources.sites import seed_urls, sites_from_urls, sites_table
+from corpusbundle.sources.trees import scan_binary_tree
 
 POLICY = FilePolicy(
     types=["md", "txt", "go"],
@@ -393,6 +403,81 @@ def q_web_bundle(spark, sf):
     return parts.select("file_name", "part_no", "n_sections", "byte_offset", "text")
 
 
+# --- sources and sinks -----------------------------------------------------------
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/written/{uuid.uuid4().hex}"
+
+
+def lines_of(written: DataFrame, *keys: str) -> DataFrame:
+    """Each line of written text with its number of occurrences."""
+    return written.groupBy(*keys, F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_scan_pages(spark, sf):
+    pages = scan_pages(spark, f"{sf}/pages.parquet")
+    return pages.select("page_id", "url", F.md5("html").alias("html_md5"))
+
+
+def q_hosted_base_path(spark, sf):
+    """Rules given as dictionaries, for sites that begin below a path of their host."""
+    hosts = ["m.ththth.example.net", "thther.example.org", "blog.tionsh.example.com", "ththan.example.com"]
+    rules = [
+        {"base_url": f"https://{h}/en", "allowed_paths": ["/1", "/2", "/3"], "exclude_paths": ["/33"]} for h in hosts
+    ]
+    found = hosted_pages(scan_pages(spark, f"{sf}/pages.parquet"), sites_table(spark, rules), ["page_id"], columns=())
+    return found.select("url", F.col("site.base_url").alias("base_url"))
+
+
+def q_section_sink(spark, sf):
+    """Rendered files written in walk order, one folder per source, and read back."""
+    path = new_folder(spark)
+    sections = file_sections(document_files(spark, sf), POLICY)
+    write_ordered(sections, path, ["tree_key", "doc_id"], "section", by=["source"])
+    return lines_of(spark.read.schema("value string, source string").text(path), "source")
+
+
+def q_combined_sink(spark, sf):
+    path = new_folder(spark)
+    latest = keep_last_wide(table(spark, sf, "pages"), ["url"], ["page_id"])
+    write_combined_pages(page_content(latest), "content", path)
+    return lines_of(spark.read.text(path))
+
+
+def q_grouped_sink(spark, sf):
+    path = new_folder(spark)
+    pages = converted_pages(hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"]))
+    write_grouped_pages(grouped_pages(pages, "content"), path)
+    return lines_of(spark.read.schema("value string, file_name string").text(path), "file_name")
+
+
+def q_profile_sink(spark, sf):
+    path = new_folder(spark)
+    write_profile(generated_policy(with_size(document_files(spark, sf))), path)
+    back = spark.read.schema("file_extensions array<string>, ignore_paths array<string>").json(path)
+    return back.select(
+        joined(F.col("file_extensions")).alias("file_extensions"),
+        joined(F.col("ignore_paths")).alias("ignore_paths"),
+    )
+
+
+def q_binary_tree(spark, sf):
+    """Bytes below each folder of a written tree, by the listing of Spark's own file source."""
+    path = new_folder(spark)
+    write_ordered(file_sections(document_files(spark, sf), POLICY), path, ["tree_key", "doc_id"], "section", by=["source"])
+    found = scan_binary_tree(spark, path)
+    folder = F.regexp_extract("rel_path", r"\A([^/]*)/", 1)
+    return found.groupBy(folder.alias("folder")).agg(F.sum("size").alias("n_bytes"))
+
+
+def q_single_bundle(spark, sf):
+    """The page plan with all pages in one document."""
+    pages, sites = table(spark, sf, "pages"), host_sites(spark, sf)
+    parts = bundle_pages(pages, sites, ["page_id"], mode="single", hosted=True, part_bytes=PART_BYTES)
+    return parts.select("file_name", "part_no", "n_sections", "byte_offset", "text")
+
+
 # --- schedule and rules ----------------------------------------------------------
 
 

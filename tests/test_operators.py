@@ -1,3 +1,5 @@
+import math
+from fractions import Fraction
 import random
 
 import pytest
@@ -247,3 +249,18 @@ def test_run_summary(spark):
     df = spark.createDataFrame(rows, "site string, url string, content string")
     found = {tuple(r) for r in run_summary(df, "site").collect()}
     assert found == {("s", 2, 1, 3), ("t", 1, 1, 0)}
+
+
+@pytest.mark.parametrize("rate", [3_000_000, 400_000, 3, Fraction(7, 3), 0.1])
+def test_throttle_keeps_intervals_that_are_no_whole_microseconds(spark, rate):
+    """Against exact fractions, one request after the other."""
+    arrivals = [0] * 12 + [4, 5, 9, 1_000_000, 1_000_001] + [2_000_000] * 5
+    df = spark.createDataFrame(list(enumerate(arrivals)), "i long, at long")
+    found = {r.i: r.admit_us for r in throttle_schedule(df, None, "at", "i", rate, 2, slices=3).collect()}
+    step, tokens, last = 1_000_000 / Fraction(rate).limit_denominator(1_000_000), Fraction(2), Fraction(0)
+    for i, at in enumerate(arrivals):
+        now = max(Fraction(at), last)
+        tokens = min(Fraction(2), tokens + (now - last) / step)
+        wait = max(Fraction(0), (1 - tokens) * step)
+        last, tokens = now + wait, max(tokens - 1, Fraction(0))
+        assert found[i] == math.ceil(last), i
