@@ -127,6 +127,8 @@ class TestBlock:
             first, last = max(a, at[text] - shift), min(b, at[text + 1] - shift)
             same = words[first + shift : last + shift] == self.words[first:last]
             alike, begin, end = _best_stretch(same)
+            if same.sum() > alike and same.sum() >= SHARE * (b - a):  # the whole item, ends and all
+                alike, begin, end = int(same.sum()), 0, len(same)
             if alike >= min(LEAST_WORDS, np.ceil(SHARE * (b - a))) and alike >= SHARE * (end - begin):
                 row = (alike, end - begin, int(first + shift - at[text]) + begin, int(first - a) + begin)
                 best[text, item] = max(best.get((text, item), row), row)
