@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 
 #: Texts of one batch are worked on in runs of about so many bytes; one long text may exceed it.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
