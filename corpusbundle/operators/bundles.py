@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusbundle.functions.text import content_length, non_blank
 from corpusbundle.operators.durable import durable_table
@@ -14,6 +16,9 @@ from corpusbundle.operators.ordering import with_positions
 
 PART_BYTES = 64 * 1024 * 1024
 
+# Small parts are handed on together.
+WAITING_BYTES = 4 * 1024 * 1024
+
 _AS = "_row_"
 
 
@@ -43,21 +48,76 @@ def assign_parts(
     ).withColumn("part_no", F.expr(f"byte_offset div {int(part_bytes)}"))
 
 
-def collect_parts(rows: DataFrame, keys: Sequence[str], text: str, sep: str = "") -> DataFrame:
+def assembled(part_bytes: int, keys: Sequence[str] = ()):
+    """A job that joins consecutive rows of one part into pieces of text.
+
+    Rows (keys, part_no, byte_offset, text, is_start) come in document order, all rows of a
+    part in one partition. Memory holds one piece: a part is one piece unless a row of it
+    is much larger than ``part_bytes``. Rows without text are left out.
+    """
+    place = [*keys, "part_no"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, piece, offset, n, size = None, 0, 0, 0, 0
+        texts: list[str] = []
+        done: list[tuple] = []
+        waiting, schema = 0, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+        for batch in batches:
+            if schema is None:
+                numbers = [pa.field(c, pa.int64()) for c in ("piece_no", "n_sections", "byte_offset")]
+                schema = pa.schema([*(batch.schema.field(c) for c in place), *numbers, batch.schema.field("text")])
+            columns = [batch.column(c).to_pylist() for c in [*place, "byte_offset", "text", "is_start"]]
+            for *key, at, text, start in zip(*columns):
+                if text is None:
+                    continue
+                if texts and (key != now or size >= part_bytes * 2):
+                    done.append((*now, piece, n, offset, "".join(texts)))
+                    waiting += size
+                    piece = piece + 1 if key == now else 0
+                    texts, n, size = [], 0, 0
+                    if waiting >= WAITING_BYTES:
+                        yield out()
+                        done, waiting = [], 0
+                if not texts:
+                    offset = at
+                now = key
+                texts.append(text)
+                size += len(text)
+                n += int(start)
+        if texts:
+            done.append((*now, piece, n, offset, "".join(texts)))
+        if done:
+            yield out()
+
+    return run
+
+
+def collect_parts(
+    rows: DataFrame, keys: Sequence[str], text: str, sep: str = "", part_bytes: int = PART_BYTES
+) -> DataFrame:
     """Concatenate the rows of every part in order; parts in order make the document.
 
-    Rows should already be partitioned by (keys, part_no), so that no text is
-    buffered for a map-side aggregate that could not shrink it.
+    One shuffle places a part's rows in one partition, where they are sorted and joined as
+    they pass; no group of parts is held in memory. A row is assumed not to be much larger
+    than ``part_bytes``.
     """
     piece = F.when(F.col("ordinal") > 0, F.concat(F.lit(sep), F.col(text))).otherwise(F.col(text))
+    schema = T.StructType(
+        [*(rows.schema[k] for k in keys)]
+        + [T.StructField(c, T.LongType()) for c in ("part_no", "piece_no", "n_sections", "byte_offset")]
+        + [T.StructField("text", T.StringType())]
+    )
+    # No row is ever cut here, so a part of two pieces would be one whose rows overrun it.
     return (
-        rows.withColumn("_piece", piece if sep else F.col(text))
-        .groupBy(*keys, "part_no")
-        .agg(
-            F.count(F.lit(1)).alias("n_sections"),
-            F.min("byte_offset").alias("byte_offset"),
-            F.expr("listagg(_piece) WITHIN GROUP (ORDER BY ordinal)").alias("text"),
-        )
+        rows.repartition(*keys, "part_no")
+        .sortWithinPartitions(*keys, "part_no", "ordinal")
+        .select(*keys, "part_no", "byte_offset", (piece if sep else F.col(text)).alias("text"), F.lit(True).alias("is_start"))
+        .mapInArrow(assembled(1 << 62, keys), schema)
+        .drop("piece_no")
     )
 
 
@@ -99,7 +159,6 @@ def bundle_parts(
     placed_text = (
         sections.join(lookup, same)
         .select(*(sections[c] for c in [*keys, text]), "ordinal", "byte_offset", "part_no")
-        .repartition(*keys, "part_no")
     )
     return collect_parts(placed_text, keys, text, sep)
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from corpusbundle.functions.globs import (
 )
 from corpusbundle.functions.names import BUNDLE_SUFFIX
 from corpusbundle.functions.text import file_section, generated_note
-from corpusbundle.operators.bundles import PART_BYTES, assign_parts, bundle_parts
+from corpusbundle.operators.bundles import PART_BYTES, assembled, assign_parts, bundle_parts
 from corpusbundle.operators.durable import durable
 from corpusbundle.sources.trees import CHUNK_BYTES, read_content, scan_tree, unreadable
 
@@ -135,38 +134,6 @@ class TreeBundle(NamedTuple):
     errors: DataFrame
 
 
-def _assembled(part_bytes: int):
-    """Join the sections of a part as they are read; no more than one piece is held."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, piece, offset, n, size = None, 0, 0, 0, 0
-        texts: list[str] = []
-
-        def out() -> pd.DataFrame:
-            row = (part, piece, n, offset, "".join(texts))
-            return pd.DataFrame([row], columns=["part_no", "piece_no", "n_sections", "byte_offset", "text"])
-
-        for batch in batches:
-            columns = (batch[c] for c in ("part_no", "byte_offset", "chunk_no", "section"))
-            for number, at, chunk, section in zip(*columns):
-                if section is None:
-                    continue
-                if texts and (number != part or size >= part_bytes * 2):
-                    yield out()
-                    piece = piece + 1 if number == part else 0
-                    texts, n, size, offset = [], 0, 0, at
-                elif not texts:
-                    offset = at
-                part = number
-                texts.append(section)
-                size += len(section)
-                n += int(chunk == 0)
-        if texts:
-            yield out()
-
-    return run
-
-
 def bundle_tree(
     spark: SparkSession, root: str, policy: FilePolicy, part_bytes: int = PART_BYTES
 ) -> TreeBundle:
@@ -178,8 +145,11 @@ def bundle_tree(
     """
     listing = part_listing(spark, root, policy, part_bytes)
     sections = read_sections(listing, root, min(part_bytes, CHUNK_BYTES))
-    parts = sections.select("part_no", "byte_offset", "chunk_no", "section").mapInPandas(
-        _assembled(part_bytes),
+    rows = sections.select(
+        "part_no", "byte_offset", F.col("section").alias("text"), (F.col("chunk_no") == 0).alias("is_start")
+    )
+    parts = rows.mapInArrow(
+        assembled(part_bytes),
         "part_no long, piece_no long, n_sections long, byte_offset long, text string",
     )
     return TreeBundle(parts, unreadable(listing, root))
