@@ -57,7 +57,7 @@ def _seed_hashes(words: np.ndarray, mask: str, number: int) -> np.ndarray:
 
 
 @dataclass
-class TestBlock:
+class ItemBlock:
     """A block of test items with their seeds in hash order, and a bitmap of those hashes."""
 
     ids: list
@@ -69,7 +69,7 @@ class TestBlock:
     filter: list[np.ndarray]
 
     @classmethod
-    def of(cls, ids: list, texts: list[str | None], seeds=SEEDS) -> TestBlock:
+    def of(cls, ids: list, texts: list[str | None], seeds=SEEDS) -> ItemBlock:
         column = pa.array([(t or "").encode() for t in texts], pa.binary())
         hashed, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for run in runs(column):
@@ -149,7 +149,7 @@ def _best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return int(same[begin:end].sum()), begin, end
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[TestBlock]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[ItemBlock]:
     """The test items in blocks that a task can hold; one block unless they are many."""
     items = durable_table(
         benchmark.select(F.col(id_col).alias("_item"), text_of(text_col).alias("_text"))
@@ -160,10 +160,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[TestBl
     for k in range(n):
         rows = items.filter(place == k).collect()
         if rows:
-            yield TestBlock.of([r._item for r in rows], [r._text for r in rows])
+            yield ItemBlock.of([r._item for r in rows], [r._text for r in rows])
 
 
-def _measure(block: TestBlock, column: pa.Array) -> Iterator[tuple[int, list]]:
+def _measure(block: ItemBlock, column: pa.Array) -> Iterator[tuple[int, list]]:
     for run in runs(column):
         words, spans = plain_words(run)
         yield run.first, block.overlaps(words, spans.at)
@@ -191,7 +191,7 @@ def contaminated(
     names = ["n_alike", "n_words", "doc_start", "item_start"]
     schema = f"_id {kinds[0]}, _item {kinds[1]}, " + ", ".join(f"{n} long" for n in names)
 
-    def task(block: TestBlock):
+    def task(block: ItemBlock):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(first + t, i, *m) for first, found in _measure(block, batch.column(1)) for t, i, *m in found]
@@ -224,7 +224,7 @@ def drop_contaminated(
     """The rows of ``docs`` that overlap no test item, with their columns; see ``contaminated``."""
     kept = docs.withColumn("_text_bytes", text_of(text_col).cast("binary"))
 
-    def task(block: TestBlock):
+    def task(block: ItemBlock):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)

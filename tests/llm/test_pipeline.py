@@ -1,0 +1,82 @@
+"""The pipeline against a plain version of each stage."""
+
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from corpusbundle.llm.decontamination import ItemBlock, _measure
+from corpusbundle.llm.packing import pack
+from corpusbundle.llm.quality import in_fold, train
+from tests.llm.frames import ODD, documents
+from tests.llm.test_simhash import brute_classes, brute_print
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_stages(spark, docs):
+    """The rows (doc_id, text) that are left after each filtering stage."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter(~in_fold("doc_id", 5, 0))
+    model = train(docs, labels)
+    score = dict(zip((i for i, _ in rows), model.scores(pa.array([(t or "").encode() for _, t in rows], pa.binary()))))
+    rows = [(i, t) for i, t in rows if score[i] >= 0.3]
+    yield rows
+
+    last = {}
+    for i, t in rows:
+        last[t or ""] = max(last.get(t or "", i), i)
+    rows = [(i, t) for i, t in rows if last[t or ""] == i]
+    yield rows
+
+    prints = {i: brute_print(t) for i, t in rows}
+    root = brute_classes(prints.values())
+    least = {}
+    for i, p in prints.items():
+        least[root[p]] = min(least.get(root[p], i), i)
+    rows = [(i, t) for i, t in rows if least[root[prints[i]]] == i]
+    yield rows
+
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    block = ItemBlock.of([r.item_id for r in items], [r.text for r in items])
+    found = {}
+    for first, overlaps in _measure(block, pa.array([(t or "").encode() for _, t in rows], pa.binary())):
+        found |= {first + k: True for k, *_ in overlaps}
+    yield [r for k, r in enumerate(rows) if k not in found]
+
+
+def test_every_stage_against_a_plain_version(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, sizes = docs.columns, [docs.count()]
+    for (name, stage), rows in zip(corpus_pipeline.STAGES, plain_stages(spark, docs)):
+        path = f"file://{tmp_path}/{name.replace(' ', '-')}"
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(rows)
+        sizes.append(len(rows))
+    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > sizes[4]
+
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    whole = corpus_pipeline.run(spark, SF)
+    assert pieces.columns == whole.columns
+    got = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces.collect())
+    assert got == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole.collect())
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    total = {r.doc_id: len(model.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    seen = {}
+    for i, start, length, _ in got:
+        assert start == seen.get(i, 0)
+        seen[i] = start + length
+    assert seen == total
+
+
+def test_stages_take_odd_rows_and_no_rows(spark):
+    """Extra columns, nulls, repeated rows and an empty table go through every stage."""
+    for rows in (ODD, []):
+        docs = documents(spark, rows)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, SF)
+            assert kept.columns == docs.columns
+            assert kept.count() <= len(rows)
+        assert pack(docs, public_tokenizers.path("byte_bpe_50k.json")).count() >= len(rows)
