@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbundle.llm.common import durable_table, flagged, slot_bitmap, slots, spread_join, text_of
+from corpusbundle.llm.common import bounded_batches, durable_table, flagged, slot_bitmap, slots, spread_join, text_of
 from corpusbundle.llm.spans import Texts, Words, hashes, mixed, ragged, runs, words
 
 #: Words of a minimiser.
@@ -35,7 +35,10 @@ GRAM = 5
 BITS = 26
 
 #: A bucket task sorts so many bytes of packed strings at once, or one bucket if that is larger.
-SORT_BYTES = 8 << 20
+SORT_BYTES = 4 << 20
+
+#: Windows whose bytes are compared at once.
+COMPARED = 1 << 15
 
 
 class _Windows:
@@ -159,6 +162,14 @@ def _joined(data: np.ndarray, spans: Words, first: np.ndarray, n: np.ndarray) ->
     return flat, np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(n)])]
 
 
+def _same(data: np.ndarray, begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the windows a have the same bytes as the windows b, one by one."""
+    length = end[a] - begin[a]
+    if not np.array_equal(length, end[b] - begin[b]):
+        return False
+    return np.array_equal(data[ragged(begin[a], length)], data[ragged(begin[b], length)])
+
+
 def _sorted_windows(doc: np.ndarray, start: np.ndarray, packed: pa.Array, width: int):
     """(doc, start) of the windows that occur in a smaller document too.
 
@@ -179,14 +190,10 @@ def _sorted_windows(doc: np.ndarray, start: np.ndarray, packed: pa.Array, width:
         group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
         head = at[group]
         again = np.flatnonzero(d > d[head])
-        length = end[again] - begin[again]
-        same = length == (end - begin)[head[again]]
-        if same.all():
-            a = texts.data[ragged(begin[again], length)]
-            same_bytes = a == texts.data[ragged(begin[head[again]], length)]
-            exact = bool(same_bytes.all())
-        else:
-            exact = False
+        exact = all(
+            _same(texts.data, begin, end, again[k : k + COMPARED], head[again[k : k + COMPARED]])
+            for k in range(0, len(again), COMPARED)
+        )
         if exact:
             lost = order[again]
         else:  # two window texts share a hash: group by the texts themselves
@@ -258,8 +265,11 @@ def repeated_windows(source: DataFrame, width: int) -> DataFrame:
         packed.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("_n"))
         .filter("first < last")
     )
+    # Strings that occur once are left out before anything is shuffled; the join is exact.
+    met = durable_table(slot_bitmap(F.xxhash64("digest"), strings))
+    near = flagged(packed.select("digest", "doc", "start", "n"), F.xxhash64("digest"), met, "_met")
     copies = (
-        spread_join(packed.select("digest", "doc", "start", "n"), strings, "digest", "_n")
+        spread_join(near.filter("_met").drop("_met"), strings, "digest", "_n")
         .filter("doc > first")
         .select("doc", "start", "n")
     )
@@ -279,6 +289,7 @@ def drop_repeated_windows(
     """
     if width < GRAM:
         raise ValueError(f"windows have {GRAM} words or more")
+    bounded_batches(docs)
     least = F.lit(-(1 << 63)).cast("long")
     source = docs.select(
         F.col(id_col).alias("_id"),
