@@ -8,7 +8,24 @@ from pyspark.sql import functions as F
 from corpusbundle.operators.durable import durable_table
 from corpusbundle.operators.keys import flagged, slot_bitmap
 
-__all__ = ["durable_table", "flagged", "slot_bitmap", "slots", "spread_join", "table", "text_of"]
+__all__ = ["bounded_batches", "durable_table", "flagged", "slot_bitmap", "slots", "spread_join", "table", "text_of"]
+
+
+#: Rows of an Arrow batch of whole texts, where the session leaves Spark's default.
+BATCH_ROWS = 1_000
+
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Have Arrow batches hold fewer rows than Spark's default, which is made for narrow ones.
+
+    A batch of whole texts exists once in the JVM and once in the Python worker of each
+    task. A value that the session sets itself is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusbundle.llm.common import durable_table, text_of
-from corpusbundle.llm.spans import Texts, Words, _spans, hashes, lowered, mixed, ragged, runs
+from corpusbundle.llm.common import bounded_batches, durable_table, text_of
+from corpusbundle.llm.spans import Texts, Words, _spans, filled, hashes, lowered, mixed, ragged, runs
 
 #: The masks: 1 counts, 0 is ignored.
 SEEDS = ("1101100111", "1110010111", "1011101101", "111111")
@@ -186,6 +186,7 @@ def contaminated(
     their rows each, and so have repeated items. Other columns are not read; an empty table
     on either side gives no rows.
     """
+    bounded_batches(docs)
     source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("_text"))
     kinds = source.schema["_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     names = ["n_alike", "n_words", "doc_start", "item_start"]
@@ -222,13 +223,14 @@ def drop_contaminated(
     item_text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that overlap no test item, with their columns; see ``contaminated``."""
-    kept = docs.withColumn("_text_bytes", text_of(text_col).cast("binary"))
+    bounded_batches(docs)
+    kept, at = docs, docs.columns.index(text_col)
 
     def task(block: ItemBlock):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for first, found in _measure(block, batch.column(batch.num_columns - 1)):
+                for first, found in _measure(block, filled(batch.column(at))):
                     clean[[first + t for t, *_ in found]] = False
                 yield batch.filter(pa.array(clean))
 
@@ -236,4 +238,4 @@ def drop_contaminated(
 
     for block in _blocks(benchmark, item_col, item_text_col):
         kept = kept.mapInArrow(task(block), kept.schema)
-    return kept.drop("_text_bytes")
+    return kept

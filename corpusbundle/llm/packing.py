@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusbundle.llm.common import durable_table, text_of
+from corpusbundle.llm.common import bounded_batches, durable_table, text_of
 from corpusbundle.llm.spans import ragged
 from corpusbundle.llm.vocabulary import Vocabulary
 
@@ -105,6 +105,7 @@ def pack(
     ``end_id``. Repeated rows are packed each; a null id stays null. Sequence ids are
     distinct but have gaps. Other columns are not read; an empty table gives no rows.
     """
+    bounded_batches(docs)
     vocabulary = Vocabulary(tokenizer)
     edge = capacity
 

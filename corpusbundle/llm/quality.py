@@ -15,15 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusbundle.llm.common import durable_table, text_of
-from corpusbundle.llm.spans import Texts, Words, _spans, hashes, lowered, mixed, ragged, runs, words
+from corpusbundle.llm.common import bounded_batches, durable_table, text_of
+from corpusbundle.llm.spans import Texts, Words, _spans, filled, hashes, lowered, mixed, ragged, runs, words
 
 #: Hashed features: 2**BITS.
 BITS = 18
 
 #: The model is fitted on at most so many labelled documents, those with the smallest hashes.
-SAMPLE = 12_000
+SAMPLE = 8_000
 
 #: Of these, every fifth is left out of the fit and gives the scale of the score.
 CALIBRATION = 5
@@ -164,7 +165,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, cost
         return (counts + smoothing) / (len(own) + 2 * smoothing)
 
     ratio = np.log(frequency(1) / frequency(-1))
-    values = [ratio[rows[i]] / np.sqrt(max(len(rows[i]), 1)) for i in use]
+    values = [(ratio[rows[i]] / np.sqrt(max(len(rows[i]), 1))).astype(np.float32) for i in use]
     # Both classes weigh the same in sum.
     share = np.array([np.mean(y[use] == v) for v in y[use]])
     w, bias = _descend([rows[i] for i in use], values, y[use], cost * 0.5 / share, rounds)
@@ -188,6 +189,7 @@ def train(
     Rows with a null id or label are not labelled. An id labelled more than once has the
     larger label; a document that occurs more than once counts once.
     """
+    bounded_batches(docs)
     chosen = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -211,24 +213,25 @@ def train(
     labelled = found.join(F.broadcast(chosen), "_id").select("_order", "_y", "_text")
     rows = labelled.mapInArrow(extract, "_order long, _y int, _slots array<int>")
     got = rows.dropDuplicates(["_order"]).toArrow().sort_by("_order")
-    slots = [np.asarray(s.values, dtype=np.int64) for s in got["_slots"]]
+    slots = [np.asarray(s.values) for s in got["_slots"]]
     return fit(slots, got["_y"].to_numpy())
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1; empty and null texts have that of no features."""
-
-    @F.pandas_udf("double")
-    def score(text):
-        return _series(model.scores(pa.array(text, pa.binary())))
-
-    return docs.withColumn(name, score(text_of(text_col).cast("binary")))
+    """``docs`` with a score from 0 to 1; empty and null texts have that of no features.
 
+    A column that already has the score's name is replaced.
+    """
+    bounded_batches(docs)
+    docs = docs.drop(name)
 
-def _series(values: np.ndarray):
-    import pandas as pd
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array(model.scores(filled(batch.column(at))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
-    return pd.Series(values)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def in_fold(id_col: str, folds: int, fold: int) -> Column:

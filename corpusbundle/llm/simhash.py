@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusbundle.llm.common import durable_table, spread_join, text_of
+from corpusbundle.llm.common import bounded_batches, durable_table, spread_join, text_of
 from corpusbundle.llm.components import components
 from corpusbundle.llm.spans import lowered, ragged, runs, words
 
@@ -271,6 +271,7 @@ def near_duplicates(
             fp = fingerprints_of(batch.column(1), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["_id", "fp"])
 
+    bounded_batches(docs)
     source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
     rows = durable_table(source.mapInArrow(prints, f"_id {kind}, fp long"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts of one batch are worked on in runs of about so many bytes; one long text may exceed it.
 RUN_BYTES = 1 << 20
@@ -59,6 +60,13 @@ def runs(column: pa.Array, most: int = RUN_BYTES) -> Iterator[Texts]:
         row = last
 
 
+def filled(column: pa.Array) -> pa.Array:
+    """A string or binary column with its nulls as empty values."""
+    if not column.null_count:
+        return column
+    return pc.fill_null(column, pa.scalar(b"" if pa.types.is_binary(column.type) else "", column.type))
+
+
 def lowered(texts: Texts) -> Texts:
     """A-Z as a-z; all other bytes stay."""
     table = np.arange(256, dtype=np.uint8)

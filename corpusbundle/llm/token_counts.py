@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from corpusbundle.llm.common import durable_table, flagged, slot_bitmap, spread_join, text_of
+from corpusbundle.llm.common import bounded_batches, durable_table, flagged, slot_bitmap, spread_join, text_of
 from corpusbundle.llm.vocabulary import Vocabulary, version_of
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -49,6 +49,7 @@ def count_tokens(
     null ids have a row each, other columns are not read. An empty table gives no rows
     and appends none. Special strings inside a text are read as the library reads them.
     """
+    bounded_batches(docs)
     version = version_of(tokenizer)
     given = text_of(text_col)
     text = given if normalise is None else text_of(normalise)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from corpusbundle.llm.spans import chunks, distinct, ragged, runs, sums
 
 #: Pieces whose ids a task remembers; it starts afresh beyond that.
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 
 
 def version_of(path: str) -> str:
