@@ -10,7 +10,7 @@ cell are compared by the Manhattan bound and then bit by bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +255,22 @@ def links(prints: DataFrame, most: int = CELL_ROWS) -> DataFrame:
 # The operator.
 
 
+def named_classes(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (_id, fp) with component_id, the smallest id of all values that the links of ``links_of`` join."""
+    each = durable_table(rows.groupBy("fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows")))
+    roots = components(links_of(each))
+    rooted = durable_table(
+        each.join(roots, each.fp == roots.node, "left").select(
+            "fp", "_least", "_rows", F.coalesce("root", "fp").alias("root")
+        )
+    )
+    classes = durable_table(
+        rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_prints"))
+    )
+    named = durable_table(spread_join(rooted, classes, "root", "_prints").select("fp", "_rows", "component_id"))
+    return spread_join(rows, named, "fp", "_rows")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3
 ) -> DataFrame:
@@ -275,18 +291,7 @@ def near_duplicates(
     source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
     rows = durable_table(source.mapInArrow(prints, f"_id {kind}, fp long"))
-    each = durable_table(rows.groupBy("fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows")))
-    roots = components(links(each))
-    rooted = durable_table(
-        each.join(roots, each.fp == roots.node, "left").select(
-            "fp", "_least", "_rows", F.coalesce("root", "fp").alias("root")
-        )
-    )
-    classes = durable_table(
-        rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_prints"))
-    )
-    named = durable_table(spread_join(rooted, classes, "root", "_prints").select("fp", "_rows", "component_id"))
-    return spread_join(rows, named, "fp", "_rows").select(
+    return named_classes(rows, links).select(
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
