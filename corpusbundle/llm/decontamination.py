@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive words: masked-out positions are ignored,
 test passage with some words exchanged still shares seeds with a copy of it. The test
 side is hashed in blocks of bounded size that are sent to every task; the training side
 is hashed while it is scanned, and never shuffled. Around a shared seed the two word
-sequences are laid side by side and the stretch that agrees best is measured.
+sequences are laid side by side and the stretch with most words alike, among those that
+agree in the least share, is measured.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from corpusbundle.llm.spans import Texts, Words, _spans, filled, hashes, lowered
 SEEDS = ("1101100111", "1110010111", "1011101101", "111111")
 
 #: A stretch must agree in this share of its words, and in so many words (all, for shorter items).
-SHARE, LEAST_WORDS = 0.8, 13
+SHARE, LEAST_WORDS = (4, 5), 13
 
 #: Test items of fewer words cannot be told from chance and match nothing.
 SHORTEST = 5
@@ -127,26 +128,28 @@ class ItemBlock:
             first, last = max(a, at[text] - shift), min(b, at[text + 1] - shift)
             same = words[first + shift : last + shift] == self.words[first:last]
             alike, begin, end = _best_stretch(same)
-            if same.sum() > alike and same.sum() >= SHARE * (b - a):  # the whole item, ends and all
-                alike, begin, end = int(same.sum()), 0, len(same)
-            if alike >= min(LEAST_WORDS, np.ceil(SHARE * (b - a))) and alike >= SHARE * (end - begin):
+            if alike >= min(LEAST_WORDS, -(-(b - a) * SHARE[0] // SHARE[1])):
                 row = (alike, end - begin, int(first + shift - at[text]) + begin, int(first - a) + begin)
                 best[text, item] = max(best.get((text, item), row), row)
         return [(*key, *row) for key, row in sorted(best.items())]
 
 
 def _best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(words alike, begin, end) of the stretch with the highest score.
+    """(words alike, begin, end) of the stretch with most words alike, of those with the least share.
 
     A word alike scores 1; one that differs costs so much that a stretch of the least
-    allowed share scores nothing.
+    allowed share scores nothing. For each end, the first begin from which the score is not
+    negative gives most words; it is found among the minima of the scores so far.
     """
-    score = np.where(same, 1.0, -SHARE / (1 - SHARE))
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    begin = int(np.flatnonzero(total[: end + 1] == lowest[end])[-1]) if end else 0
-    return int(same[begin:end].sum()), begin, end
+    total = np.concatenate([[0], np.cumsum(np.where(same, SHARE[1] - SHARE[0], -SHARE[0]))])
+    count = np.concatenate([[0], np.cumsum(same)])
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total, side="left")
+    alike = count - count[begin]
+    end = int(np.argmax(alike))
+    begin = int(begin[end])
+    if end > begin:
+        begin += int(np.argmax(same[begin:end]))  # without differing words in front
+    return int(alike[end]), begin, end
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[ItemBlock]:
