@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over consecutive words: masked-out positions are ignored, so a
-test passage with some words exchanged still shares seeds with a copy of it. The test
+A seed is a fixed mask over consecutive words: masked-out positions are ignored, and the
+masks are such that a test passage with as many words exchanged as the rule allows shares
+a seed with a copy of it, wherever they stand. The test
 side is hashed in blocks of bounded size that are sent to every task; the training side
 is hashed while it is scanned, and never shuffled. Around a shared seed the two word
 sequences are laid side by side and the stretch with most words alike, among those that
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +23,20 @@ from pyspark.sql import functions as F
 from corpusbundle.llm.common import bounded_batches, durable_table, text_of
 from corpusbundle.llm.spans import Texts, Words, _spans, filled, hashes, lowered, mixed, ragged, runs
 
-#: The masks: 1 counts, 0 is ignored.
-SEEDS = ("1101100111", "1110010111", "1011101101", "111111")
-
 #: A stretch must agree in this share of its words, and in so many words (all, for shorter items).
 SHARE, LEAST_WORDS = (4, 5), 13
 
-#: Test items of fewer words cannot be told from chance and match nothing.
+#: Test items of fewer words cannot be told from chance inside a text; they match texts of just their words.
 SHORTEST = 5
 
+#: From so many words on an item has the far mask, for five alike at both ends of twenty and short runs between.
+_FAR_WORDS, _FAR = 20, "111" + "0" * 12 + "111"
+
 #: Test items are taken in blocks of about so many bytes of text.
 BLOCK_BYTES = 4 << 20
 
 _FILTER_BITS = 22
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -46,15 +49,40 @@ def plain_words(texts: Texts) -> tuple[np.ndarray, Words]:
     return hashes(low.data, spans.start, spans.end), spans
 
 
-def _seed_hashes(words: np.ndarray, mask: str, number: int) -> np.ndarray:
+def _kept(width: int, blocks: int, keep: int) -> set[str]:
+    """The masks that keep so many of a row of blocks, wherever they begin."""
+    rows = combinations(range(blocks), keep)
+    return {"".join("01"[k in kept] * width for k in range(blocks)).strip("0") for kept in rows}
+
+
+def masks_of(n: int) -> set[str]:
+    """Masks for an item of n words: 1 counts, 0 is ignored.
+
+    A passage that agrees with the item as the rule asks has one of them whole. Up to 16
+    words the words not alike spoil one block each, and the other blocks are kept. Longer
+    items need 13 words alike in some stretch; that the masks for 15 words and the far one
+    meet every such stretch is shown by enumeration in the tests.
+    """
+    if n < SHORTEST:
+        return {"1" * n} - {""}
+    if n < 6:
+        return _kept(1, 5, 4)
+    if n < 10:
+        return _kept(n // 3, 3, 2)
+    if n < 12:
+        return _kept(2, 5, 3)
+    return _kept(3, 4 if n < 15 else 5, 2) | ({_FAR} if n >= _FAR_WORDS else set())
+
+
+def _seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """The seed hash at each position where the whole mask fits."""
     n = len(words) - len(mask) + 1
-    total = np.full(max(n, 0), number + 1, dtype=np.uint64)
+    total = np.zeros(max(n, 0), dtype=np.uint64)
     if n > 0:
         for at, on in enumerate(mask):
             if on == "1":
-                total = mixed(total + words[at : at + n])
-    return total
+                total = total * _STEP + words[at : at + n]
+    return mixed(total)
 
 
 @dataclass
@@ -70,7 +98,7 @@ class ItemBlock:
     filter: list[np.ndarray]
 
     @classmethod
-    def of(cls, ids: list, texts: list[str | None], seeds=SEEDS) -> ItemBlock:
+    def of(cls, ids: list, texts: list[str | None]) -> ItemBlock:
         column = pa.array([(t or "").encode() for t in texts], pa.binary())
         hashed, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for run in runs(column):
@@ -80,17 +108,16 @@ class ItemBlock:
         words, n = np.concatenate(hashed), np.concatenate(counts)
         at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         item_of = np.repeat(np.arange(len(n)), n)
-        longest = max(map(len, seeds))
-        # Items shorter than the masks are looked up whole, one mask for each length.
-        short = sorted({int(x) for x in n if SHORTEST <= x < longest})
-        masks = [*seeds, *("1" * x for x in short)]
+        lengths = {int(x) for x in np.unique(np.minimum(n, _FAR_WORDS))}
+        masks = sorted(set().union(*map(masks_of, lengths)))
         block = cls(ids, words, at, masks, [], [], [])
-        for number, mask in enumerate(masks):
-            h = _seed_hashes(words, mask, number)
+        for mask in masks:
+            h = _seed_hashes(words, mask)
+            has = np.array([mask in masks_of(x) for x in range(_FAR_WORDS + 1)])
             place = np.arange(len(h))
             inside = item_of[place] == item_of[place + len(mask) - 1] if len(h) else np.zeros(0, bool)
             size = n[item_of[place]] if len(h) else np.zeros(0, np.int64)
-            fits = inside & ((size >= longest) if number < len(seeds) else (size == len(mask)))
+            fits = inside & has[np.minimum(size, _FAR_WORDS)]
             h, place = h[fits], place[fits]
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
@@ -111,13 +138,16 @@ class ItemBlock:
         for number, mask in enumerate(self.masks):
             if not len(self.seed[number]):
                 continue
-            h = _seed_hashes(words, mask, number)
+            h = _seed_hashes(words, mask)
             maybe = np.flatnonzero(self.filter[number][h & np.uint64((1 << _FILTER_BITS) - 1)])
             maybe = maybe[text_of[maybe] == text_of[maybe + len(mask) - 1]]
             low = np.searchsorted(self.seed[number], h[maybe], side="left")
             n = np.searchsorted(self.seed[number], h[maybe], side="right") - low
-            place = self.place[number][ragged(low, n)]
-            found.append(np.stack([np.repeat(maybe, n) - place, np.repeat(text_of[maybe], n), item_of[place]]))
+            place, spot = self.place[number][ragged(low, n)], np.repeat(maybe, n)
+            text, item = text_of[spot], item_of[place]
+            own, whole = np.diff(at)[text], np.diff(self.at)[item]
+            fits = (whole >= SHORTEST) | (whole == own)
+            found.append(np.stack([spot - place, text, item])[:, fits])
         if not found:
             return []
         # Seeds on one diagonal of a text and an item are one overlap to measure.
@@ -184,7 +214,8 @@ def contaminated(
 
     The stretch is given in words, with how many are alike. A document overlaps an item if
     some stretch of both has at least 80 % of its words alike and 13 words alike, or 80 %
-    of the item's words where it is shorter; items of fewer than five words match nothing.
+    of the item's words where it is shorter; an item of fewer than five words, a document of
+    just the same words. Items without words match nothing.
     Null texts are empty and match nothing; a null id stays null. Repeated documents have
     their rows each, and so have repeated items. Other columns are not read; an empty table
     on either side gives no rows.
