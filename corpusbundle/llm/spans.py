@@ -97,6 +97,15 @@ def words(texts: Texts) -> Words:
     return _spans(~_SPACE[texts.data], texts.offsets)
 
 
+_TERM = np.zeros(256, dtype=bool)
+_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def terms(texts: Texts) -> Words:
+    """Terms are runs of ASCII letters and digits and of all characters beyond ASCII."""
+    return _spans(_TERM[texts.data], texts.offsets)
+
+
 #: UTF-8 of white space beyond ASCII (Unicode property White_Space), a fixed list.
 WIDE_SPACES = [
     b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\x80", b"\xe2\x80\x81", b"\xe2\x80\x82",
