@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusbundle.operators.durable import durable_table
-from corpusbundle.operators.keys import flagged, slot_bitmap
+from corpusbundle.operators.keys import with_repeated
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -23,15 +22,16 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*df.columns)
 
 
-def keep_last_wide(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def keep_last_wide(df: DataFrame, keys: Sequence[str], order: Sequence[str], **bounds: int) -> DataFrame:
     """``keep_last`` for rows that are costly to move.
 
-    A first pass over the keys alone finds which of them occur again. Rows of all other
-    keys stay where they are read; only copies are merged. The first pass runs when this
-    is called, and its result has one size at every input.
+    A first pass over the keys alone finds those that occur again. Rows of all other keys stay
+    where they are read, whatever their number; only copies are merged. The first pass runs
+    when this is called. ``bounds`` limit what it broadcasts (see ``with_repeated``); beyond them
+    all rows are merged in a shuffle.
     """
-    key = F.xxhash64(*keys)
-    again = durable_table(slot_bitmap(key, df, least=2))
-    marked = flagged(df, key, again, "_again")
+    marked = with_repeated(df, F.xxhash64(*keys), "_again", **bounds)
+    if marked is None:
+        return keep_last(df, keys, order)
     once = marked.filter("not _again").drop("_again")
     return once.unionByName(keep_last(marked.filter("_again").drop("_again"), keys, order))

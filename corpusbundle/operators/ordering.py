@@ -55,7 +55,7 @@ def join_slices(rows: DataFrame, starts: DataFrame, keys: Sequence[str]) -> Data
     same = reduce(
         lambda a, b: a & b, (rows[c].eqNullSafe(renamed[f"_start_{c}"]) for c in on)
     )
-    return rows.join(renamed, same).drop(*(f"_start_{c}" for c in on), SLICE)
+    return rows.join(renamed, same).drop(*(f"_start_{c}" for c in on))
 
 
 def with_positions(
@@ -65,9 +65,12 @@ def with_positions(
     nbytes: str | None = None,
     keep_key_if: str | None = None,
     slices: int | None = None,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Add ``ordinal`` (from 0) and, given a size column, ``byte_offset`` within each key.
 
+    With ``keep_slice`` the slice of each row is kept: slices follow the order of (keys, order).
+
     ``order`` must tell the rows of a key apart; the job fails if two are equal.
     ``keep_key_if`` names a boolean column: keys for which it never holds are left out.
     """
@@ -104,4 +107,4 @@ def with_positions(
     if keep_key_if is not None:
         totals = totals.filter("_keep")
     placed = join_slices(sliced.withColumns(added), totals, keys).withColumns(result)
-    return placed.select(*df.columns, *result)
+    return placed.select(*df.columns, *result, *([SLICE] if keep_slice else []))
