@@ -143,6 +143,19 @@ def glob_match(path: Column, pattern: str) -> Column:
     return path.rlike(_any_of(_each([pattern], glob_regex)))
 
 
+#: Kinds of patterns and what each means for a list of them.
+PATTERN_KINDS = {
+    "glob": lambda patterns: _any_of(_each(patterns, glob_regex)),
+    "ignore": ignore_regex,
+    "generated": generated_regex,
+}
+
+
+def matches_regex(path: Column, regex: Column) -> Column:
+    """Does a path match the regex of its own row? False where there is no regex."""
+    return F.coalesce(F.regexp_like(path, regex), F.lit(False))
+
+
 def is_ignored(path: Column, patterns: Iterable[str]) -> Column:
     return path.rlike(ignore_regex(patterns))
 

@@ -17,6 +17,14 @@ parts AS (
   FROM files
 )"""
 
+_TREE = """
+tree AS (
+  SELECT top || '/' || mid || '/'
+         || CASE WHEN doc_id % 3 = 0 THEN '_' WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || base AS tree_path,
+         mid, ext, coalesce(content, '') AS content, strlen(coalesce(content, ''))::BIGINT AS size
+  FROM parts
+)"""
+
 _IGNORED = """(top = 'src1' OR base LIKE '%9%.txt' OR top = 'src2'
   OR (top = 'src3' AND mid = 'en') OR (top = 'src4' AND mid IN ('en')))"""
 _GENERATED = "(base LIKE '%7.go' OR (mid LIKE '%de' AND base LIKE '1%' AND ext = 'md'))"
@@ -392,4 +400,26 @@ FROM broken WHERE check_no IS NOT NULL""",
     "selector_violations": f"""
 WITH {_LOCATED}
 SELECT 'https://' || host AS base_url, 'p:first-child' AS selector FROM hosts WHERE host LIKE 'm.%'""",
+    "tree_scan": f"""
+        WITH {_FILES}, {_TREE}
+        SELECT tree_path AS rel_path, size FROM tree WHERE mid NOT LIKE '.%'
+    """,
+    "tree_read": f"""
+        WITH {_FILES}, {_TREE}
+        SELECT tree_path AS rel_path, greatest((size - 1) // 997, 0) + 1 AS n_ranges, content AS text
+        FROM tree WHERE mid NOT LIKE '.%'
+    """,
+    "tree_profile": f"""
+        WITH {_FILES}, {_TREE}
+        SELECT ext, count(*) AS n_files, sum(size)::BIGINT AS total_bytes
+        FROM tree WHERE mid NOT LIKE '.%' GROUP BY ext
+    """,
+    "glob_table": f"""
+        WITH {_FILES}
+        SELECT rel_path,
+               source <> 'src3' AND ((top = source AND base LIKE '1%.md') OR base LIKE '%7.go') AS glob_hit,
+               source <> 'src3' AND (top = source || '-x' OR mid = 'fr') AS ignored,
+               source <> 'src3' AND base LIKE '2%.txt' AS generated
+        FROM parts
+    """,
 }

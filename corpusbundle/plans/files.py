@@ -21,7 +21,14 @@ from corpusbundle.functions.names import BUNDLE_SUFFIX
 from corpusbundle.functions.text import file_section, generated_note
 from corpusbundle.operators.bundles import PART_BYTES, assembled, assign_parts, bundle_parts
 from corpusbundle.operators.durable import durable
-from corpusbundle.sources.trees import CHUNK_BYTES, read_content, scan_tree, unreadable
+from corpusbundle.sources.trees import (
+    CHUNK_BYTES,
+    read_content,
+    read_ranges,
+    scan_tree,
+    split_ranges,
+    unreadable,
+)
 
 # Extensions bundled when none are named.
 DEFAULT_TYPES = ("go", "md", "txt")
@@ -100,33 +107,49 @@ def read_sections(
     listing: DataFrame, root: str, chunk_bytes: int = CHUNK_BYTES, whole_lines: bool = False
 ) -> DataFrame:
     """Read the listed files where their rows are and render them, large ones in several rows."""
+    return _rendered(read_content(listing, root, chunk_bytes, whole_lines), "chunk_no")
+
+
+def _rendered(read: DataFrame, number: str) -> DataFrame:
+    """Rows of read files as sections: the first has what stands before a file's text, the last what follows."""
     empty = F.lit("")
     whole = file_section(F.col("rel_path"), F.col("note"), F.col("ext"), F.lit("\0"))
     head, tail = F.substring_index(whole, "\0", 1), F.substring_index(whole, "\0", -1)
     section = F.concat(
-        F.when(F.col("chunk_no") == 0, head).otherwise(empty),
+        F.when(F.col(number) == 0, head).otherwise(empty),
         "content",
         F.when(F.col("is_last"), tail).otherwise(empty),
     )
-    read = read_content(listing, root, chunk_bytes, whole_lines)
     return read.withColumn("section", section).drop("content")
 
 
-def part_listing(
-    spark: SparkSession, root: str, policy: FilePolicy, part_bytes: int = PART_BYTES
-) -> DataFrame:
-    """The listing, each part's files in one partition and in order.
+def _by_part(listing: DataFrame, order: Sequence[str], part_bytes: int) -> DataFrame:
+    """Listing rows, those that start in one part in one partition and in order.
 
-    Listing rows are tiny next to the files they stand for, so partitions follow the
-    bytes behind the rows: partition p holds the files that start in part p.
+    Listing rows are tiny next to the bytes they stand for, so partitions follow the bytes
+    behind the rows.
     """
-    listing = tree_listing(spark, root, policy)
-    placed = durable(assign_parts(listing, [], ["tree_key"], "size", part_bytes=part_bytes))
+    placed = durable(assign_parts(listing, [], order, "size", part_bytes=part_bytes))
     parts = placed.agg(F.max("part_no")).first()[0]
     by_part = placed.repartitionById((parts or 0) + 1, F.col("part_no").cast("int"))
     return by_part.sortWithinPartitions("ordinal")
 
 
+def part_listing(
+    spark: SparkSession, root: str, policy: FilePolicy, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """The listing, the files that start in part p in partition p and in order."""
+    return _by_part(tree_listing(spark, root, policy), ["tree_key"], part_bytes)
+
+
+def part_ranges(
+    spark: SparkSession, root: str, policy: FilePolicy, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """``part_listing`` with a row for each range of a file, so that a large file is read by many tasks."""
+    ranges = split_ranges(tree_listing(spark, root, policy), min(part_bytes, CHUNK_BYTES))
+    return _by_part(ranges, ["tree_key", "range_no"], part_bytes)
+
+
 class TreeBundle(NamedTuple):
     """The parts of a bundle, and the files that are missing from it with the reason."""
 
@@ -139,17 +162,16 @@ def bundle_tree(
 ) -> TreeBundle:
     """Bundle a file tree as rows (part_no, piece_no, n_sections, byte_offset, text), with its errors.
 
-    Only listing rows are shuffled; the task that owns a part reads its files. A part
-    is one piece unless it holds a file much larger than ``part_bytes``. Offsets are those
-    of the listed sizes and only order the parts.
+    Only listing rows are shuffled; the task that owns a part reads the ranges of files that
+    start in it. Offsets are those of the listed sizes and only order the parts.
     """
-    listing = part_listing(spark, root, policy, part_bytes)
-    sections = read_sections(listing, root, min(part_bytes, CHUNK_BYTES))
+    ranges = part_ranges(spark, root, policy, part_bytes)
+    sections = _rendered(read_ranges(ranges, root), "range_no")
     rows = sections.select(
-        "part_no", "byte_offset", F.col("section").alias("text"), (F.col("chunk_no") == 0).alias("is_start")
+        "part_no", "byte_offset", F.col("section").alias("text"), (F.col("range_no") == 0).alias("is_start")
     )
     parts = rows.mapInArrow(
         assembled(part_bytes),
         "part_no long, piece_no long, n_sections long, byte_offset long, text string",
     )
-    return TreeBundle(parts, unreadable(listing, root))
+    return TreeBundle(parts, unreadable(ranges.filter("range_no = 0"), root))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from urllib.parse import unquote, urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,7 @@ from corpusbundle.operators.durable import durable_table, shared_dir
 from corpusbundle.operators.lookups import pages_of_sites, seeds_without_page
 from corpusbundle.operators.ordering import with_positions
 from corpusbundle.operators.pages import page_content
+from corpusbundle.operators.patterns import with_pattern_matches
 from corpusbundle.operators.profiles import ext_profile, run_summary
 from corpusbundle.operators.rules import rule_violations, selector_violations
 from corpusbundle.operators.schedule import throttle_schedule
@@ -69,7 +73,7 @@ from corpusbundle.sinks.text import (
 )
 from corpusbundle.sources.pages import failed, scan_pages
 from corpusbundle.sources.sites import seed_urls, sites_from_urls, sites_table
-from corpusbundle.sources.trees import scan_binary_tree
+from corpusbundle.sources.trees import read_ranges, scan_binary_tree, scan_tree, split_ranges
 
 POLICY = FilePolicy(
     types=["md", "txt", "go"],
@@ -177,6 +181,26 @@ def q_glob_filter(spark, sf):
     )
 
 
+def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns for every source but one, a broken one among them."""
+    source = F.col("source")
+    own = {
+        "glob": [F.concat(source, F.lit("/*/1*.md")), F.lit("**/*7.go")],
+        "ignore": [F.concat(source, F.lit("-x/**")), F.lit("*/fr"), F.lit("[")],
+        "generated": [F.lit("2*.txt"), F.concat(source, F.lit("/en/*.go"))],
+    }
+    rows = [F.struct(F.lit(k).alias("kind"), p.alias("pattern")) for k, ps in own.items() for p in ps]
+    sources = table(spark, sf_dir, "documents").select("source").distinct().filter(source != "src3")
+    return sources.select("source", F.explode(F.array(*rows)).alias("_p")).select("source", "_p.kind", "_p.pattern")
+
+
+def q_glob_table(spark, sf):
+    """Patterns per project from a table."""
+    files = document_files(spark, sf).select("doc_id", "source", "rel_path")
+    found = with_pattern_matches(files, pattern_table(spark, sf), ["source"])
+    return found.select("rel_path", "glob_hit", "ignored", "generated")
+
+
 def q_ignore_filter(spark, sf):
     kept = document_files(spark, sf).filter(~is_ignored(F.col("rel_path"), POLICY.ignore))
     return kept.select("rel_path")
@@ -471,6 +495,48 @@ def q_binary_tree(spark, sf):
     return found.groupBy(folder.alias("folder")).agg(F.sum("size").alias("n_bytes"))
 
 
+def written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The document files as a real tree in the shared folder, some names with a leading underscore."""
+    folder = unquote(urlparse(new_folder(spark)).path)
+    name = F.regexp_extract("rel_path", r"[^/]*\z", 0)
+    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("_"), name)).when(F.col("doc_id") % 11 == 0, F.concat(F.lit("."), name))
+    rel_path = F.concat(F.regexp_extract("rel_path", r"\A(.*/)", 1), F.coalesce(marked, name))
+
+    def write(batches):
+        for batch in batches:
+            for rel, content in zip(batch["rel_path"], batch["content"]):
+                path = os.path.join(folder, rel)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                # A task that is run again puts the same file in place once more.
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "w", encoding="utf-8", newline="") as f:
+                    f.write(content or "")
+                os.replace(part, path)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    os.makedirs(folder, exist_ok=True)
+    files = document_files(spark, sf_dir).select(rel_path.alias("rel_path"), "content")
+    files.mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def q_tree_scan(spark, sf):
+    return scan_tree(spark, written_tree(spark, sf), range_entries=16).select("rel_path", "size")
+
+
+def q_tree_read(spark, sf):
+    """Files read in ranges of 997 bytes by different tasks, and put together again."""
+    root = written_tree(spark, sf)
+    ranges = split_ranges(scan_tree(spark, root), 997)
+    texts = read_ranges(ranges.repartition("rel_path", "range_no"), root)
+    whole = bundle_parts(texts, ["rel_path"], ["range_no"], "content")
+    return whole.select("rel_path", F.col("n_sections").alias("n_ranges"), "text")
+
+
+def q_tree_profile(spark, sf):
+    return ext_profile(scan_tree(spark, written_tree(spark, sf)))
+
+
 def q_single_bundle(spark, sf):
     """The page plan with all pages in one document."""
     pages, sites = table(spark, sf, "pages"), host_sites(spark, sf)

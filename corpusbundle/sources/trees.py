@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import codecs
+import itertools
 import os
-import stat
+import re
+import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusbundle.functions.globs import _any_of, _each, glob_regex
 from corpusbundle.operators.durable import durable
@@ -20,29 +24,128 @@ LISTING_BATCH = 10_000
 # Larger files are read as several rows.
 CHUNK_BYTES = 32 * 1024 * 1024
 
-_WALK_SCHEMA = "rel_path string, size bigint, mtime timestamp, is_dir boolean"
+# Entries of a directory that one task looks at; a larger one is dealt out by a hash of the names.
+RANGE_ENTRIES = 10_000
+# Subtrees that the planner makes for each task, so that a lopsided tree is spread too.
+SUBTREES = 8
 
 
-def _list_dirs(root: str):
-    """List the directories of a batch; one row per entry, links not followed."""
+@dataclass
+class Subtree(InputPartition):
+    """Directories below ``rel_dir`` whose first name has the hash ``share`` of ``shares``; or only itself."""
 
-    def entries(rel_dir: str) -> Iterator[tuple]:
+    rel_dir: str
+    descend: bool
+    share: int = 0
+    shares: int = 1
+
+
+def _hash(name: str) -> int:
+    return zlib.crc32(os.fsencode(name))
+
+
+class DirectoryReader(DataSourceReader):
+    """Walks subtrees; only names are read, nothing is held but the directories still to enter."""
+
+    def __init__(self, options):
+        self.root = options["path"]
+        self.prune_hidden = options["prunehidden"] == "true"
+        self.covered = options["covered"]
+        self.wanted = int(options["wanted"])
+
+    def _entered(self, rel_dir: str):
+        """(number of entries, directories to enter) of one directory, links not followed."""
+        covered = re.compile(self.covered)
+        n, inside = 0, []
+        with os.scandir(os.path.join(self.root, rel_dir)) as found:
+            for entry in found:
+                n += 1
+                if not entry.is_dir(follow_symlinks=False) or (self.prune_hidden and entry.name.startswith(".")):
+                    continue
+                rel = f"{rel_dir}/{entry.name}" if rel_dir else entry.name
+                # A covered directory is one below which any name at all would be ignored.
+                if not covered.match(rel + "/"):
+                    inside.append(rel)
+        return n, inside
+
+    def partitions(self):
+        """Directories near the root one by one, until there are enough subtrees for all tasks.
+
+        The planner never goes through a whole tree: it lists level by level, and a
+        directory that may hold very many others is dealt out by name.
+        """
+        plan, level = [], [""]
+        while level and len(level) < self.wanted:
+            deeper = []
+            for at, rel_dir in enumerate(level):
+                if len(deeper) >= self.wanted:
+                    plan.extend(Subtree(d, True) for d in level[at:])
+                    break
+                few = self._few(rel_dir)
+                if few is None:
+                    plan.extend(Subtree(rel_dir, True, k, self.wanted) for k in range(self.wanted))
+                else:
+                    plan.append(Subtree(rel_dir, False))
+                    deeper.extend(few)
+            level = deeper
+        return plan + [Subtree(d, True) for d in level]
+
+    def _few(self, rel_dir: str) -> list[str] | None:
+        """The directories to enter, or None if there are too many entries to plan with."""
+        with os.scandir(os.path.join(self.root, rel_dir)) as found:
+            if sum(1 for _ in itertools.islice(found, RANGE_ENTRIES + 1)) > RANGE_ENTRIES:
+                return None
+        return self._entered(rel_dir)[1]
+
+    def read(self, partition: Subtree):
+        n, inside = self._entered(partition.rel_dir)
+        if partition.share == 0:
+            yield partition.rel_dir, n
+        if not partition.descend:
+            return
+        left = [d for d in inside if _hash(os.path.basename(d)) % partition.shares == partition.share]
+        while left:
+            rel_dir = left.pop()
+            n, inside = self._entered(rel_dir)
+            left.extend(inside)
+            yield rel_dir, n
+
+
+class DirectorySource(DataSource):
+    """The directories of a tree as rows (rel_dir, n_entries): ``spark.read.format("tree_directories")``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tree_directories"
+
+    def schema(self) -> str:
+        return "rel_dir string, n_entries long"
+
+    def reader(self, schema) -> DirectoryReader:
+        return DirectoryReader(self.options)
+
+
+def _list_entries(root: str):
+    """(rel_path, size, mtime) of the entries that are no directories, for shares of directories."""
+
+    def entries(rel_dir: str, share: int, shares: int) -> Iterator[tuple]:
         with os.scandir(os.path.join(root, rel_dir)) as found:
             for entry in found:
+                if shares > 1 and _hash(entry.name) % shares != share or entry.is_dir(follow_symlinks=False):
+                    continue
                 info = entry.stat(follow_symlinks=False)
-                rel = f"{rel_dir}/{entry.name}" if rel_dir else entry.name
-                yield rel, info.st_size, info.st_mtime_ns // 1000, stat.S_ISDIR(info.st_mode)
+                yield f"{rel_dir}/{entry.name}" if rel_dir else entry.name, info.st_size, info.st_mtime_ns // 1000
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["rel_path", "size", "mtime", "is_dir"])
+        out = pd.DataFrame(rows, columns=["rel_path", "size", "mtime"])
         out["mtime"] = pd.to_datetime(out["mtime"], unit="us", utc=True)
         return out
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for batch in batches:
-            for rel_dir in batch["rel_path"]:
-                for row in entries(rel_dir):
+            for place in zip(batch["rel_dir"], batch["share"], batch["shares"]):
+                for row in entries(*place):
                     rows.append(row)
                     if len(rows) >= LISTING_BATCH:
                         yield frame(rows)
@@ -53,47 +156,49 @@ def _list_dirs(root: str):
     return run
 
 
+def scan_directories(
+    spark: SparkSession, root: str, prune_hidden: bool = True, skip_under: Iterable[str] = (), tasks: int | None = None
+) -> DataFrame:
+    """(rel_dir, n_entries) of ``root`` and of every directory below it that is entered (see ``scan_tree``)."""
+    covered = _any_of(_each([p for p in skip_under if p.endswith("/**")], glob_regex))
+    spark.dataSource.register(DirectorySource)
+    return spark.read.format("tree_directories").options(
+        prunehidden=str(prune_hidden).lower(),
+        covered=covered.replace(r"\z", r"\Z"),
+        wanted=str(SUBTREES * (tasks or spark.sparkContext.defaultParallelism)),
+    ).load(os.path.abspath(root))
+
+
 def scan_tree(
     spark: SparkSession,
     root: str,
     prune_hidden: bool = True,
     skip_under: Iterable[str] = (),
     tasks: int | None = None,
+    range_entries: int = RANGE_ENTRIES,
 ) -> DataFrame:
     """Every file below ``root`` as (rel_path, size, mtime).
 
-    The walk is breadth-first, one Spark job per directory level, with the
-    directories of a level spread over all tasks; so a deep or lopsided tree is
-    never left to one task, and the driver only counts. Levels are checkpointed.
-    Dot and underscore names, which Spark's own file sources drop, are listed;
-    with ``prune_hidden`` directories whose name starts with a dot are not
-    entered (not even the root). ``skip_under`` takes ignore patterns ending in
-    ``/**``, whose directories need not be entered. A directory that cannot be
-    listed fails the scan. ``root`` must be visible to every executor.
+    Directories are found first, by names alone: a data source whose partitions are subtrees,
+    or shares of a directory that holds very many. They are checkpointed, then dealt evenly
+    to all tasks, which ask for size and time; a directory of more than ``range_entries`` names
+    is dealt out by a hash of the names. So neither a lopsided tree nor one flat directory
+    is left to one task. Dot and underscore names, which Spark's own file sources drop,
+    are listed; with ``prune_hidden`` directories whose name starts with a dot are not
+    entered (not even the root). ``skip_under`` takes ignore patterns ending in ``/**``,
+    whose directories need not be entered. A directory that cannot be listed fails the
+    scan. ``root`` must be visible to the driver and to every executor.
     """
     root = os.path.abspath(root)
-    empty = spark.createDataFrame([], LISTING_SCHEMA)
     if prune_hidden and os.path.basename(root).startswith("."):
-        return empty
-    covered = _any_of(_each([p for p in skip_under if p.endswith("/**")], glob_regex))
-    tasks = tasks or spark.sparkContext.defaultParallelism
-
-    # A covered directory is one below which any name at all would be ignored.
-    name = F.regexp_extract("rel_path", r"[^/]*\z", 0)
-    enter = ~F.concat("rel_path", F.lit("/")).rlike(covered)
-    if prune_hidden:
-        enter &= ~name.startswith(".")
-
-    frontier = spark.createDataFrame([("",)], "rel_path string")
-    files = empty
-    while True:
-        level = durable(
-            frontier.repartition(tasks).mapInPandas(_list_dirs(root), _WALK_SCHEMA)
-        )
-        files = files.unionByName(level.filter(~F.col("is_dir")).drop("is_dir"))
-        frontier = level.filter(F.col("is_dir") & enter).select("rel_path")
-        if frontier.isEmpty():
-            return files
+        return spark.createDataFrame([], LISTING_SCHEMA)
+    found = durable(scan_directories(spark, root, prune_hidden, skip_under, tasks))
+    shares = F.greatest(F.ceil(F.col("n_entries") / range_entries), F.lit(1)).cast("long")
+    dealt = found.filter("n_entries > 0").select(
+        "rel_dir", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), shares.alias("shares")
+    )
+    spread = dealt.repartition(tasks or spark.sparkContext.defaultParallelism, "rel_dir", "share")
+    return durable(spread.mapInPandas(_list_entries(root), LISTING_SCHEMA))
 
 
 def scan_binary_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -214,3 +319,100 @@ def unreadable(listing: DataFrame, root: str) -> DataFrame:
             yield pd.DataFrame(found, columns=["rel_path", "read_error"], dtype=object)
 
     return listing.select("rel_path").mapInPandas(run, "rel_path string, read_error string")
+
+
+# Reading by ranges.
+
+#: Bytes of a character before and after which a cut between two ranges may move.
+_REACH = 3
+
+
+def _unit(data: bytes) -> int:
+    """Length of the character, or of the broken piece of one, that begins the data."""
+    lead = data[0]
+    n = 1 if lead < 0xC2 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4 if lead < 0xF5 else 1
+    try:
+        data[:n].decode("utf-8")
+    except UnicodeDecodeError as e:
+        return e.end - e.start
+    return n
+
+
+def _cut(around: bytes, at: int) -> int:
+    """Where the first character begins that is not begun before ``at``; both count in ``around``.
+
+    Only the last byte before the cut that is no continuation can have begun a character there.
+    """
+    for j in range(at - 1, max(at - _REACH, 0) - 1, -1):
+        if around[j] & 0xC0 != 0x80:
+            return max(at, j + _unit(around[j : j + 4]))
+    return at
+
+
+def _read_range(path: str, start: int, end: int) -> str:
+    """The characters that begin in bytes start to end - 1, those a whole reading would give."""
+    with open(path, "rb") as f:
+        before = min(start, _REACH)
+        f.seek(start - before)
+        data = f.read(before + end - start + _REACH)
+    first, last = _cut(data, before), _cut(data, min(before + end - start, len(data)))
+    return data[first:last].decode("utf-8", "replace")
+
+
+def _read_ranges(root: str, columns: list[str]):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[int] = []
+            found: list[tuple] = []
+            held = 0
+
+            def out() -> pd.DataFrame:
+                frame = batch.iloc[rows].reset_index(drop=True)[columns]
+                return pd.concat([frame, pd.DataFrame(found, columns=["content", "read_error"], dtype=object)], axis=1)
+
+            for i, (rel_path, start, end) in enumerate(zip(batch["rel_path"], batch["_start"], batch["_end"])):
+                try:
+                    found.append((_read_range(os.path.join(root, rel_path), start, end), None))
+                except OSError as e:
+                    found.append((None, _reason(e)))
+                rows.append(i)
+                held += end - start
+                if held >= CHUNK_BYTES:
+                    yield out()
+                    rows, found, held = [], [], 0
+            if rows:
+                yield out()
+
+    return run
+
+
+def split_ranges(listing: DataFrame, range_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """A row for each range of a listed file: adds ``range_no`` and ``is_last``, ``size`` becomes the range's.
+
+    An empty file has one empty range.
+    """
+    last = F.expr(f"greatest(size - 1, 0) div {int(range_bytes)}")
+    each = listing.withColumn("_last", last).withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
+    start = F.col("range_no") * range_bytes
+    return each.select(
+        *(c for c in listing.columns if c != "size"),
+        F.least(F.col("size") - start, F.lit(int(range_bytes)).cast("long")).alias("size"),
+        "range_no",
+        start.alias("_start"),
+        (F.col("range_no") == F.col("_last")).alias("is_last"),
+    )
+
+
+def read_ranges(ranges: DataFrame, root: str) -> DataFrame:
+    """Add ``content`` and ``read_error`` to rows of ``split_ranges``, wherever each row is.
+
+    A range owns the characters that begin in it, so a task reads no more than the range and
+    three bytes on each side, and the ranges of a file in order are its text, broken
+    UTF-8 replaced as in one reading. The size that was listed decides the ranges: what is
+    added to a file later is not read. An error of opening or reading is the row's own.
+    """
+    source = ranges.withColumn("_end", F.col("_start") + F.col("size"))
+    kept = [c for c in ranges.columns if c != "_start"]
+    added = [T.StructField("content", T.StringType()), T.StructField("read_error", T.StringType())]
+    schema = T.StructType([*(ranges.schema[c] for c in kept), *added])
+    return source.mapInPandas(_read_ranges(os.path.abspath(root), kept), schema)

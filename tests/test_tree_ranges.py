@@ -1,0 +1,179 @@
+"""Directories as a data source, ranged reads, and patterns that come in a table."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusbundle.functions.globs import generated_regex, glob_regex, ignore_regex
+from corpusbundle.operators.patterns import compiled_patterns, with_pattern_matches
+from corpusbundle.plans.files import FilePolicy, bundle_tree
+from corpusbundle.sources import trees
+from corpusbundle.sources.trees import read_ranges, scan_directories, scan_tree, split_ranges
+
+
+def fill(root, names, content=b"x"):
+    for name in names:
+        path = os.path.join(root, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(content)
+
+
+def walked(root):
+    found = set()
+    for top, dirs, files in os.walk(root):
+        dirs[:] = [d for d in dirs if not d.startswith(".")]
+        found |= {os.path.relpath(os.path.join(top, f), root) for f in files}
+    return found
+
+
+@pytest.fixture(scope="module")
+def lopsided(tmp_path_factory):
+    """One flat directory with most files, one deep chain, and names that Spark's sources drop."""
+    root = str(tmp_path_factory.mktemp("lopsided"))
+    chain = "/".join(f"n{i}" for i in range(30))
+    names = [f"flat/f{i}.txt" for i in range(300)] + [f"{chain}/_end.md", f"{chain}/.end.md"]
+    names += [f"s{i}/t{i % 3}/u.txt" for i in range(40)] + [".hidden/x.md", "s1/.git/y.md", "_top.md", "a b/ü.md"]
+    fill(root, names)
+    return root
+
+
+@pytest.mark.parametrize("tasks, range_entries", [(1, 10_000), (3, 7), (64, 1)])
+def test_every_file_is_listed_once(spark, lopsided, tasks, range_entries):
+    found = [r.rel_path for r in scan_tree(spark, lopsided, tasks=tasks, range_entries=range_entries).collect()]
+    assert len(found) == len(set(found)) and set(found) == walked(lopsided)
+
+
+def test_directories_are_split_and_counted(spark, lopsided):
+    for tasks in (1, 5, 40):
+        found = scan_directories(spark, lopsided, tasks=tasks)
+        rows = [(r.rel_dir, r.n_entries) for r in found.collect()]
+        want = {os.path.relpath(t, lopsided).replace(".", "", t == lopsided) for t, *_ in os.walk(lopsided)}
+        want = {d for d in want if "/." not in f"/{d}"}
+        assert len(rows) == len(set(rows)) and {d for d, _ in rows} == want
+        assert dict(rows)["flat"] == 300
+    assert scan_directories(spark, lopsided, tasks=5).rdd.getNumPartitions() > 5
+
+
+def test_very_many_subdirectories_are_dealt_out_by_name(lopsided, tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "RANGE_ENTRIES", 20)
+    root = str(tmp_path)
+    fill(root, [f"d{i}/e/f.txt" for i in range(60)])
+    options = {"path": root, "prunehidden": "true", "covered": r"[^\s\S]", "wanted": "4"}
+    reader = trees.DirectoryReader(options)
+    plan = reader.partitions()
+    assert len(plan) == 4 and {p.share for p in plan} == {0, 1, 2, 3}
+    shares = [dict(reader.read(p)) for p in plan]
+    assert all(10 < len(s) < 50 for s in shares)
+    merged = {d: n for s in shares for d, n in s.items()}
+    assert sum(map(len, shares)) == len(merged) == 121 and merged[""] == 60
+
+
+#: Characters of one to four bytes, and sequences that are broken in every way.
+PIECES = [
+    b"a", b"\xc3\xa9", b"\xe6\xbc\xa2", b"\xf0\x9f\x99\x82", b"\n", b"\x80", b"\xbf\xbf\xbf\xbf\xbf", b"\xe6\xbc", b"\xf0\x9f\x99",
+    b"\xf0\x9f", b"\xff", b"\xc0\xaf", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xe0\x80\x80", b"\xc3",
+]
+
+
+@pytest.mark.parametrize("range_bytes", [1, 2, 3, 7, 64])
+def test_ranges_make_up_the_whole_reading(tmp_path, range_bytes):
+    r = random.Random(range_bytes)
+    path = str(tmp_path / "f")
+    for _ in range(300):
+        data = b"".join(r.choice(PIECES) for _ in range(r.randint(0, 25)))
+        with open(path, "wb") as f:
+            f.write(data)
+        cuts = range(0, max(len(data), 1), range_bytes)
+        texts = [trees._read_range(path, a, min(a + range_bytes, len(data))) for a in cuts]
+        assert "".join(texts) == data.decode("utf-8", "replace"), data
+
+
+def test_a_range_reads_no_more_than_itself(tmp_path, monkeypatch):
+    path = tmp_path / "f"
+    path.write_bytes("漢".encode() * 5000)
+    asked = []
+
+    class Counting:
+        def __init__(self, name, mode):
+            self.f = open(name, mode)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *error):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            asked.append(n)
+            return self.f.read(n)
+
+    monkeypatch.setattr(trees, "open", Counting, raising=False)
+    assert len(trees._read_range(str(path), 7000, 7007)) in (2, 3)
+    assert asked == [7 + 2 * 3]
+
+
+def test_read_ranges_of_a_tree(spark, tmp_path):
+    root = str(tmp_path)
+    texts = {"a.md": "é漢🙂x" * 50, "b/empty.md": "", "b/one.md": "z"}
+    for name, text in texts.items():
+        fill(root, [name], text.encode())
+    ranges = split_ranges(scan_tree(spark, root), 7)
+    assert max(r.size for r in ranges.collect()) <= 7
+    rows = read_ranges(ranges.repartition(5), root).orderBy("rel_path", "range_no").collect()
+    for name, text in texts.items():
+        own = [r for r in rows if r.rel_path == name]
+        assert "".join(r.content for r in own) == text
+        assert [r.is_last for r in own] == [False] * (len(own) - 1) + [True]
+    missing = ranges.withColumn("rel_path", F.concat("rel_path", F.lit(".gone")))
+    assert {r.content for r in read_ranges(missing, root).collect()} == {None}
+    assert all(r.read_error.startswith("FileNotFoundError") for r in read_ranges(missing, root).collect())
+
+
+def test_a_bundle_reads_one_file_in_many_tasks(spark, tmp_path):
+    root = str(tmp_path)
+    text = "".join(f"line {i} é漢\n" for i in range(400))
+    fill(root, ["big.md"], text.encode())
+    parts = bundle_tree(spark, root, FilePolicy(), part_bytes=500).parts
+    rows = parts.orderBy("part_no", "piece_no").collect()
+    assert len({r.part_no for r in rows}) > 10 and max(len(r.text) for r in rows) < 2000
+    whole = "".join(r.text for r in rows)
+    assert whole.startswith("# File: big.md\n\n```md\nline 0") and text in whole
+    assert sum(r.n_sections for r in rows) == 1
+
+
+# Patterns in a table.
+
+PATTERNS = [
+    ("p", "glob", "**/*.go"), ("p", "glob", "a/*"), ("p", "glob", "[x"), ("p", "ignore", "vendor"), ("p", "generated", "*_gen.go"),
+    ("q", "ignore", "*.md"), ("q", "ignore", ""), ("q", "ignore", None), ("q", "other", "*"), (None, "glob", "*"), ("r", "glob", "["),
+]
+PATHS = ["a/x.md", "a/b/x.go", "vendor/a_gen.go", "x.md", "b_gen.go", "a/b.md/c", "README"]
+
+
+def test_patterns_of_a_table_equal_those_of_the_driver(spark):
+    import re
+
+    files = spark.createDataFrame([(g, p) for g in ("p", "q", "r", "none", None) for p in PATHS], "g string, rel_path string")
+    table = spark.createDataFrame(PATTERNS, "g string, kind string, pattern string")
+    build = {"glob": lambda ps: trees._any_of(trees._each(ps, glob_regex)), "ignore": ignore_regex, "generated": generated_regex}
+    for limit in ({}, {"broadcast_bytes": 0, "salts": 3}):
+        got = with_pattern_matches(files, table, ["g"], **limit).collect()
+        assert len(got) == len(PATHS) * 5
+        for r in got:
+            for kind, column in (("glob", "glob_hit"), ("ignore", "ignored"), ("generated", "generated")):
+                own = [p for g, k, p in PATTERNS if g == r.g and g is not None and k == kind and p]
+                regex = build[kind](own).replace(r"\z", r"\Z")
+                assert r[column] == bool(re.search(regex, r.rel_path)), (r, kind)
+
+
+def test_a_group_of_broken_patterns_matches_nothing(spark):
+    table = spark.createDataFrame([("r", "glob", "["), ("r", "ignore", "a[")], "g string, kind string, pattern string")
+    files = spark.createDataFrame([("r", "["), ("r", "a")], "g string, rel_path string")
+    assert not any(r.glob_hit or r.ignored or r.generated for r in with_pattern_matches(files, table, ["g"]).collect())
+    assert compiled_patterns(table.limit(0), ["g"]).columns == ["g", "glob", "ignore", "generated"]
