@@ -1,10 +1,10 @@
 """Exact deduplication by progressive refinement: length, prefix hash, full hash.
 
-Each level is one scan that does more work on fewer rows. What a level passes on
-to the next is a bitmap of fixed size, so no text is shuffled and every scan can
-tell for itself which rows are still in question. Only rows whose length and
-prefix hash both occur again have their full content hashed; equality rests on
-SHA-256 alone, so slots that collide cost time and never change a result.
+Each level is one scan that does more work on fewer rows. A level counts its keys and
+hands on those that occur again, or a bitmap sized to their number, so no text is
+shuffled and every scan can tell for itself which rows are still in question. Only
+rows whose length and prefix hash both occur again have their full content hashed;
+equality rests on SHA-256 alone, so keys that collide cost time and never change a result.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusbundle.llm.common import durable_table, flagged, slot_bitmap, spread_join, text_of
+from corpusbundle.llm.common import durable_table, spread_join, text_of
+from corpusbundle.operators.keys import with_repeated
 
 PREFIX = 256
 
@@ -34,16 +35,11 @@ def exact_duplicates(
         F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), F.struct(F.lit(0).alias("_none"), *carry).alias("_with")
     )
     size = F.xxhash64(F.octet_length("_text"))
-    lengths = durable_table(slot_bitmap(size, source, least=2))
-
     prefix = F.xxhash64(F.octet_length("_text"), F.substring("_text", 1, PREFIX))
-    of_length = flagged(source.select("_text"), size, lengths, "_again")
-    prefixes = durable_table(slot_bitmap(prefix, of_length.filter("_again"), least=2))
-
-    by_length = flagged(source, size, lengths, "_again")
-    open_key = F.when(F.col("_again"), prefix)
+    by_length = _marked(source, size, "_again", F.lit(True))
+    by_prefix = _marked(by_length, F.when(F.col("_again"), prefix), "_open", F.col("_again"))
     rows = durable_table(
-        flagged(by_length, open_key, prefixes, "_open").select(
+        by_prefix.select(
             "_id",
             F.monotonically_increasing_id().alias("_row"),
             F.when(F.col("_open"), F.sha2("_text", 256)).alias("_full"),
@@ -79,6 +75,12 @@ def exact_duplicates(
     )
 
 
+def _marked(rows: DataFrame, key: Column, name: str, otherwise: Column) -> DataFrame:
+    """Rows with ``name``: may the key occur again? ``otherwise`` if too many do for a filter."""
+    marked = with_repeated(rows, key, name)
+    return rows.withColumn(name, otherwise) if marked is None else marked
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; see ``exact_duplicates``."""
     carried = [F.col(f"`{c}`") for c in docs.columns if c != id_col]
