@@ -11,7 +11,7 @@ from corpusbundle.llm.decontamination import drop_contaminated
 from corpusbundle.llm.exact import drop_exact_duplicates
 from corpusbundle.llm.packing import pack
 from corpusbundle.llm.quality import in_fold, train, with_scores
-from corpusbundle.llm.similar import drop_similar
+from corpusbundle.llm.simhash import drop_near_duplicates
 
 #: Documents with a lower score go.
 QUALITY_THRESHOLD = 0.3
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts at a similarity of 0.8 or more, the document with the smallest id."""
-    return drop_similar(docs)
+    """Of each component of fingerprints that differ in three bits or fewer, the document with the smallest id."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
