@@ -171,8 +171,6 @@ SELECT event_id, user_id, {arrival} AS arrival_us, {admit} AS admit_us,
 _SEEDS = """
 asked AS (SELECT DISTINCT regexp_replace(url, '^http:', 'https:') AS url FROM pages)"""
 
-_HOST_LIST = "'m.ththth.example.net', 'thther.example.org', 'blog.tionsh.example.com', 'ththan.example.com'"
-
 # Grouped documents as files: the same names as in the bundles, and the lines of their pages.
 _GROUPED_LINES = _by_path(f"{_LOCATED}, {_TITLED}", "titled", "title", "file_name").split(
     "SELECT file_name, part_no"
@@ -187,7 +185,7 @@ ORACLES: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, md5(html) AS html_md5 FROM pages",
     "hosted_base_path": f"""
 SELECT DISTINCT url, 'https://' || {_HOST} || '/en' AS base_url FROM pages
-WHERE {_HOST} IN ({_HOST_LIST}) AND regexp_matches({_PATH}, '^/en/[123]')
+WHERE regexp_matches({_PATH}, '^/en/[123]')
   AND NOT starts_with({_PATH}, '/en/33')""",
     "section_sink": f"""
 WITH {_SECTIONS},

@@ -12,7 +12,15 @@ from corpusbundle.functions.text import non_blank, page_section
 from corpusbundle.functions.urls import matched_path, resolve_override, url_path
 from corpusbundle.operators.bundles import PART_BYTES, bundle_parts
 from corpusbundle.operators.durable import durable_table
-from corpusbundle.operators.lookups import lookup_join, pages_of_seeds, sites_of_urls
+from corpusbundle.operators.lookups import (
+    allowed_urls,
+    first_by_prefix,
+    lookup_join,
+    override_rules,
+    pages_of_seeds,
+    path_rules,
+    site_index,
+)
 from corpusbundle.operators.pages import page_content
 from corpusbundle.operators.rules import OUTPUT_TYPES
 from corpusbundle.sources.sites import seed_urls
@@ -61,9 +69,28 @@ def hosted_pages(
     and of those only copies are merged; no other page content moves unless the selected
     URLs are too many to broadcast.
     """
-    allowed = sites_of_urls(pages.select("url").distinct(), sites)
+    index = site_index(sites)
+    allowed = allowed_urls(pages.select("url").distinct(), index)
     found = pages_of_seeds(pages.select("url", *columns, *arrival), allowed, arrival)
-    return found.select("url", *columns, "url_path", "site")
+    # The rules themselves join last, by number, as a table that is read where it is small.
+    return found.join(index.sites, "site_no").select("url", *columns, "url_path", "site")
+
+
+def hosted_rules(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """(url, css, excludes) in force for every URL that a site on its host allows, by look-ups of prefixes.
+
+    Equals ``with_rules`` over ``hosted_pages``, however many overrides a site has.
+    """
+    index = site_index(sites)
+    allowed = durable_table(allowed_urls(pages.select("url").distinct(), index))
+    return first_by_prefix(allowed, override_rules(index)).select("url", "value.css", "value.excludes")
+
+
+def hosted_paths(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """(url, matched_path) of every URL that a site on its host allows: the first of its allowed paths that holds it."""
+    index = site_index(sites)
+    allowed = durable_table(allowed_urls(pages.select("url").distinct(), index))
+    return first_by_prefix(allowed, path_rules(index)).select("url", F.col("value").alias("matched_path"))
 
 
 def with_rules(pages: DataFrame) -> DataFrame:

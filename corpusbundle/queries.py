@@ -58,11 +58,11 @@ from corpusbundle.plans.web import (
     converted_pages,
     grouped_pages,
     hosted_pages,
+    hosted_paths,
+    hosted_rules,
     seed_results,
     seeded_pages,
-    site_path,
     with_file_names,
-    with_rules,
 )
 from corpusbundle.schemas import OVERRIDE
 from corpusbundle.sinks.text import (
@@ -72,7 +72,7 @@ from corpusbundle.sinks.text import (
     write_profile,
 )
 from corpusbundle.sources.pages import failed, scan_pages
-from corpusbundle.sources.sites import seed_urls, sites_from_urls, sites_table
+from corpusbundle.sources.sites import seed_urls, sites_from_urls
 from corpusbundle.sources.trees import read_ranges, scan_binary_tree, scan_tree, split_ranges
 
 POLICY = FilePolicy(
@@ -297,13 +297,12 @@ def q_seeded_pages(spark, sf):
 
 
 def q_resolve_overrides(spark, sf):
-    found = hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"], columns=())
-    return with_rules(found).select("url", "css", joined(F.col("excludes")).alias("excludes"))
+    found = hosted_rules(table(spark, sf, "pages"), host_sites(spark, sf))
+    return found.select("url", "css", joined(F.col("excludes")).alias("excludes"))
 
 
 def q_matched_path(spark, sf):
-    found = hosted_pages(table(spark, sf, "pages"), host_sites(spark, sf), ["page_id"], columns=())
-    return found.select("url", site_path(F.col("url_path")).alias("matched_path"))
+    return hosted_paths(table(spark, sf, "pages"), host_sites(spark, sf))
 
 
 def q_page_filename(spark, sf):
@@ -445,12 +444,16 @@ def q_scan_pages(spark, sf):
 
 
 def q_hosted_base_path(spark, sf):
-    """Rules given as dictionaries, for sites that begin below a path of their host."""
-    hosts = ["m.ththth.example.net", "thther.example.org", "blog.tionsh.example.com", "ththan.example.com"]
-    rules = [
-        {"base_url": f"https://{h}/en", "allowed_paths": ["/1", "/2", "/3"], "exclude_paths": ["/33"]} for h in hosts
-    ]
-    found = hosted_pages(scan_pages(spark, f"{sf}/pages.parquet"), sites_table(spark, rules), ["page_id"], columns=())
+    """A site below a path of every host, with allowed and excluded paths that are taken from there."""
+    pages = scan_pages(spark, f"{sf}/pages.parquet")
+    sites = host_sites(spark, sf).withColumns(
+        {
+            "base_url": F.concat("base_url", F.lit("/en")),
+            "allowed_paths": strings("/1", "/2", "/3"),
+            "exclude_paths": strings("/33"),
+        }
+    )
+    found = hosted_pages(pages, sites, ["page_id"], columns=())
     return found.select("url", F.col("site.base_url").alias("base_url"))
 
 

@@ -1,7 +1,8 @@
-"""Pages that keep arriving: the same row-wise page plan on a stream.
+"""Pages that keep arriving: the page plan of the batch, batch by batch.
 
-Rule look-up and conversion hold no state, so they run unchanged on a streaming
-DataFrame. Bundles are made from the written table by the batch plans.
+Which site has a page is settled as in the batch plan, by look-ups of (host, path prefix) in
+rules that are indexed once. No state is held between batches: a page has one winner among the
+sites whatever arrived before. Bundles are made from the written table by the batch plans.
 """
 
 from __future__ import annotations
@@ -10,19 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusbundle.operators.lookups import pages_of_sites
+from corpusbundle.operators.lookups import SiteIndex, allowed_urls, site_index
 from corpusbundle.plans.web import converted_pages
 
 
-def convert_stream(
-    pages: DataFrame, sites: DataFrame, content: Column | None = None, **options
-) -> DataFrame:
-    """Streaming pages (page_id, url, html) joined to a static rule table, with their content.
+def convert_batch(pages: DataFrame, index: SiteIndex, content: Column | None = None) -> DataFrame:
+    """Pages (page_id, url, html) of one batch that a site allows, one row each, with their content.
 
     Keeps ``page_id`` so that ``keep_last`` can later settle repeated URLs.
     """
-    allowed = pages_of_sites(pages, sites, **options).filter("allowed").drop("allowed", "url_host")
-    return converted_pages(allowed, content)
+    allowed = allowed_urls(pages.select("url").distinct(), index)
+    return converted_pages(pages.join(allowed, "url").join(index.sites, "site_no").drop("site_no"), content)
 
 
 def write_converted(
@@ -33,11 +32,19 @@ def write_converted(
     available_now: bool = False,
     content: Column | None = None,
 ) -> StreamingQuery:
-    """Append converted pages to a parquet table; failed pages keep their error value."""
-    out = convert_stream(pages, sites, content).withColumn("base_url", F.col("site.base_url"))
-    writer = out.writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", checkpoint
-    )
+    """Write converted pages to a parquet table; failed pages keep their error value.
+
+    Each batch has a folder of its own (the column ``batch``), which a batch that is run again
+    after a failure writes anew, so no page is written twice. The rules are read when the
+    stream starts.
+    """
+    index = site_index(sites)
+
+    def write(batch: DataFrame, number: int) -> None:
+        out = convert_batch(batch, index, content).withColumn("base_url", F.col("site.base_url"))
+        out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start(path)
+    return writer.start()
