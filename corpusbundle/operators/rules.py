@@ -58,7 +58,7 @@ def rule_violations(policies: DataFrame, *ids: str) -> DataFrame:
 
 
 def selector_violations(sites: DataFrame) -> DataFrame:
-    """Site and override selectors that the page job cannot evaluate (pseudo-classes, siblings)."""
+    """Site and override selectors with a pseudo-class or a sibling, for tables whose rules are to be plain."""
     none = F.array().cast("array<string>")
     overrides = F.col("path_overrides")
     used = F.flatten(

@@ -500,7 +500,10 @@ def q_binary_tree(spark, sf):
 
 def written_tree(spark: SparkSession, sf_dir: str) -> str:
     """The document files as a real tree in the shared folder, some names with a leading underscore."""
-    folder = unquote(urlparse(new_folder(spark)).path)
+    place = urlparse(new_folder(spark))
+    if place.scheme not in ("", "file"):
+        raise ValueError("a tree of files needs a shared folder that is mounted")
+    folder = unquote(place.path)
     name = F.regexp_extract("rel_path", r"[^/]*\z", 0)
     marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("_"), name)).when(F.col("doc_id") % 11 == 0, F.concat(F.lit("."), name))
     rel_path = F.concat(F.regexp_extract("rel_path", r"\A(.*/)", 1), F.coalesce(marked, name))
@@ -599,7 +602,7 @@ def q_rule_violations(spark, sf):
 
 
 def q_selector_violations(spark, sf):
-    """Host sites with one selector per site that the page job cannot evaluate."""
+    """Host sites, some of them with a selector that is not plain."""
     host = F.regexp_replace("base_url", "^https://", "")
     sites = host_sites(spark, sf).withColumn(
         "css_locator", F.when(host.startswith("m."), F.lit("p:first-child")).otherwise(F.lit("article"))
