@@ -38,7 +38,7 @@ THRESHOLD = 100
 COUNTERS = 1 << 20
 
 #: Hashes that a task gathers before it hands on their summaries.
-GATHERED = 1 << 22
+GATHERED = 1 << 21
 
 #: Survivors that the second pass takes to all tasks (eight bytes each); more are joined instead.
 SURVIVORS = 1 << 22
