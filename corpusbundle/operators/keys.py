@@ -41,25 +41,37 @@ MOST_BITS = 27
 SLOTS_PER_KEY = 16
 
 
-def with_repeated(
-    rows: DataFrame, keys: Column, name: str, exact: int = EXACT_KEYS, most_bits: int = MOST_BITS
+def with_members(
+    rows: DataFrame, keys: Column, members: DataFrame, name: str, exact: int = EXACT_KEYS, most_bits: int = MOST_BITS
 ) -> DataFrame | None:
-    """Add the boolean column ``name``: whether another row may have the same (64-bit) key.
+    """Add the boolean column ``name``: whether the (64-bit) key may be one of ``members``.
 
-    The keys alone are counted first, and what is broadcast is sized to those that occur
-    again: the keys themselves, or a bitmap with sixteen slots for each, in which one
-    unrepeated row in sixteen is taken for a repeated one. How many distinct keys there
-    are does not matter. None if too many keys occur again for that: rows then have to
-    be shuffled by their key. The keys are counted when this is called.
+    ``members`` is a written table with distinct keys in the column ``_key``. What is
+    broadcast is sized to it: the keys themselves, or a bitmap with sixteen slots for each,
+    in which one other row in sixteen is taken for a member. A null key is no member. None
+    if there are too many members for that. The members are counted when this is called.
     """
-    counts = rows.select(keys.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    again = durable_table(counts.filter("_n > 1 and _key is not null").select("_key"))
-    n = again.count()
+    n = members.count()
     if n <= exact:
-        held = F.broadcast(again.select(F.col("_key").alias(f"{name}_key"), F.lit(True).alias(f"{name}_hit")))
+        held = F.broadcast(members.select(F.col("_key").alias(f"{name}_key"), F.lit(True).alias(f"{name}_hit")))
         joined = rows.join(held, keys == F.col(f"{name}_key"), "left")
         return joined.withColumn(name, F.col(f"{name}_hit").isNotNull()).drop(f"{name}_key", f"{name}_hit")
     bits = (SLOTS_PER_KEY * n - 1).bit_length()
     if bits > most_bits:
         return None
-    return flagged(rows, keys, durable_table(slot_bitmap(F.col("_key"), again, bits=bits)), name, bits)
+    return flagged(rows, keys, durable_table(slot_bitmap(F.col("_key"), members, bits=bits)), name, bits)
+
+
+def with_repeated(
+    rows: DataFrame, keys: Column, name: str, exact: int = EXACT_KEYS, most_bits: int = MOST_BITS
+) -> DataFrame | None:
+    """Add the boolean column ``name``: whether another row may have the same (64-bit) key.
+
+    The keys alone are counted first, and what is broadcast is sized to those that occur
+    again (see ``with_members``). How many distinct keys there are does not matter. None if
+    too many keys occur again for that: rows then have to be shuffled by their key. The
+    keys are counted when this is called.
+    """
+    counts = rows.select(keys.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    again = durable_table(counts.filter("_n > 1 and _key is not null").select("_key"))
+    return with_members(rows, keys, again, name, exact, most_bits)

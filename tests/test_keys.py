@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusbundle.operators.dedupe import keep_last, keep_last_wide
-from corpusbundle.operators.keys import with_repeated
+from corpusbundle.operators.keys import with_members, with_repeated
 
 DISTINCT, COPIED = 30_000, 40
 
@@ -45,3 +45,15 @@ def test_nothing_repeated_moves_nothing(spark):
     table = spark.range(1000).withColumnRenamed("id", "k")
     assert with_repeated(table, F.xxhash64("k"), "_again").filter("_again").count() == 0
     assert with_repeated(table.limit(0), F.xxhash64("k"), "_again").count() == 0
+
+
+@pytest.mark.parametrize("bounds, most", [({}, 0), ({"exact": 0}, DISTINCT // 10)])
+def test_members_are_found_among_many_other_keys(spark, bounds, most):
+    members = spark.range(COPIED).select(F.xxhash64(F.concat(F.lit("c"), "id")).alias("_key"))
+    marked = with_members(rows(spark), F.xxhash64("k"), members, "_in", **bounds)
+    count = {(r.copy, r._in): r["count"] for r in marked.groupBy(F.col("k").startswith("c").alias("copy"), "_in").count().collect()}
+    assert count[True, True] == COPIED * 5 and (True, False) not in count
+    assert count.get((False, True), 0) <= most
+    assert with_members(rows(spark), F.xxhash64("k"), members, "_in", exact=0, most_bits=9) is None
+    nulls = spark.createDataFrame([(None,)], "k string").withColumn("h", F.lit(None).cast("long"))
+    assert with_members(nulls, F.col("h"), members, "_in", **bounds).filter("_in").count() == 0
