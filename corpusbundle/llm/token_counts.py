@@ -3,7 +3,8 @@
 The cache is a table (digest, version, n_tokens): SHA-256 of the normalised text,
 and of the tokenizer's file and library version. A run looks its digests up, encodes
 one row of each digest that is missing, and appends what it found. Appending twice,
-as after a failed run, does no harm: readers take one row per digest.
+as after a failed run, does no harm: readers take one row per digest. A text that has
+no copy and is not stored is encoded where it is read; only others are shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from corpusbundle.llm.common import bounded_batches, durable_table, flagged, slot_bitmap, spread_join, text_of
+from corpusbundle.llm.common import bounded_batches, durable_table, spread_join, text_of
 from corpusbundle.llm.vocabulary import Vocabulary, version_of
+from corpusbundle.operators.keys import EXACT_KEYS, MOST_BITS, with_members
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -60,27 +62,38 @@ def count_tokens(
         text.alias("_text"),
     ).withColumn("digest", F.unhex(F.sha2("_text", 256)))
     rows = durable_table(source.select("_id", "_row", "n_bytes", "digest"))
-    groups = durable_table(
-        rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    missing = durable_table(
-        groups.join(read_cache(docs, cache, version), "digest", "left_anti").select("digest")
-    )
-    found = _encoded(docs.select(text.alias("_text")), missing, tokenizer, version)
+    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_rows"))
+    stored = read_cache(docs, cache, version).withColumnRenamed("n_tokens", "_stored")
+    groups = durable_table(groups.join(stored, "digest", "left"))
+    found = _encoded(docs.select(text.alias("_text")), groups, tokenizer, version)
     found.write.mode("append").parquet(cache)
-    counted = durable_table(groups.join(read_cache(docs, cache, version), "digest"))
+    counted = durable_table(groups.drop("_stored").join(read_cache(docs, cache, version), "digest"))
     return spread_join(rows, counted, "digest", "_rows").select(
         F.col("_id").alias(id_col), "n_bytes", "n_tokens"
     )
 
 
-def _encoded(texts: DataFrame, missing: DataFrame, tokenizer: str, version: str) -> DataFrame:
-    """(digest, version, n_tokens) of the missing digests, each encoded once.
+def _keys(digests: DataFrame) -> DataFrame:
+    return durable_table(digests.select(F.xxhash64("digest").alias("_key")).distinct())
+
+
+def _encoded(
+    texts: DataFrame,
+    groups: DataFrame,
+    tokenizer: str,
+    version: str,
+    exact: int = EXACT_KEYS,
+    most_bits: int = MOST_BITS,
+) -> DataFrame:
+    """(digest, version, n_tokens) of the digests that are not stored, each encoded once.
 
-    The partial aggregate keeps one text of each digest in a task, so copies of a text
-    meet as one row per task at most.
+    ``groups`` has (digest, _rows, _stored) of all texts. Texts outside a filter of all
+    repeated or stored digests are encoded in place. Of the others those that are missing
+    meet by digest; the partial aggregate keeps one text of each digest in a task, so
+    copies meet as one row per task at most. A filter too large for its bounds passes all.
     """
     vocabulary = Vocabulary(tokenizer)
+    key = F.xxhash64("digest")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
@@ -88,12 +101,21 @@ def _encoded(texts: DataFrame, missing: DataFrame, tokenizer: str, version: str)
             n = encoder.counts(batch.column(1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], ["digest", "n_tokens"])
 
-    # Most stored texts are left out before anything is shuffled; the join below is exact.
-    wanted = durable_table(slot_bitmap(F.xxhash64("digest"), missing))
     digested = texts.withColumn("digest", F.unhex(F.sha2("_text", 256)))
-    near = flagged(digested, F.xxhash64("digest"), wanted, "_wanted").filter("_wanted")
-    one = near.groupBy("digest").agg(F.first("_text").alias("_text"))
-    needed = one.join(missing, "digest", "left_semi")
+    apart = _keys(groups.filter("_rows > 1 or _stored is not null"))
+    marked = with_members(digested, key, apart, "_apart", exact, most_bits)
+    if marked is None:
+        marked = digested.withColumn("_apart", F.lit(True))
+    # What has to move: texts with copies, and single ones that the filter takes for such.
+    missing = groups.filter("_stored is null")
+    lone = with_members(missing, key, apart, "_apart", exact, most_bits)
+    missing = missing if lone is None else lone.filter("_apart")
+    missing = durable_table(missing.select("digest"))
+    moved = marked.filter("_apart")
+    wanted = with_members(moved, key, _keys(missing), "_wanted", exact, most_bits)
+    moved = moved if wanted is None else wanted.filter("_wanted")
+    one = moved.groupBy("digest").agg(F.first("_text").alias("_text")).join(missing, "digest", "left_semi")
+    needed = marked.filter("not _apart").select("digest", "_text").unionByName(one.select("digest", "_text"))
     counted = needed.select("digest", F.col("_text").cast("binary")).mapInArrow(
         count, "digest binary, n_tokens long"
     )

@@ -1,5 +1,6 @@
 """Token counts and packing against the tokenizer library."""
 
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -9,10 +10,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusbundle.llm.packing import best_filling, pack, plan_windows
-from corpusbundle.llm.token_counts import count_tokens, read_cache
+from corpusbundle.llm.token_counts import _encoded, count_tokens, read_cache
 from corpusbundle.llm.vocabulary import Vocabulary, version_of
 from tests.llm.frames import ODD, documents
 
@@ -86,6 +88,21 @@ def test_counts_and_cache(spark, tmp_path, path):
     assert read_cache(docs, cache, "another version").count() == 0
 
 
+@pytest.mark.parametrize("bounds", [{}, {"exact": 0}, {"exact": 0, "most_bits": 2}])
+def test_each_missing_text_is_encoded_once(spark, bounds):
+    """Repeated, stored and single texts, by keys, by a bitmap, and without a filter."""
+    texts = [f"text number {k}" for k in range(300)] + ["copy a", "copy b"] * 40 + [f"stored {k}" for k in range(60)] * 2
+    docs = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(5)
+    rows = docs.groupBy("_text").count().select(
+        F.unhex(F.sha2("_text", 256)).alias("digest"), F.col("count").alias("_rows"),
+        F.when(F.col("_text").startswith("stored"), F.lit(3)).alias("_stored"),
+    )
+    groups = spark.createDataFrame(rows.collect(), rows.schema)
+    got = _encoded(docs, groups, WORDS, "v", **bounds).collect()
+    want = {hashlib.sha256(t.encode()).digest(): len(library_ids(WORDS, t)) for t in texts if "stored" not in t}
+    assert sorted((bytes(r.digest), r.n_tokens) for r in got) == sorted(want.items())
+
+
 def test_counts_of_no_rows(spark, tmp_path):
     assert count_tokens(documents(spark, []), WORDS, f"file://{tmp_path}/cache").count() == 0
 
