@@ -10,7 +10,8 @@ windows are sorted and compared.
    singly by their own hash; there are few such minimisers, whatever the corpus.
 2. The other windows are packed. Copies of one packed string are settled by a grouped
    minimum over its digest: all documents but the first lose those windows. Of each
-   string a task sends one copy to its bucket.
+   string a run of texts sends one copy to its bucket; of the strings sent most often,
+   which are few, only the first document's copies are sent.
 3. A bucket sorts its windows by their words and takes the first document of each.
 4. What each document loses is gathered by document and cut from its words.
 """
@@ -25,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbundle.llm.common import bounded_batches, durable_table, flagged, slot_bitmap, slots, spread_join, text_of
+from corpusbundle.llm.common import bounded_batches, durable_table, slot_bitmap, slots, spread_join, text_of
 from corpusbundle.llm.spans import Texts, Words, hashes, mixed, ragged, runs, words
+from corpusbundle.operators.keys import with_members
 
 #: Words of a minimiser.
 GRAM = 5
@@ -34,6 +36,9 @@ GRAM = 5
 #: log2 of the bitmap's slots.
 BITS = 26
 
+#: Strings of which only the first document's copies are sent: fewer than this, the most frequent.
+SETTLED = 1 << 16
+
 #: A bucket task sorts so many bytes of packed strings at once, or one bucket if that is larger.
 SORT_BYTES = 4 << 20
 
@@ -103,9 +108,10 @@ def _bitmap(spark: SparkSession, keys: DataFrame) -> np.ndarray:
 
 
 def _packed(source: DataFrame, width: int, bitmap, singles: np.ndarray) -> DataFrame:
-    """(doc, start, n, digest, bucket, packed): the super-k-mers whose minimisers recur.
+    """(doc, start, n, digest, bucket, sent, packed): the super-k-mers whose minimisers recur.
 
-    ``packed`` is null for strings that the same run has already sent for a smaller document.
+    ``packed`` is null, and ``sent`` false, for strings that the same run has already sent for
+    a smaller document.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,20 +141,21 @@ def _packed(source: DataFrame, width: int, bitmap, singles: np.ndarray) -> DataF
                 strings = [raw[a : b - 1] for a, b in zip(edges, edges[1:])]
                 digest = [xxhash.xxh3_128_digest(s) for s in strings]
                 own = doc[texts.first + w.text[begin]]
-                sent: dict[bytes, int] = {}
+                least: dict[bytes, int] = {}
+                sent = np.ones(len(strings), dtype=bool)
                 for i in np.argsort(own, kind="stable").tolist():
-                    if sent.setdefault(digest[i], i) != i and own[sent[digest[i]]] != own[i]:
-                        strings[i] = None
+                    if least.setdefault(digest[i], i) != i and own[least[digest[i]]] != own[i]:
+                        strings[i], sent[i] = None, False
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own), pa.array(first - w.spans.at[w.text[begin]]), pa.array(count),
-                        pa.array(digest, pa.binary()), pa.array(bucket), pa.array(strings, pa.binary()),
+                        pa.array(digest, pa.binary()), pa.array(bucket), pa.array(sent), pa.array(strings, pa.binary()),
                     ],
-                    ["doc", "start", "n", "digest", "bucket", "packed"],
+                    ["doc", "start", "n", "digest", "bucket", "sent", "packed"],
                 )
 
     return source.select("_doc", "_text").mapInArrow(
-        task, "doc long, start long, n long, digest binary, bucket long, packed binary"
+        task, "doc long, start long, n long, digest binary, bucket long, sent boolean, packed binary"
     )
 
 
@@ -207,8 +214,14 @@ def _sorted_windows(doc: np.ndarray, start: np.ndarray, packed: pa.Array, width:
         yield d[np.argsort(order)][lost], place
 
 
-def _buckets(packed: DataFrame, width: int) -> DataFrame:
-    """(doc, start, n): stretches of windows that occur in a smaller document of their bucket."""
+def _buckets(packed: DataFrame, strings: DataFrame, width: int) -> DataFrame:
+    """(doc, start, n): stretches of windows that occur in a smaller document of their bucket.
+
+    A string's later documents have lost all its windows already, and its first document
+    stands for them in the bucket, so they may stay away. Those of the strings in
+    ``strings`` that make up more than their share of all that is sent do; fewer than
+    ``SETTLED`` strings can, so they may be broadcast.
+    """
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         doc, start = rows["doc"].to_numpy(), rows["start"].to_numpy()
@@ -243,10 +256,20 @@ def _buckets(packed: DataFrame, width: int) -> DataFrame:
         if size:
             yield from settle(pa.Table.from_batches(held))
 
-    sent = packed.filter("packed is not null").select("bucket", "doc", "start", "packed")
+    total = packed.filter("sent").count()
+    frequent = strings.filter(F.col("_sent") * F.lit(SETTLED) > F.lit(total)).select("digest", "first")
+    sent = packed.filter("sent").select("bucket", "doc", "start", "digest", "packed")
+    if frequent.limit(1).count():
+        sent = sent.join(F.broadcast(frequent), "digest", "left").filter("first is null or doc = first")
+    sent = sent.select("bucket", "doc", "start", "packed")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, "doc long, start long, n long")
 
 
+def _keys(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct 64-bit keys of a column, written, as ``with_members`` takes them."""
+    return durable_table(rows.select(F.xxhash64(column).alias("_key")).distinct())
+
+
 def repeated_windows(source: DataFrame, width: int) -> DataFrame:
     """(doc, start, n): n windows from word ``start`` on that also start in a smaller document.
 
@@ -262,18 +285,23 @@ def repeated_windows(source: DataFrame, width: int) -> DataFrame:
 
     packed = durable_table(_packed(source, width, bitmap, singles))
     strings = durable_table(
-        packed.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("_n"))
+        packed.groupBy("digest")
+        .agg(
+            F.min("doc").alias("first"), F.max("doc").alias("last"),
+            F.count(F.lit(1)).alias("_n"), F.count_if("sent").alias("_sent"),
+        )
         .filter("first < last")
     )
     # Strings that occur once are left out before anything is shuffled; the join is exact.
-    met = durable_table(slot_bitmap(F.xxhash64("digest"), strings))
-    near = flagged(packed.select("digest", "doc", "start", "n"), F.xxhash64("digest"), met, "_met")
+    near = packed.select("digest", "doc", "start", "n")
+    met = with_members(near, F.xxhash64("digest"), _keys(strings, "digest"), "_met")
+    near = near if met is None else met.filter("_met").drop("_met")
     copies = (
-        spread_join(near.filter("_met").drop("_met"), strings, "digest", "_n")
+        spread_join(near, strings, "digest", "_n")
         .filter("doc > first")
         .select("doc", "start", "n")
     )
-    return copies.unionByName(_buckets(packed, width))
+    return copies.unionByName(_buckets(packed, strings, width))
 
 
 def drop_repeated_windows(
@@ -285,7 +313,8 @@ def drop_repeated_windows(
     removed that lies in a window whose words also start in a document with a smaller id;
     windows are judged on the input. A null or blank text has no words. Rows that share an
     id are one document: copies within it are kept. A null id counts as smaller than all
-    others. Other columns are not read; an empty table gives no rows.
+    others. Ids are whole numbers, or strings of them. Other columns are not read; an empty
+    table gives no rows.
     """
     if width < GRAM:
         raise ValueError(f"windows have {GRAM} words or more")
@@ -342,8 +371,9 @@ def drop_repeated_windows(
     schema = f"_id {kind}, n_words long, n_removed long, kept_text string"
 
     # Only documents that may lose words are shuffled; the rest are read where they are.
-    some = durable_table(slot_bitmap(F.xxhash64("_doc"), lost))
-    marked = flagged(source, F.xxhash64("_doc"), some, "_some")
+    marked = with_members(source, F.xxhash64("_doc"), _keys(lost, "_doc"), "_some")
+    if marked is None:
+        marked = source.withColumn("_some", F.lit(True))
     near = marked.filter("_some").join(lost, "_doc", "left").select("_id", "_text", F.coalesce("_lost", none).alias("_lost"))
     far = marked.filter("not _some").select("_id", "_text", none.alias("_lost"))
     parts = near.mapInArrow(cut, schema).unionByName(far.mapInArrow(cut, schema))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from corpusbundle.llm import substring
 from corpusbundle.llm.exact import drop_exact_duplicates, exact_duplicates
 from corpusbundle.llm.substring import drop_repeated_windows
 from tests.llm.frames import ODD, documents, passage, words
@@ -75,12 +76,15 @@ def order(rows):
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("width", [5, 13])
-def test_repeated_windows(spark, width):
+@pytest.mark.parametrize("width, settled", [(5, 1 << 16), (13, 1 << 16), (13, 0), (13, 40)])
+def test_repeated_windows(spark, monkeypatch, width, settled):
+    """Also where no string, or the most frequent only, is kept from its bucket."""
+    monkeypatch.setattr(substring, "SETTLED", settled)
     shared = passage(9, 25)
     rows = ODD + [(20 + i, f"{passage(50 + i, 6)} {shared} {passage(80 + i, 15)}") for i in range(40)]
     rows += [(90, f"{passage(5, 14)} {passage(5, 14)}"), (91, "the " * 30), (92, "the " * 12), (93, "the " * 13)]
-    got = [tuple(r) for r in drop_repeated_windows(documents(spark, rows), width=width).collect()]
+    docs = documents(spark, rows).repartition(7)  # most runs hold one text with the shared passage
+    got = [tuple(r) for r in drop_repeated_windows(docs, width=width).collect()]
     assert order(got) == order(brute_windows(rows, width))
 
 
