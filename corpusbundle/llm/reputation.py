@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from corpusbundle.llm.common import durable_table, spread_join
 
-#: Suffixes of two labels; a registered domain has one label more than its suffix.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
+#: Under a country's two letters these labels make a suffix of two labels; a registered
+#: domain has one label more than its suffix.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc")
 
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
@@ -42,18 +43,41 @@ def _rest(url: str | Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-def suffix_of(host: str) -> Column:
-    last = F.substring_index(host, ".", -1)
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(last)
+def name_of(host: str) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.col(host), r"\A.*@|:[0-9]*\z", "")
 
 
-def domain_of(host: str) -> Column:
-    """The registered domain; an address of digits and dots, or in brackets, is its own."""
-    plain = F.when(
-        F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)
-    ).otherwise(F.substring_index(host, ".", -2))
-    return F.when(F.col(host).rlike(r"\A([0-9.]+|\[.*)(:[0-9]+)?\z"), F.col(host)).otherwise(plain)
+def _is_address(name: Column) -> Column:
+    """Digits and dots, or brackets: an address has no labels that names share."""
+    return name.rlike(r"\A([0-9.]+|\[.*\])\z")
+
+
+def _suffix_labels(name: Column, suffixes: Sequence[str]) -> Column:
+    """How many labels the suffix has: those of the longest given one, else two or one by rule."""
+    ruled = F.substring_index(name, ".", -2).rlike(rf"\A({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}\z")
+    found = F.when(ruled, 2).otherwise(1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        given = [s for s in suffixes if s.count(".") + 1 == n]
+        found = F.when(F.substring_index(name, ".", -n).isin(*given), n).otherwise(found)
+    return found
+
+
+def _last_labels(name: Column, n: Column) -> Column:
+    labels = F.split(name, r"\.")
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+
+def suffix_of(host: str, suffixes: Sequence[str] = ()) -> Column:
+    """The public suffix of a name, null for an address."""
+    name = name_of(host)
+    return F.when(~_is_address(name), _last_labels(name, _suffix_labels(name, suffixes)))
+
+
+def domain_of(host: str, suffixes: Sequence[str] = ()) -> Column:
+    """The registered domain, one label more than the suffix; an address is its own."""
+    name = name_of(host)
+    return F.when(_is_address(name), name).otherwise(_last_labels(name, _suffix_labels(name, suffixes) + 1))
 
 
 def rule_of(host: str, path: str, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -93,9 +117,15 @@ def _strength(units: DataFrame) -> float:
     return min(max(row.scale / row.excess - 1.0, WEAKEST), STRONGEST)
 
 
-def reputations(outcomes: DataFrame, url_col: str = "url", good_col: str = "good") -> DataFrame:
+def reputations(
+    outcomes: DataFrame, url_col: str = "url", good_col: str = "good", suffixes: Sequence[str] = ()
+) -> DataFrame:
     """One row per level and name: level, name, n, good, and the beta posterior (alpha, beta).
 
+    ``suffixes`` are public suffixes beside those that the rule of ``SECOND_LEVEL`` finds.
+    User and port do not count for domain and suffix; an address has no suffix and shrinks
+    towards all pages.
+
     ``outcomes`` holds labelled pages; rows with a null url or outcome tell nothing and
     are left out. The level ``all`` has one row with an empty name, also if there are no
     outcomes: alpha = beta = 1 then.
@@ -106,7 +136,7 @@ def reputations(outcomes: DataFrame, url_col: str = "url", good_col: str = "good
         .filter("host != '' and good is not null")
         .groupBy("host")
         .agg(F.sum(F.col("good").cast("double")).alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
-        .withColumns({"domain": domain_of("host"), "suffix": suffix_of("host")})
+        .withColumns({"domain": domain_of("host", suffixes), "suffix": suffix_of("host", suffixes)})
     )
     spark = outcomes.sparkSession
     total = seen.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
@@ -121,12 +151,12 @@ def reputations(outcomes: DataFrame, url_col: str = "url", good_col: str = "good
 
     def level(name: str, parents: DataFrame | None, parent_key: str | None) -> DataFrame:
         keys = [name] if parent_key is None else [name, parent_key]
-        units = seen.groupBy(*dict.fromkeys(keys)).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+        units = seen.filter(F.col(name).isNotNull()).groupBy(*dict.fromkeys(keys)).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
         if parents is None:
             units = units.withColumn("parent", F.lit(mean))
         else:
             above = parents.select(F.col("name").alias(parent_key), (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("parent"))
-            units = units.join(above, parent_key)
+            units = units.join(above, parent_key, "left").withColumn("parent", F.coalesce("parent", F.lit(mean)))
         units = durable_table(units)
         strength = F.lit(_strength(units))
         return durable_table(units.select(
@@ -158,12 +188,14 @@ def judge_urls(
     url_col: str = "url",
     least: float = 0.5,
     z: float = 1.645,
+    suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, reputation (posterior lower bound).
 
     A page under a rule gets the rule's verdict. Any other is allowed if the lower
     posterior bound of its host reaches ``least``; a host without labels takes its
-    domain's posterior, then its suffix's, then that of all pages. A null url, or one
+    domain's posterior, then its suffix's, then that of all pages (see ``reputations`` for
+    ``suffixes``, ports and addresses). A null url, or one
     without ``://``, has an empty host and path, no rule, and the bound of all pages.
     Repeated rows are judged alike, each with its own row. Columns of ``pages`` other
     than the id and the url are not read.
@@ -171,12 +203,12 @@ def judge_urls(
     judged = pages.select(
         F.col(id_col).alias("_id"), host_of(url_col).alias("host"), path_of(url_col).alias("path")
     )
-    names = reputations(outcomes)
+    names = reputations(outcomes, suffixes=suffixes)
     everything = names.filter("level = 'all'").first()
 
     # Hosts are far fewer than pages, and the partial count leaves one row per task for a hot one.
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
-    hosts = hosts.withColumns({"domain": domain_of("host"), "suffix": suffix_of("host")})
+    hosts = hosts.withColumns({"domain": domain_of("host", suffixes), "suffix": suffix_of("host", suffixes)})
     for level in ("suffix", "domain", "host"):
         known = names.filter(F.col("level") == level).select(
             F.col("name").alias(level), F.struct("alpha", "beta").alias(f"_{level}")
