@@ -182,18 +182,22 @@ def _best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return int(alike[end]), begin, end
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[ItemBlock]:
-    """The test items in blocks that a task can hold; one block unless they are many."""
-    items = durable_table(
-        benchmark.select(F.col(id_col).alias("_item"), text_of(text_col).alias("_text"))
-    )
-    size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_item, _key, _text): the test items, with a digest of their text."""
+    text = text_of(text_col)
+    return durable_table(benchmark.select(F.col(id_col).alias("_item"), F.sha2(text, 256).alias("_key"), text.alias("_text")))
+
+
+def _blocks(items: DataFrame) -> Iterator[ItemBlock]:
+    """The distinct texts of the test items, by digest, in blocks that a task can hold; one block unless they are many."""
+    texts = durable_table(items.groupBy("_key").agg(F.first("_text").alias("_text")))
+    size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = int(size // BLOCK_BYTES) + 1
-    place = F.pmod(F.xxhash64("_item", "_text"), F.lit(n))
+    place = F.pmod(F.xxhash64("_key"), F.lit(n))
     for k in range(n):
-        rows = items.filter(place == k).collect()
+        rows = texts.filter(place == k).sort("_key").collect()
         if rows:
-            yield ItemBlock.of([r._item for r in rows], [r._text for r in rows])
+            yield ItemBlock.of([r._key for r in rows], [r._text for r in rows])
 
 
 def _measure(block: ItemBlock, column: pa.Array) -> Iterator[tuple[int, list]]:
@@ -217,14 +221,16 @@ def contaminated(
     of the item's words where it is shorter; an item of fewer than five words, a document of
     just the same words. Items without words match nothing.
     Null texts are empty and match nothing; a null id stays null. Repeated documents have
-    their rows each, and so have repeated items. Other columns are not read; an empty table
+    their rows each, and so have repeated items, which are looked for once. Ids may be of
+    any type. Other columns are not read; an empty table
     on either side gives no rows.
     """
     bounded_batches(docs)
     source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("_text"))
-    kinds = source.schema["_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    items = _items(benchmark, item_col, item_text_col)
     names = ["n_alike", "n_words", "doc_start", "item_start"]
-    schema = f"_id {kinds[0]}, _item {kinds[1]}, " + ", ".join(f"{n} long" for n in names)
+    kind = source.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, _key string, " + ", ".join(f"{n} long" for n in names)
 
     def task(block: ItemBlock):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,18 +241,19 @@ def contaminated(
                 ids = batch.column(0).take(pa.array(picked[0], pa.int64()))
                 if not rows:
                     continue
-                items = pa.array([block.ids[i] for i in picked[1]])
-                yield pa.RecordBatch.from_arrays([ids, items, *numbers], ["_id", "_item", *names])
+                keys = pa.array([block.ids[i] for i in picked[1]], pa.string())
+                yield pa.RecordBatch.from_arrays([ids, keys, *numbers], ["_id", "_key", *names])
 
         return run
 
     result = None
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for block in _blocks(items):
         part = source.mapInArrow(task(block), schema)
         result = part if result is None else result.unionByName(part)
     if result is None:
         result = docs.sparkSession.createDataFrame([], schema)
-    return result.withColumnsRenamed({"_id": id_col, "_item": item_col})
+    found = result.join(items.select("_item", "_key"), "_key")
+    return found.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), *names)
 
 
 def drop_contaminated(
@@ -270,6 +277,6 @@ def drop_contaminated(
 
         return run
 
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for block in _blocks(_items(benchmark, item_col, item_text_col)):
         kept = kept.mapInArrow(task(block), kept.schema)
     return kept

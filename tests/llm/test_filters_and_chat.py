@@ -4,12 +4,13 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpusbundle.llm.decontamination as decontamination
 from corpusbundle.llm.chat import rotate_perspectives
 from corpusbundle.llm.decontamination import contaminated, drop_contaminated
 from corpusbundle.llm.queries import QUERIES, URL_RULES
-from corpusbundle.llm.reputation import judge_urls, reputations
+from corpusbundle.llm.reputation import domain_of, judge_urls, reputations, suffix_of
 from tests.llm.frames import ODD, documents, passage, words
 
 SF = "/root/testdata/sf0.001"
@@ -69,6 +70,93 @@ def test_reputations_shrink_towards_their_parents(spark):
     assert {r.page_id: r.verdict for r in judged} == {1: "allow", 2: "allow", 3: "block", 4: "block"}
 
 
+def test_suffixes_ports_and_addresses(spark):
+    hosts = {
+        "a.b.example.com": ("com", "example.com"),
+        "shop.example.co.kr": ("co.kr", "example.co.kr"),
+        "example.gov.uk:8080": ("gov.uk", "example.gov.uk"),
+        "me@www.example.cn:80": ("cn", "example.cn"),
+        "x.y.host.example": ("host.example", "y.host.example"),
+        "co.uk": ("co.uk", "co.uk"),
+        "single": ("single", "single"),
+        "192.168.9.5:80": (None, "192.168.9.5"),
+        "10.0.0.5": (None, "10.0.0.5"),
+        "[::1]:80": (None, "[::1]"),
+        "": ("", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = rows.select("host", suffix_of("host", ["host.example"]).alias("s"), domain_of("host", ["host.example"]).alias("d"))
+    assert {r.host: (r.s, r.d) for r in got.collect()} == hosts
+    # One address tells nothing of another.
+    outcomes = spark.createDataFrame([("http://10.0.0.5/", True)] * 50 + [("http://a.net/", False)] * 50, "url string, good boolean")
+    pages = spark.createDataFrame([(1, "http://192.168.9.5/"), (2, "http://10.0.0.5/x"), (3, "http://none.example/")], "page_id long, url string")
+    bound = {r.page_id: r.reputation for r in judge_urls(pages, outcomes).collect()}
+    assert bound[1] == bound[3] < 0.5 < bound[2]
+
+
+def brute_reputations(outcomes, up):
+    """Posteriors by the method of moments; ``up`` gives (domain, suffix or None) of a host."""
+    total = sum(good for _, good in outcomes)
+    mean = (total + 1) / (len(outcomes) + 2)
+    found = {("all", ""): (total + 1, len(outcomes) - total + 1)}
+    for level in ("suffix", "domain", "host"):
+        units = {}
+        for host, good in outcomes:
+            domain, suffix = up(host)
+            name, above = {"suffix": (suffix, None), "domain": (domain, ("suffix", suffix)), "host": (host, ("domain", domain))}[level]
+            if name is not None:
+                n, g, _ = units.get(name, (0, 0, None))
+                alpha, beta = found.get(above, (mean, 1 - mean))
+                units[name] = n + 1, g + good, alpha / (alpha + beta)
+        excess = sum((g - n * m) ** 2 - n * m * (1 - m) for n, g, m in units.values() if n > 1)
+        scale = sum(n * (n - 1) * m * (1 - m) for n, _, m in units.values() if n > 1)
+        strength = 1000.0 if scale <= 0 or excess <= 0 else min(max(scale / excess - 1, 1.0), 1000.0)
+        for name, (n, g, m) in units.items():
+            found[level, name] = g + strength * m, n - g + strength * (1 - m)
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_posteriors_and_verdicts_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rate, outcomes = {}, []
+    for _ in range(1500):
+        if rng.random() < 0.1:
+            host, top = f"10.0.0.{rng.randrange(4)}", "ip"
+        else:
+            top = rng.choice(["com", "net", "co.uk"])
+            host = f"h{rng.randrange(3)}.d{int(rng.expovariate(0.2))}.{top}"
+        own = rate.setdefault(host, rng.betavariate(2, 1) if top == "com" else rng.betavariate(1, 2))
+        outcomes.append((host, rng.random() < own))
+
+    def up(host):
+        labels = host.split(".")
+        if labels[0].isdigit():
+            return host, None
+        n = 2 if host.endswith(".co.uk") else 1
+        return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
+
+    want = brute_reputations(outcomes, up)
+    table = spark.createDataFrame([(f"http://{h}/p", g) for h, g in outcomes], "url string, good boolean")
+    got = {(r.level, r.name): (r.alpha, r.beta) for r in reputations(table).collect()}
+    assert got.keys() == want.keys()
+    for key, value in want.items():
+        assert got[key] == pytest.approx(value, rel=1e-9), key
+
+    unknown = ["h9.d0.com", "new.other.net", "x.unknown.example", "10.9.9.9", "new.d1.co.uk"]
+    hosts = sorted({h for h, _ in outcomes}) + unknown
+    pages = spark.createDataFrame([(k, f"http://{h}/q") for k, h in enumerate(hosts)], "page_id long, url string")
+    judged = {r.page_id: r for r in judge_urls(pages, table).collect()}
+    for k, host in enumerate(hosts):
+        domain, suffix = up(host)
+        names = [("host", host), ("domain", domain), ("suffix", suffix), ("all", "")]
+        alpha, beta = next(want[n] for n in names if n in want)
+        n = alpha + beta
+        bound = alpha / n - 1.645 * (alpha * beta / (n * n * (n + 1))) ** 0.5
+        assert judged[k].reputation == pytest.approx(bound, rel=1e-9)
+        assert judged[k].verdict == ("allow" if bound >= 0.5 else "block")
+
+
 def test_every_page_is_judged_and_strong_hosts_stand_out(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = QUERIES["op6_url_filter"](spark, SF)
@@ -128,6 +216,22 @@ def test_many_test_items_go_in_blocks(spark, monkeypatch):
     assert drop_contaminated(docs, items(spark, tests)).count() == 6
 
 
+@pytest.mark.parametrize("kind", ["int", "short", "string", "double"])
+def test_item_ids_of_any_type_and_repeated_items(spark, monkeypatch, kind):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 10_000)
+    tests = items(spark, [(1, passage(1, 20)), (2, passage(2, 20)), (2, passage(2, 20)), (None, passage(3, 20))])
+    tests = tests.withColumn("item_id", F.col("item_id").cast(kind))
+    many = spark.range(10_000).select(F.lit(7).cast(kind).alias("item_id"), F.lit(passage(7, 20)).alias("text"), F.lit("x").alias("doc_id"))
+    docs = documents(spark, [(k, f"{passage(50 + k, 5)} {passage(k, 20)}") for k in range(6)])
+    got = contaminated(docs, tests.unionByName(many))
+    assert got.schema["item_id"].dataType == tests.schema["item_id"].dataType
+    ids = sorted((r.doc_id, r.item_id is None) for r in got.collect())
+    assert ids == [(1, False), (2, False), (2, False), (3, True)]
+    # Equal items are one block's text, however many rows they have.
+    blocks = list(decontamination._blocks(decontamination._items(tests.unionByName(many), "item_id", "text")))
+    assert sorted(len(b.ids) for b in blocks) == [4]
+
+
 def test_no_documents_or_no_items(spark):
     assert contaminated(documents(spark, ODD), items(spark, [])).count() == 0
     assert contaminated(documents(spark, []), items(spark, [(1, passage(1, 20))])).count() == 0
