@@ -187,7 +187,8 @@ def train(
     """Fit on at most ``sample`` labelled documents.
 
     Rows with a null id or label are not labelled. An id labelled more than once has the
-    larger label; a document that occurs more than once counts once.
+    larger label; a document that occurs more than once counts once, and if its texts differ,
+    the one whose list of features comes first counts.
     """
     bounded_batches(docs)
     chosen = (
@@ -212,7 +213,8 @@ def train(
     found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("_text"))
     labelled = found.join(F.broadcast(chosen), "_id").select("_order", "_y", "_text")
     rows = labelled.mapInArrow(extract, "_order long, _y int, _slots array<int>")
-    got = rows.dropDuplicates(["_order"]).toArrow().sort_by("_order")
+    one = rows.groupBy("_order").agg(F.max("_y").alias("_y"), F.min("_slots").alias("_slots"))
+    got = one.toArrow().sort_by("_order")
     slots = [np.asarray(s.values) for s in got["_slots"]]
     return fit(slots, got["_y"].to_numpy())
 

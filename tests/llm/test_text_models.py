@@ -1,6 +1,7 @@
 """Language-model scores and the quality classifier."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from corpusbundle.llm.language_model import score_texts
 from corpusbundle.llm.mixing import TOTAL, Mixer, count_bits, learn, log10_probabilities
-from corpusbundle.llm.quality import features, fit, in_fold, train, with_scores
+from corpusbundle.llm.quality import _descend, features, fit, in_fold, train, with_scores
 from corpusbundle.llm.queries import QUERIES
 from corpusbundle.llm.spans import runs
-from tests.llm.frames import ODD, documents, lower, words
+from tests.llm.frames import ODD, documents, lower, passage, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,6 +115,102 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
         assert slots[at[k] : at[k + 1]].tolist() == own.tolist()
 
 
+def plain_features(text):
+    """The n-grams as they are written, by kind."""
+    data = text.encode()
+    word = re.findall(rb"[0-9A-Za-z\x80-\xff]+", lower(text).encode())
+    again = [k > 0 and word[k] == word[k - 1] for k in range(len(word))]
+    kinds = [(rb"[0-9]", b"0"), (rb"[A-Z]", b"A"), (rb"[a-z\x80-\xff]", b"a")]
+    shape = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
+        for pattern, sign in kinds:
+            w = re.sub(pattern, sign, w)
+        shape.append(re.sub(rb"(.)\1+", rb"\1", w, flags=re.S))
+    found = set()
+    for kind, items, widths in (("again", again, [4]), ("word", word, [1, 2]), ("shape", shape, [1, 2, 3])):
+        for n in widths:
+            found |= {(kind, n, *items[k : k + n]) for k in range(len(items) - n + 1)}
+    return found
+
+
+def test_features_are_the_distinct_grams():
+    texts = ["One two!! 3", "", "a a a a a a b", "Ab12 cd-34, AB99 ef--7 x", "so so so so good", "One two 33 \n three"]
+    texts += [passage(4, 60), passage(4, 30) + " One two"]
+    (run,) = runs(pa.array([t.encode() for t in texts], pa.binary()))
+    slots, at = features(run)
+    hashed = [set(slots[a:b].tolist()) for a, b in zip(at, at[1:])]
+    plain = [plain_features(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i + 1):
+            assert len(hashed[i] & hashed[j]) == len(plain[i] & plain[j]), (i, j)
+
+
+def test_descent_reaches_the_least_hinge_loss():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
+    values = [rng.normal(size=len(r)) for r in rows]
+    y = np.where(rng.random(60) < 0.4, 1, -1)
+    cost = rng.uniform(0.2, 1.5, 60)
+    x = np.zeros((60, 13))
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r] = v
+    x[:, 12] = 1
+
+    def loss(w):
+        return 0.5 * w @ w + cost @ np.maximum(1 - y * (x @ w), 0)
+
+    full, bias = _descend(rows, values, y, cost, 5000)
+    got = np.append(full[:12], bias)
+    assert not full[12:].any()
+    # Plain subgradient steps over all rows, and steps around the result, find nothing lower
+    # beyond what the descent's last steps (under 1e-4 each) leave.
+    w, best = np.zeros(13), np.inf
+    for k in range(1, 20_001):
+        inside = (y * (x @ w) < 1) * cost * y
+        w = w - (w - x.T @ inside) / k
+        best = min(best, loss(w))
+    assert loss(got) <= best * 1.0001 and best <= loss(got) * 1.01
+    assert all(loss(got + rng.normal(size=13) * s) >= loss(got) * 0.9999 for s in (1e-1, 1e-2, 1e-3) for _ in range(50))
+
+
+def test_fit_and_scores_by_brute_force():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["good", "fine", "plain", "bad", "odd", "worse"], 8, p=p)) for p in
+             ([0.3, 0.3, 0.2, 0.1, 0.05, 0.05], [0.05, 0.05, 0.2, 0.1, 0.3, 0.3]) * 40]
+    labels = np.array([1, 0] * 40)
+    (run,) = runs(pa.array([t.encode() for t in texts], pa.binary()))
+    slots, at = features(run)
+    rows = [slots[a:b] for a, b in zip(at, at[1:])]
+    model = fit(rows, labels)
+    use = [i for i in range(80) if i % 5]
+    n = {c: sum(labels[i] == c for i in use) for c in (0, 1)}
+    met = {c: Counter(f for i in use if labels[i] == c for f in rows[i].tolist()) for c in (0, 1)}
+    ratio = {
+        f: math.log((met[1][f] + 1) / (n[1] + 2)) - math.log((met[0][f] + 1) / (n[0] + 2)) for f in set(slots.tolist())
+    }
+    values = [np.array([ratio[f] for f in rows[i].tolist()]) / math.sqrt(len(rows[i])) for i in use]
+    y = np.where(labels[use] > 0, 1, -1)
+    cost = np.array([0.5 * len(use) / n[int(labels[i])] for i in use])
+    w, bias = _descend([rows[i] for i in use], values, y, cost, 20)
+    margin = [sum(w[f] * ratio[f] for f in r.tolist()) / math.sqrt(len(r)) + bias for r in rows]
+    scores = model.scores(pa.array([t.encode() for t in texts], pa.binary()))
+    plain = [1 / (1 + math.exp(-(model.slope * m + model.offset))) for m in margin]
+    np.testing.assert_allclose(scores, plain, rtol=1e-3)
+    # The scale comes from the rows left out of the fit: their scores sum to about their labels.
+    held = [i for i in range(80) if i % 5 == 0]
+    assert sum(plain[i] for i in held) == pytest.approx(labels[held].sum(), abs=1)
+    assert model.slope > 0 and ((scores > 0.5) == labels).mean() > 0.9
+
+
+def test_a_document_with_two_texts_gives_one_model(spark):
+    rows = [(k, ("good " if k % 2 else "bad ") * 5 + f"x{k}") for k in range(40)]
+    twice = rows + [(k, t.upper() + " other text") for k, t in rows]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    first = train(documents(spark, twice), labels)
+    again = train(documents(spark, twice[::-1]).repartition(5), labels)
+    assert (first.weight == again.weight).all() and (first.bias, first.slope) == (again.bias, again.slope)
+
+
 def test_fit_separates_classes_and_is_steady():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 50, 12) + (60 if k % 3 else 0)) for k in range(300)]
