@@ -46,8 +46,10 @@ def rotate_perspectives(
     ``mask`` lists the stretches (start, length), in characters of ``text``, on which loss
     is taken: what the assistant says, with the end mark. A dialogue's parts, in order,
     make up the whole rendering; a part holds about ``part_bytes`` of text, and at least
-    one turn. Turns are ordered by ``turn``, then speaker, text and place; so ties and
-    repeated rows keep a fixed order, and each is rendered. A null turn comes first, a null
+    one turn. Turns are ordered by ``turn``, then speaker, a hash of the text, and place; so
+    ties and repeated rows keep a fixed order, and each is rendered. Texts and names are
+    written as they are: a mark such as ``<|end|>`` inside one is not escaped, so clean them
+    first where users may forge turns; ``mask`` holds in any case. A null turn comes first, a null
     or empty speaker is ``unknown``, a null text is empty, and null dialogue ids form one
     dialogue. A dialogue of system turns alone has no perspective. Other columns are not
     read.

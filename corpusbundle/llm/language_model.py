@@ -163,7 +163,9 @@ def score_texts(
     counts a closing byte for each token). ``base_score`` is the add-one unigram score. A
     null or blank text has the end token alone. Without training rows all counts are zero.
     Repeated rows count and are scored each; a null id stays null. Other columns are not
-    read; an empty table gives no rows.
+    read; an empty table gives no rows. The mixer is the mean of those of the tasks, so
+    ``score`` depends a little on how the training rows are partitioned; the other columns
+    do not.
     """
     bounded_batches(docs)
     spark = docs.sparkSession
