@@ -1,10 +1,12 @@
 """Language-model scores of texts by online logistic context mixing.
 
 What is learned comes from the counts of all training tokens: a vocabulary table, from
-it the tables of the bit predictors, then the mixer. Every distinct token is scored once.
-To score texts, tokens that are frequent are looked up in a table of bounded size that
-goes to every task; all others travel as narrow rows and meet the vocabulary in a join.
-None of them is frequent, so no key of that join is hot. Texts are never shuffled.
+it the tables of the bit predictors, then the mixer; and a table of neighbouring tokens
+(``successors``). A text's score is a sum over its tokens and over its pairs of neighbours
+that are in that table, so every distinct token and pair is scored once. To score texts,
+tokens and pairs that are frequent are looked up in tables of bounded size that go to
+every task; all others travel as narrow rows and meet the vocabulary and the pairs in
+joins. None of them is frequent, so no key of those joins is hot. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,12 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusbundle.llm.common import bounded_batches, durable_table, text_of
+from corpusbundle.llm.common import bounded_batches, durable_table, slot_bitmap, text_of
 from corpusbundle.llm.mixing import GATES, INPUTS, POINTS, TOTAL, Mixer, count_bits, learn, log10_probabilities
-from corpusbundle.llm.spans import distinct, lowered, runs, sums, words
+from corpusbundle.llm.spans import Texts, Words, distinct, lowered, mixed, runs, sums, words
+from corpusbundle.llm.successors import as_contexts, by_counts, neighbours, pair_counts, pair_gains, token_hashes
 
-#: Tokens of the table that every task holds.
+#: Tokens and pairs of the tables that every task holds.
 HEAD = 200_000
+HEAD_PAIRS = 1_000_000
+
+#: Slots of the largest filter of other pairs (32 MiB of bits), and slots for each pair in it.
+MOST_BITS = 28
+SLOTS_PER_PAIR = 8
 
 #: Tokens a task counts before it hands them on.
 HELD = 200_000
@@ -33,13 +41,16 @@ BLOCK = 1 << 16
 END = b""
 
 
-def _tokens(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words, number of each word of the run, where each text's words begin)."""
-    texts = lowered(texts)
-    spans = words(texts)
+def _spans(run: Texts) -> tuple[Texts, Words]:
+    texts = lowered(run)
+    return texts, words(texts)
+
+
+def _tokens(texts: Texts, spans: Words) -> tuple[list[bytes], np.ndarray]:
+    """(distinct words, number of each word of the run)."""
     codes, first = distinct(texts.data, spans)
     raw = texts.data.tobytes()
-    return [raw[a:b] for a, b in zip(spans.start[first].tolist(), spans.end[first].tolist())], codes, spans.at
+    return [raw[a:b] for a, b in zip(spans.start[first].tolist(), spans.end[first].tolist())], codes
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -55,7 +66,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for run in runs(batch.column(0)):
-                found, codes, _ = _tokens(run)
+                found, codes = _tokens(*_spans(run))
                 for word, n in zip(found, np.bincount(codes, minlength=len(found)).tolist()):
                     held[word] = held.get(word, 0) + n
                 held[END] = held.get(END, 0) + len(run)
@@ -126,27 +137,49 @@ def _mixer(spark: SparkSession, counted: DataFrame, tables) -> Mixer:
 
 
 def _scored(tokens: DataFrame, mixer: Mixer, tables) -> DataFrame:
-    """(word, c, log10 probability) of each row (word, c)."""
+    """(word, c, log10 probability of its spelling, hash) of each row (word, c)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = log10_probabilities(mixer, tables.value, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["word", "c", "p"])
+            found = batch.column(0).to_pylist()
+            p = log10_probabilities(mixer, tables.value, found)
+            end = np.cumsum([len(w) for w in found], dtype=np.int64)
+            start = np.concatenate([[0], end])[:-1]
+            names = token_hashes(np.frombuffer(b"".join(found), np.uint8), start, end).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(p), pa.array(names)]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "c", "p", "hash"])
 
-    return tokens.select("word", "c").mapInArrow(score, "word binary, c long, p double")
+    return tokens.select("word", "c").mapInArrow(score, "word binary, c long, p double, hash long")
 
 
-def _head(scored: DataFrame) -> tuple[float, DataFrame]:
-    """The count from which a token belongs to the head, and the head: HEAD tokens or fewer."""
-    level = F.floor(F.log2("c") * 8).alias("level")
-    rows = scored.groupBy(level).agg(F.count(F.lit(1)).alias("n")).collect()
+def _in_head(counted: DataFrame, most: int) -> Column:
+    """Whether a row's count ``c`` is among the highest: by levels of counts, ``most`` rows or fewer."""
+    level = F.floor(F.log2("c") * 8)
+    rows = counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
     held, least = 0, None
     for row in sorted(rows, key=lambda r: -r.level):
-        if held + row.n > HEAD:
+        if held + row.n > most:
             break
         held, least = held + row.n, row.level
-    inside = F.lit(False) if least is None else F.floor(F.log2("c") * 8) >= least
-    return least, scored.filter((F.col("word") == F.lit(END)) | inside)
+    return F.lit(False) if least is None else level >= least
+
+
+def _pair_filter(rest: DataFrame) -> np.ndarray | None:
+    """Bits of the slots that the pairs fall into, sized to their number; none if there are too many."""
+    bits = max(6, (SLOTS_PER_PAIR * rest.count() - 1).bit_length())
+    if bits > MOST_BITS:
+        return None
+    found = slot_bitmap(F.col("spread"), rest, bits=bits).toArrow()
+    bitmap = np.zeros(1 << bits - 6, np.uint64)
+    bitmap[found["_word"].to_numpy()] = found["_mask"].to_numpy().view(np.uint64)
+    return bitmap
+
+
+def _may_hold(bitmap: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    if bitmap is None:
+        return np.ones(len(keys), bool)
+    slot = mixed(keys) & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def score_texts(
@@ -160,7 +193,8 @@ def score_texts(
     Rows for which ``training`` holds are learned from; all rows are scored. Texts are
     lower-cased (A-Z) and read as words and one end token. ``score`` is the model's log10
     probability of the text, and -score / log10(2) / n_bytes its bits per byte (n_bytes
-    counts a closing byte for each token). ``base_score`` is the add-one unigram score. A
+    counts a closing byte for each token). A token's probability depends on the token before
+    it, the first one's on the end of a text. ``base_score`` is the add-one unigram score. A
     null or blank text has the end token alone. Without training rows all counts are zero.
     Repeated rows count and are scored each; a null id stays null. Other columns are not
     read; an empty table gives no rows. The mixer is the mean of those of the tasks, so
@@ -181,38 +215,60 @@ def score_texts(
 
     tables = spark.sparkContext.broadcast(_predictors(counted))
     mixer = _mixer(spark, counted, tables)
-    scored = durable_table(_scored(counted, mixer, tables))
-    least, head = _head(scored)
-    top = head.toArrow()
+    scored, spelled = by_counts(durable_table(_scored(counted, mixer, tables)), n)
+    left, gains = pair_gains(scored, pair_counts(source.filter("_training").select("_text"), _spans, n))
+    scored = durable_table(as_contexts(scored, left))
+    top = scored.filter((F.col("word") == F.lit(END)) | _in_head(scored, HEAD)).toArrow()
     held = spark.sparkContext.broadcast(
         (top["word"].to_pylist(), np.log10(top["c"].to_numpy() + 1.0), top["p"].to_numpy())
     )
-    end_p = float(log10_probabilities(mixer, tables.value, [END])[0])
+    often = _in_head(gains, HEAD_PAIRS)
+    pairs, rest_pairs = gains.filter(often).select("key", "gain").toArrow(), gains.filter(~often)
+    order = np.argsort(pairs["key"].to_numpy().view(np.uint64))
+    held_pairs = spark.sparkContext.broadcast(
+        (pairs["key"].to_numpy().view(np.uint64)[order], pairs["gain"].to_numpy()[order], _pair_filter(rest_pairs))
+    )
+    end_p = spelled + float(log10_probabilities(mixer, tables.value, [END])[0])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, base, p = held.value
+        pair_keys, pair_gain, bitmap = held_pairs.value
+        pair_gain = np.append(pair_gain, 0.0)
         number = {w: i for i, w in enumerate(known)}
         end = number.get(END)
+        last_p = end_p if end is None else p[end]
         base, p, one = np.append(base, 0.0), np.append(p, 0.0), np.append(np.ones(len(known), np.int64), 0)
         for batch in batches:
             parts = []
             for run in runs(batch.column(3)):
-                found, codes, at = _tokens(run)
+                texts, spans = _spans(run)
+                found, codes = _tokens(texts, spans)
+                at = spans.at
                 place = np.fromiter((number.get(w, -1) for w in found), np.int64, len(found))[codes]
                 rare = np.flatnonzero(place < 0)
                 found_base = sums(base[place], at) + (base[end] if end is not None else 0.0)
-                found_p = sums(p[place], at) + end_p
+                found_p = sums(p[place], at) + last_p
                 n_found = sums(one[place], at) + (end is not None)
                 names = pa.array(found, pa.binary()).take(pa.array(codes[rare]))
                 tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, at).astype(np.int32)), names)
                 size = np.fromiter((len(w) + 1 for w in found), np.int64, len(found))[codes]
                 n_bytes = sums(size, at) + 1
-                parts.append([np.diff(at) + 1, n_bytes, found_base, found_p, n_found, tail])
+                keys, key_at = neighbours(texts, spans)
+                one_each, which = np.unique(keys, return_inverse=True)
+                spot = np.searchsorted(pair_keys, one_each)
+                inside = spot < len(pair_keys)
+                inside[inside] = pair_keys[spot[inside]] == one_each[inside]
+                found_p += sums(pair_gain[np.where(inside, spot, len(pair_keys))][which], key_at)
+                other = np.flatnonzero((~inside & _may_hold(bitmap, one_each))[which])
+                others = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(other, key_at).astype(np.int32)), pa.array(keys[other].view(np.int64))
+                )
+                parts.append([np.diff(at) + 1, n_bytes, found_base, found_p, n_found, tail, others])
             columns = [pa.array(np.concatenate([x[i] for x in parts])) for i in range(5)]
-            tails = pa.concat_arrays([x[5] for x in parts])
+            lists = [pa.concat_arrays([x[i] for x in parts]) for i in (5, 6)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), *columns, tails],
-                ["_id", "_training", "_row", "n_tokens", "n_bytes", "_base", "_p", "_known", "_tail"],
+                [*(batch.column(i) for i in range(3)), *columns, *lists],
+                ["_id", "_training", "_row", "n_tokens", "n_bytes", "_base", "_p", "_known", "_tail", "_pairs"],
             )
 
     kind = source.schema["_id"].dataType.simpleString()
@@ -220,7 +276,7 @@ def score_texts(
         source.mapInArrow(
             look_up,
             f"_id {kind}, _training boolean, _row long, n_tokens long, n_bytes long,"
-            " _base double, _p double, _known long, _tail array<binary>",
+            " _base double, _p double, _known long, _tail array<binary>, _pairs array<bigint>",
         )
     )
 
@@ -230,7 +286,8 @@ def score_texts(
     # Only texts that were not learned from can hold unknown words.
     strange = tails(rows.filter("not _training")).select("word").join(scored, "word", "left_anti")
     strange = strange.distinct().withColumn("c", F.lit(0).cast("long"))
-    lexicon = scored.unionByName(_scored(strange, mixer, tables))
+    strange = _scored(strange, mixer, tables).withColumn("p", F.col("p") + F.lit(spelled))
+    lexicon = scored.unionByName(as_contexts(strange, left))
     rest = (
         tails(rows)
         .join(lexicon, "word")
@@ -241,8 +298,10 @@ def score_texts(
             F.count_if(F.col("c") > 0).alias("_known_rest"),
         )
     )
+    met = rows.select("_row", F.explode("_pairs").alias("key")).join(rest_pairs, "key")
+    more = met.groupBy("_row").agg(F.sum("gain").alias("_gain"))
     zero = F.lit(0)
-    return rows.drop("_tail").join(rest, "_row", "left").select(
+    return rows.drop("_tail", "_pairs").join(rest, "_row", "left").join(more, "_row", "left").select(
         F.col("_id").alias(id_col),
         F.col("_training").alias("training"),
         "n_tokens",
@@ -253,5 +312,7 @@ def score_texts(
             F.col("_base") + F.coalesce("_base_rest", zero.cast("double"))
             - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
         ).alias("base_score"),
-        (F.col("_p") + F.coalesce("_p_rest", zero.cast("double"))).alias("score"),
+        (
+            F.col("_p") + F.coalesce("_p_rest", zero.cast("double")) + F.coalesce("_gain", zero.cast("double"))
+        ).alias("score"),
     )

@@ -76,6 +76,107 @@ def test_base_scores_of_a_whole_table(spark):
     assert bits < -sum(n / total * math.log2(n / total) for n in letters.values())
 
 
+def brute_pairs(texts):
+    """(pairs of neighbouring tokens, each token as a context), the end of a text before the next one's first."""
+    pairs = Counter()
+    for text in texts:
+        own = [b"", *(t.encode() for t in tokens(text))]
+        pairs.update(zip(own, own[1:]))
+    return pairs
+
+
+def pair_key(pair):
+    from corpusbundle.llm.successors import token_hashes
+
+    a, b = (int(token_hashes(np.frombuffer(t or b"x", np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in pair)
+    return np.array([a << 32 | b], np.uint64).view(np.int64)[0]
+
+
+@pytest.mark.parametrize("held, row, block", [(1 << 22, 1 << 10, 1 << 21), (50, 3, 40)])
+def test_counted_pairs(spark, monkeypatch, held, row, block):
+    """Also where tasks hand on few pairs at once and there are many blocks."""
+    import corpusbundle.llm.successors as successors
+    from corpusbundle.llm.language_model import _spans
+
+    for name, value in (("HELD", held), ("ROW", row), ("BLOCK", block)):
+        monkeypatch.setattr(successors, name, value)
+    texts = [t or "" for _, t in ODD] + [passage(k % 5, 40) for k in range(20)] + ["so so so so so so", "", ""]
+    frame = spark.createDataFrame([(t.encode(),) for t in texts], "_text binary").repartition(3)
+    n = sum(len(tokens(t)) for t in texts)
+    got = successors.pair_counts(frame, _spans, n).collect()
+    expected = {pair_key(p): c for p, c in brute_pairs(texts).items() if c >= successors.LEAST}
+    assert {r.key: r.c for r in got} == expected and len(got) == len(expected) > 30
+    assert len({r.spread for r in got}) == len(got)
+
+
+def test_gains_make_a_distribution(spark):
+    """Against a plain version; what pairs add and what contexts leave sum to one over the known words."""
+    from corpusbundle.llm.language_model import _spans
+    from corpusbundle.llm.successors import pair_counts, pair_gains, token_hashes
+
+    texts = [passage(k % 7, 30) for k in range(40)]
+    pairs, count = brute_pairs(texts), Counter(t.encode() for x in texts for t in tokens(x))
+    n = sum(count.values())
+    p = {w: c / n for w, c in count.items()}
+    name = {w: int(token_hashes(np.frombuffer(w or b"x", np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in count}
+    rows = [(w, c, math.log10(p[w]), name[w]) for w, c in count.items()]
+    scored = spark.createDataFrame(rows, "word binary, c long, p double, hash long")
+    frame = spark.createDataFrame([(t.encode(),) for t in texts], "_text binary")
+    left, gains = pair_gains(scored, pair_counts(frame, _spans, n))
+    left = {r.hash: r.left for r in left.collect()}
+    gain = {r.key: r.gain for r in gains.collect()}
+    kept = {q: c for q, c in pairs.items() if c >= 4}
+    assert set(gain) == {pair_key(q) for q in kept} and set(left) == {name[a] for a, _ in kept}
+    for a, b in kept:
+        share = 1 - 10 ** left[name[a]]
+        mix = share * kept[a, b] / count[a] + (1 - share) * p[b]
+        assert math.log10(p[b]) + left[name[a]] + gain[pair_key((a, b))] == pytest.approx(math.log10(mix), rel=1e-9)
+    for a in {a for a, _ in kept}:
+        whole = sum(p[b] * 10 ** (left[name[a]] + gain.get(pair_key((a, b)), 0.0)) for b in count)
+        assert 0.2 < whole <= 1 + 1e-9
+
+
+def test_shares_follow_the_cases():
+    from corpusbundle.llm.successors import CELLS, fit_shares
+
+    rng = np.random.default_rng(3)
+    gate, cell = rng.integers(0, 3, 4000), rng.integers(0, CELLS, 4000)
+    true = 1 / (1 + np.exp(-((cell - CELLS // 2) / 4.0 + gate - 1)))
+    taken = rng.random(4000) < true
+    gain = np.where(taken, 8.0, -np.inf)
+    share = fit_shares(gate, cell, gain, np.full(4000, 100.0)).share
+    seen = np.unique(gate * CELLS + cell)
+    expected = np.array([taken[gate * CELLS + cell == k].mean() for k in seen])
+    assert np.abs(share.ravel()[seen] - expected).max() < 0.05
+    # A cell without cases gets what its gate says.
+    none = fit_shares(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0)).share
+    assert ((none > 0) & (none < 1)).all()
+
+
+@pytest.mark.parametrize("head, most_bits", [(1_000_000, 28), (2, 28), (2, 3)])
+def test_order_of_words_counts(spark, monkeypatch, head, most_bits):
+    """Held-out texts score higher than their words in another order; also without a head and a filter of pairs."""
+    import corpusbundle.llm.language_model as model
+
+    monkeypatch.setattr(model, "HEAD_PAIRS", head)
+    monkeypatch.setattr(model, "MOST_BITS", most_bits)
+    rng = np.random.default_rng(8)
+    line = [passage(k, 12).split() for k in range(6)]
+    texts = [" ".join(w for k in rng.integers(0, 6, 8) for w in line[k]) for _ in range(60)]
+    held = texts[:5]
+    mixed = [" ".join(rng.permutation(t.split())) for t in held]
+    rows = [(i, t) for i, t in enumerate(texts[5:] + held + mixed)]
+    got = {r.doc_id: r for r in model.score_texts(documents(spark, rows), F.col("doc_id") < 55).collect()}
+    for k in range(5):
+        own, other = got[55 + k], got[60 + k]
+        assert own.score > other.score + 30 and own.base_score == pytest.approx(other.base_score)
+    if head > 2:
+        test_order_of_words_counts.scores = {i: r.score for i, r in got.items()}
+    else:
+        for i, r in got.items():
+            assert r.score == pytest.approx(test_order_of_words_counts.scores[i], rel=1e-6)
+
+
 def test_token_probabilities_sum_to_one():
     """Over all tokens of one byte, and all longer ones by the bytes they begin with."""
     known = [b"ab", b"abc", b"b", b"", b"ca"] * 3
