@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -224,16 +225,15 @@ def score_texts(
     )
     often = _in_head(gains, HEAD_PAIRS)
     pairs, rest_pairs = gains.filter(often).select("key", "gain").toArrow(), gains.filter(~often)
-    order = np.argsort(pairs["key"].to_numpy().view(np.uint64))
     held_pairs = spark.sparkContext.broadcast(
-        (pairs["key"].to_numpy().view(np.uint64)[order], pairs["gain"].to_numpy()[order], _pair_filter(rest_pairs))
+        (pairs["key"].to_numpy().view(np.uint64), pairs["gain"].to_numpy(), _pair_filter(rest_pairs))
     )
     end_p = spelled + float(log10_probabilities(mixer, tables.value, [END])[0])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, base, p = held.value
         pair_keys, pair_gain, bitmap = held_pairs.value
-        pair_gain = np.append(pair_gain, 0.0)
+        pair_index, pair_gain = pd.Index(pair_keys), np.append(pair_gain, 0.0)
         number = {w: i for i, w in enumerate(known)}
         end = number.get(END)
         last_p = end_p if end is None else p[end]
@@ -254,12 +254,10 @@ def score_texts(
                 size = np.fromiter((len(w) + 1 for w in found), np.int64, len(found))[codes]
                 n_bytes = sums(size, at) + 1
                 keys, key_at = neighbours(texts, spans)
-                one_each, which = np.unique(keys, return_inverse=True)
-                spot = np.searchsorted(pair_keys, one_each)
-                inside = spot < len(pair_keys)
-                inside[inside] = pair_keys[spot[inside]] == one_each[inside]
-                found_p += sums(pair_gain[np.where(inside, spot, len(pair_keys))][which], key_at)
-                other = np.flatnonzero((~inside & _may_hold(bitmap, one_each))[which])
+                spot = pair_index.get_indexer(keys)
+                found_p += sums(pair_gain[spot], key_at)
+                apart = np.flatnonzero(spot < 0)
+                other = apart[_may_hold(bitmap, keys[apart])]
                 others = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(other, key_at).astype(np.int32)), pa.array(keys[other].view(np.int64))
                 )

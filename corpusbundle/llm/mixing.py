@@ -117,32 +117,39 @@ def _inputs(table: np.ndarray, slots: list[np.ndarray], leave: np.ndarray | None
     With ``leave`` one occurrence of the token itself is taken out of the counts, so that
     weights are learned on what the other occurrences predict.
     """
-    out = np.empty((len(bit), INPUTS))
+    out = np.empty((len(bit), INPUTS), np.float32)
+    counts = table.view(np.complex64)
+    one = bit.astype(np.float32)
     for i, slot in enumerate(slots):
-        zeros, ones = table[2 * slot].astype(np.float64), table[2 * slot + 1].astype(np.float64)
+        both = counts[slot]
+        zeros, ones = both.real, both.imag
         if leave is not None:
-            ones = np.maximum(ones - bit, 0)
-            zeros = np.maximum(zeros - (1 - bit), 0)
-        out[:, i] = np.log((ones + PRIOR) / (zeros + PRIOR))
+            ones, zeros = np.maximum(ones - one, 0), np.maximum(zeros - (1 - one), 0)
+        out[:, i] = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
     out[:, -1] = 1.0
     return out, zeros + ones
 
 
 def _mixed(mixer: Mixer, inputs: np.ndarray, seen: np.ndarray, place: np.ndarray):
-    level = np.minimum(np.log2(seen + 1).astype(np.int64), LEVELS - 1)
+    level = np.minimum(np.log2(seen + np.float32(1)).astype(np.int64), LEVELS - 1)
     gate = np.minimum(place, PLACES - 1) * LEVELS + level
     x = np.clip(np.einsum("ij,ij->i", inputs, mixer.weights[gate]), -RANGE + 1e-6, RANGE - 1e-6)
     return gate, x
 
 
-def _refined(mixer: Mixer, node: np.ndarray, x: np.ndarray):
-    """(probability of a one, lower support point, share of the upper one)."""
+def _support(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower support point, share of the upper one)."""
     at = (x + RANGE) * ((POINTS - 1) / (2 * RANGE))
     low = at.astype(np.int64)
-    high = at - low
-    a, b = mixer.refined[node, low], mixer.refined[node, low + 1]
-    adapted = (1 - high) * a[:, 1] / a.sum(axis=1) + high * b[:, 1] / b.sum(axis=1)
-    return 0.5 * adapted + 0.5 / (1 + np.exp(-x)), low, high
+    return low, at - low
+
+
+def _refined(mixer: Mixer, node: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Probability of a one."""
+    low, high = _support(x)
+    ones = (mixer.refined[:, :, 1] / mixer.refined.sum(axis=2)).ravel()
+    at = node * POINTS + low
+    return 0.5 * ((1 - high) * ones[at] + high * ones[at + 1]) + 0.5 / (1 + np.exp(-x))
 
 
 def learn(mixer: Mixer, table: np.ndarray, tokens: list[bytes], weights: np.ndarray, rate: float = 0.5) -> None:
@@ -161,7 +168,7 @@ def learn(mixer: Mixer, table: np.ndarray, tokens: list[bytes], weights: np.ndar
                 moved[:, j] = np.bincount(gate, error * inputs[:, j], minlength=GATES)
             scale = np.bincount(gate, weight * np.einsum("ij,ij->i", inputs, inputs), minlength=GATES)
             mixer.weights += rate * INPUTS * moved / (scale[:, None] + 1.0)
-            _, low, high = _refined(mixer, node, x)
+            low, high = _support(x)
             np.add.at(mixer.refined, (node, low, bit), weight * (1 - high))
             np.add.at(mixer.refined, (node, low + 1, bit), weight * high)
 
@@ -176,7 +183,7 @@ def log10_probabilities(mixer: Mixer, table: np.ndarray, tokens: list[bytes]) ->
         for node, bit, slots in _decisions(data, contexts):
             inputs, seen = _inputs(table, slots, None, bit)
             _, x = _mixed(mixer, inputs, seen, place)
-            one, _, _ = _refined(mixer, node, x)
+            one = _refined(mixer, node, x)
             total += np.log10(np.where(bit == 1, one, 1 - one))
         found.append(np.add.reduceat(total, at[:-1]))
     return np.concatenate(found)
