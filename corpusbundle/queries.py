@@ -509,10 +509,13 @@ def written_tree(spark: SparkSession, sf_dir: str) -> str:
     rel_path = F.concat(F.regexp_extract("rel_path", r"\A(.*/)", 1), F.coalesce(marked, name))
 
     def write(batches):
+        made = set()
         for batch in batches:
             for rel, content in zip(batch["rel_path"], batch["content"]):
                 path = os.path.join(folder, rel)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
+                if (place := os.path.dirname(path)) not in made:
+                    os.makedirs(place, exist_ok=True)
+                    made.add(place)
                 # A task that is run again puts the same file in place once more.
                 part = f"{path}.{uuid.uuid4().hex}"
                 with open(part, "w", encoding="utf-8", newline="") as f:

@@ -24,7 +24,7 @@ LISTING_BATCH = 10_000
 # Larger files are read as several rows.
 CHUNK_BYTES = 32 * 1024 * 1024
 
-# Entries of a directory that one task looks at; a larger one is dealt out by a hash of the names.
+# Entries of a directory that one task looks at; the names of a larger one are dealt out in runs of as many.
 RANGE_ENTRIES = 10_000
 # Subtrees that the planner makes for each task, so that a lopsided tree is spread too.
 SUBTREES = 8
@@ -125,33 +125,66 @@ class DirectorySource(DataSource):
         return DirectoryReader(self.options)
 
 
+def _frames(rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows (rel_path, size, mtime in microseconds) as frames of bounded length."""
+    rows = iter(rows)
+    while held := list(itertools.islice(rows, LISTING_BATCH)):
+        out = pd.DataFrame(held, columns=["rel_path", "size", "mtime"])
+        out["mtime"] = pd.to_datetime(out["mtime"], unit="us", utc=True)
+        yield out
+
+
+def _row(rel_dir: str, name: str, info: os.stat_result) -> tuple:
+    return f"{rel_dir}/{name}" if rel_dir else name, info.st_size, info.st_mtime_ns // 1000
+
+
 def _list_entries(root: str):
-    """(rel_path, size, mtime) of the entries that are no directories, for shares of directories."""
+    """(rel_path, size, mtime) of the entries of directories that are no directories."""
 
-    def entries(rel_dir: str, share: int, shares: int) -> Iterator[tuple]:
+    def entries(rel_dir: str) -> Iterator[tuple]:
         with os.scandir(os.path.join(root, rel_dir)) as found:
             for entry in found:
-                if shares > 1 and _hash(entry.name) % shares != share or entry.is_dir(follow_symlinks=False):
-                    continue
-                info = entry.stat(follow_symlinks=False)
-                yield f"{rel_dir}/{entry.name}" if rel_dir else entry.name, info.st_size, info.st_mtime_ns // 1000
+                if not entry.is_dir(follow_symlinks=False):
+                    yield _row(rel_dir, entry.name, entry.stat(follow_symlinks=False))
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["rel_path", "size", "mtime"])
-        out["mtime"] = pd.to_datetime(out["mtime"], unit="us", utc=True)
-        return out
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(row for batch in batches for d in batch["rel_dir"] for row in entries(d))
+
+    return run
+
+
+def _list_names(root: str, range_entries: int):
+    """(rel_dir, share, names) of directories: the names of what is no directory, in runs, each directory read once."""
+
+    def shares(rel_dir: str) -> Iterator[tuple]:
+        with os.scandir(os.path.join(root, rel_dir)) as found:
+            names = (os.fsencode(e.name) for e in found if not e.is_dir(follow_symlinks=False))
+            for share in itertools.count():
+                if not (run := list(itertools.islice(names, range_entries))):
+                    return
+                yield rel_dir, share, run
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for place in zip(batch["rel_dir"], batch["share"], batch["shares"]):
-                for row in entries(*place):
-                    rows.append(row)
-                    if len(rows) >= LISTING_BATCH:
-                        yield frame(rows)
-                        rows = []
-        if rows:
-            yield frame(rows)
+        rows = (row for batch in batches for d in batch["rel_dir"] for row in shares(d))
+        while held := list(itertools.islice(rows, max(1, LISTING_BATCH // range_entries))):
+            yield pd.DataFrame(held, columns=["rel_dir", "share", "names"])
+
+    return run
+
+
+def _look_at(root: str):
+    """(rel_path, size, mtime) of names; one that is gone meanwhile is left out."""
+
+    def entries(rel_dir: str, names: Iterable[bytes]) -> Iterator[tuple]:
+        for name in map(os.fsdecode, names):
+            try:
+                info = os.lstat(os.path.join(root, rel_dir, name))
+            except FileNotFoundError:
+                continue
+            yield _row(rel_dir, name, info)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(row for batch in batches for x in zip(batch["rel_dir"], batch["names"]) for row in entries(*x))
 
     return run
 
@@ -181,9 +214,10 @@ def scan_tree(
 
     Directories are found first, by names alone: a data source whose partitions are subtrees,
     or shares of a directory that holds very many. They are checkpointed, then dealt evenly
-    to all tasks, which ask for size and time; a directory of more than ``range_entries`` names
-    is dealt out by a hash of the names. So neither a lopsided tree nor one flat directory
-    is left to one task. Dot and underscore names, which Spark's own file sources drop,
+    to all tasks, which ask for size and time; of a directory of more than ``range_entries``
+    names one task reads the names once more, and runs of that many names are dealt evenly. So
+    neither a lopsided tree nor one flat directory is left to one task, and no directory is
+    read more often the more names it has. Dot and underscore names, which Spark's own file sources drop,
     are listed; with ``prune_hidden`` directories whose name starts with a dot are not
     entered (not even the root). ``skip_under`` takes ignore patterns ending in ``/**``,
     whose directories need not be entered. A directory that cannot be listed fails the
@@ -192,13 +226,14 @@ def scan_tree(
     root = os.path.abspath(root)
     if prune_hidden and os.path.basename(root).startswith("."):
         return spark.createDataFrame([], LISTING_SCHEMA)
-    found = durable(scan_directories(spark, root, prune_hidden, skip_under, tasks))
-    shares = F.greatest(F.ceil(F.col("n_entries") / range_entries), F.lit(1)).cast("long")
-    dealt = found.filter("n_entries > 0").select(
-        "rel_dir", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), shares.alias("shares")
-    )
-    spread = dealt.repartition(tasks or spark.sparkContext.defaultParallelism, "rel_dir", "share")
-    return durable(spread.mapInPandas(_list_entries(root), LISTING_SCHEMA))
+    found = durable(scan_directories(spark, root, prune_hidden, skip_under, tasks)).filter("n_entries > 0")
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    wide = F.col("n_entries") > range_entries
+    few = found.filter(~wide).select("rel_dir").repartition(tasks, "rel_dir")
+    many = found.filter(wide).select("rel_dir").repartition(tasks, "rel_dir")
+    names = many.mapInPandas(_list_names(root, range_entries), "rel_dir string, share long, names array<binary>")
+    looked = names.repartition(tasks, "rel_dir", "share").mapInPandas(_look_at(root), LISTING_SCHEMA)
+    return durable(few.mapInPandas(_list_entries(root), LISTING_SCHEMA).unionByName(looked))
 
 
 def scan_binary_tree(spark: SparkSession, root: str) -> DataFrame:

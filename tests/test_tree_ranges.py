@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,21 @@ def test_directories_are_split_and_counted(spark, lopsided):
     assert scan_directories(spark, lopsided, tasks=5).rdd.getNumPartitions() > 5
 
 
+def test_a_directory_is_read_no_more_often_for_its_names(tmp_path, monkeypatch):
+    root = str(tmp_path)
+    fill(root, [f"flat/{i}.txt" for i in range(50)] + ["flat/inside/x.txt", "small/y.txt"])
+    read = []
+    scan = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda path: read.append(os.path.relpath(path, root)) or scan(path))
+    runs = pd.concat(trees._list_names(root, 3)([pd.DataFrame({"rel_dir": ["flat", "small"]})]))
+    assert sorted(read) == ["flat", "small"]
+    assert runs.groupby("rel_dir").size().to_dict() == {"flat": 17, "small": 1} and max(map(len, runs["names"])) == 3
+    os.remove(os.path.join(root, "flat", "7.txt"))  # gone between the two steps
+    listed = pd.concat(trees._look_at(root)([runs]))
+    assert set(listed["rel_path"]) == {f"flat/{i}.txt" for i in range(50) if i != 7} | {"small/y.txt"}
+    assert len(listed) == 50 and set(listed["size"]) == {1} and sorted(read) == ["flat", "small"]
+
+
 def test_very_many_subdirectories_are_dealt_out_by_name(lopsided, tmp_path, monkeypatch):
     monkeypatch.setattr(trees, "RANGE_ENTRIES", 20)
     root = str(tmp_path)
