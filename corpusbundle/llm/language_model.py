@@ -12,6 +12,7 @@ joins. None of them is frequent, so no key of those joins is hot. Texts are neve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -80,16 +81,31 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _predictors(counted: DataFrame) -> np.ndarray:
+class Tables:
+    """(zeros, ones) of every slot of the predictors; only packed blocks travel, a Python worker unpacks them once."""
+
+    def __init__(self, packed: dict[int, bytes]):
+        self.packed = packed
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        table = np.zeros(2 * TOTAL, np.float32)
+        while self.packed:
+            block, data = self.packed.popitem()
+            part = table[block : block + BLOCK]
+            part[:] = np.frombuffer(pa.decompress(data, part.nbytes, codec="zstd"), np.float32)
+        return table
+
+
+def _predictors(counted: DataFrame) -> Tables:
     """(zeros, ones) of every slot over the whole vocabulary. One size at every input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(2 * TOTAL)
         for batch in batches:
             count_bits(batch.column(0).to_pylist(), batch.column(1).to_numpy(), table)
-        table = table.astype(np.float32)
         for block in range(0, len(table), BLOCK):
-            part = table[block : block + BLOCK]
+            part = table[block : block + BLOCK].astype(np.float32)
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part.tobytes()])], ["block", "counts"])
 
@@ -100,16 +116,12 @@ def _predictors(counted: DataFrame) -> np.ndarray:
                 part = np.frombuffer(counts, np.float32).astype(np.float64)
                 sums[block] = sums[block] + part if block in sums else part
         for block, part in sums.items():
-            data = part.astype(np.float32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data])], ["block", "counts"])
+            data = pa.compress(part.astype(np.float32), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data])], ["block", "packed"])
 
-    schema = "block long, counts binary"
-    parts = counted.select("word", "c").mapInArrow(count, schema)
-    table = np.zeros(2 * TOTAL, np.float32)
-    for row in parts.repartition("block").mapInArrow(add, schema).toLocalIterator():
-        part = np.frombuffer(row.counts, np.float32)
-        table[row.block : row.block + len(part)] = part
-    return table
+    parts = counted.select("word", "c").mapInArrow(count, "block long, counts binary")
+    got = parts.repartition("block").mapInArrow(add, "block long, packed binary").toArrow()
+    return Tables(dict(zip(got["block"].to_pylist(), got["packed"].to_pylist())))
 
 
 def _mixer(spark: SparkSession, counted: DataFrame, tables) -> Mixer:
@@ -120,7 +132,7 @@ def _mixer(spark: SparkSession, counted: DataFrame, tables) -> Mixer:
         own, seen = Mixer.fresh(), 0.0
         for batch in batches:
             n = batch.column(1).to_numpy()
-            learn(own, tables.value, batch.column(0).to_pylist(), n)
+            learn(own, tables.value.counts, batch.column(0).to_pylist(), n)
             seen += float(n.sum())
         if seen:
             values = np.concatenate([own.weights.ravel() * seen, (own.refined - fresh.refined).ravel(), [seen]])
@@ -143,7 +155,7 @@ def _scored(tokens: DataFrame, mixer: Mixer, tables) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(0).to_pylist()
-            p = log10_probabilities(mixer, tables.value, found)
+            p = log10_probabilities(mixer, tables.value.counts, found)
             end = np.cumsum([len(w) for w in found], dtype=np.int64)
             start = np.concatenate([[0], end])[:-1]
             names = token_hashes(np.frombuffer(b"".join(found), np.uint8), start, end).view(np.int64)
@@ -228,7 +240,8 @@ def score_texts(
     held_pairs = spark.sparkContext.broadcast(
         (pairs["key"].to_numpy().view(np.uint64), pairs["gain"].to_numpy(), _pair_filter(rest_pairs))
     )
-    end_p = spelled + float(log10_probabilities(mixer, tables.value, [END])[0])
+    # Any training text has an end token; only without one is it spelled here.
+    end_p = 0.0 if n else spelled + float(log10_probabilities(mixer, tables.value.counts, [END])[0])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, base, p = held.value

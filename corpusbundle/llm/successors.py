@@ -141,7 +141,7 @@ class Shares:
 
     def column(self, gate, cell):
         """The share as a column; there are at most GATES x CELLS values."""
-        table = F.array(*(F.lit(float(x)) for x in self.share.ravel()))
+        table = F.lit(self.share.ravel())
         return F.element_at(table, (gate * CELLS + cell + 1).cast("int"))
 
 

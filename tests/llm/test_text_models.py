@@ -192,6 +192,28 @@ def test_token_probabilities_sum_to_one():
     assert more[0] > more[1]
 
 
+def test_predictors_travel_packed(spark, monkeypatch):
+    """Tables of 46 MB of slots, most of them empty here, are neither sent nor held by the driver as such."""
+    import pickle
+
+    import corpusbundle.llm.language_model as model
+
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(
+        type(spark.sparkContext), "broadcast", lambda self, x: sent.append((x, len(pickle.dumps(x)))) or broadcast(self, x)
+    )
+    rows = [(1, "some words and some more"), (2, None), (3, "other words")]
+    got = score_texts(documents(spark, rows), F.col("doc_id") < 3).collect()
+    assert len(got) == 3 and all(r.score < 0 for r in got)
+    assert sent and max(size for _, size in sent) < 4 << 20
+    tables = next(x for x, _ in sent if isinstance(x, model.Tables))
+    assert "counts" not in vars(tables)
+    want = np.zeros(2 * TOTAL)
+    count_bits([b"some", b"words", b"and", b"more", b""], np.array([2, 1, 1, 1, 2]), want)
+    assert np.array_equal(tables.counts, want.astype(np.float32))
+
+
 def test_no_training_rows_and_no_rows(spark):
     got = score_texts(documents(spark, ODD[:5]), F.lit(False)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score) for r in got} == {(0, 0, 0.0)}
